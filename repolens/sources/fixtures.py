@@ -234,3 +234,65 @@ def _split_ctes(text: str) -> list[str]:
     if "".join(cur).strip():
         out.append("".join(cur))
     return out
+
+
+def event_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tag dimension of the events repository: its distinct event types,
+    ids in name order (the window runs over the distinct names only)."""
+    from pyspark.sql import Window
+    names = (read_table(spark, sf_dir, "events").select(F.col("event_type").alias("name"))
+             .distinct()
+             .select(F.lit("events").alias("repo_owner"), F.lit("stream").alias("repo_name"), "name"))
+    w = Window.partitionBy("repo_owner", "repo_name").orderBy("name")
+    return names.select("repo_owner", "repo_name",
+                        F.row_number().over(w).cast("int").alias("tag_id"), "name")
+
+
+def event_commit_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """commit_tags of the events repository: each change's raw weight over
+    the sum of its commit's weights (exact decimal sum), with the tag id.
+
+    The per-commit sum is an aggregate joined back (not a window), so a
+    commit holding a third of all rows is summed map-side in pieces.
+    """
+    ch = changes_short(spark, sf_dir)
+    tot = (ch.groupBy("repo_owner", "repo_name", "commit_hash")
+           .agg(F.sum(F.col("weight").cast("decimal(18,6)")).alias("_s")))
+    tags = event_tags(spark, sf_dir)
+    return (ch.join(tot, ["repo_owner", "repo_name", "commit_hash"])
+            .join(maybe_broadcast(tags.withColumnRenamed("name", "tag")),
+                  ["repo_owner", "repo_name", "tag"])
+            .select("repo_owner", "repo_name", "id", "tag_id",
+                    (F.col("weight") / F.col("_s").cast("double")).alias("value")))
+
+
+def event_tag_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A classifier-style answer per event change, built from its type,
+    value and ``k`` property: an unknown name, a repeated name (the last
+    weight wins), a bad weight and a zero total all occur."""
+    e = read_table(spark, sf_dir, "events")
+    k = F.regexp_extract("props", r'"k": (\d+)', 1).cast("int")
+    resp = F.concat(F.col("event_type"), F.lit(","), F.floor("value").cast("bigint").cast("string"),
+                    F.lit(",Bogus,3,click,"), (k % 7).cast("string"), F.lit(","),
+                    F.col("event_type"), F.lit(","), (k % 10).cast("string"), F.lit(",Docs,x"))
+    return e.select(F.lit("events").alias("repo_owner"), F.lit("stream").alias("repo_name"),
+                    F.col("event_id").alias("id"), resp.alias("response"))
+
+
+SQL_TAGS = """tags_dim as (
+  select 'events' as repo_owner, 'stream' as repo_name,
+    cast(row_number() over (order by event_type) as integer) as tag_id, event_type as name
+  from (select distinct event_type from events) d)"""
+
+SQL_COMMIT_TAGS = SQL_CHANGES_SHORT + ",\n" + SQL_TAGS + """,
+ctags as (
+  select s.repo_owner, s.repo_name, s.id, t.tag_id,
+    s.weight / cast(sum(cast(s.weight as decimal(18,6))) over (partition by s.commit_hash) as double) as value
+  from changes_short s join tags_dim t on s.tag = t.name)"""
+
+SQL_TAG_RESPONSES = """responses as (
+  select 'events' as repo_owner, 'stream' as repo_name, event_id as id,
+    concat(event_type, ',', cast(cast(floor(value) as bigint) as varchar), ',Bogus,3,click,',
+      cast(cast(regexp_extract(props, '"k": (\\d+)', 1) as integer) % 7 as varchar), ',', event_type, ',',
+      cast(cast(regexp_extract(props, '"k": (\\d+)', 1) as integer) % 10 as varchar), ',Docs,x') as response
+  from events)"""
