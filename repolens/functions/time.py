@@ -49,8 +49,9 @@ def iso_year(c) -> Column:
 
 def iso_week(c) -> Column:
     """ISO ``YYYY-WW`` label (T2): 2024-12-30 -> 2025-01."""
-    return F.format_string("%d-%02d", F.extract(F.lit("YEAROFWEEK"), _c(c)),
-                           F.extract(F.lit("WEEK"), _c(c)))
+    c = _c(c)
+    return F.when(c.isNotNull(), F.format_string(
+        "%d-%02d", F.extract(F.lit("YEAROFWEEK"), c), F.extract(F.lit("WEEK"), c)))
 
 
 def week_start(c) -> Column:

@@ -7,3 +7,4 @@ SHORT_SINCE = "01/15/2024"       # events-based view
 SHORT_SINCE_TS = "2024-01-15 00:00:00"
 SHORT_AS_OF = "2024-02-01"
 TOP_N = 50
+K4_AS_OF = "2001-08-02"         # the day after the last order date

@@ -31,4 +31,4 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import queries_activity, queries_tags  # noqa: F401
+    from . import queries_activity, queries_pulls, queries_tags  # noqa: F401
