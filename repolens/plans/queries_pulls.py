@@ -169,7 +169,7 @@ def q_undescribed_changes(spark, sf):
 from changes_long where churn_count > 40""")
 def q_large_changes(spark, sf):
     # K5: changes with churn above a threshold
-    return (X.changes_long(spark, sf).filter(F.col("churn_count") > 150)
+    return (X.changes_long(spark, sf).filter(F.col("churn_count") > 40)
             .select(*REPO, "commit_hash", "filename", "churn_count"))
 
 
