@@ -296,3 +296,34 @@ SQL_TAG_RESPONSES = """responses as (
       cast(cast(regexp_extract(props, '"k": (\\d+)', 1) as integer) % 7 as varchar), ',', event_type, ',',
       cast(cast(regexp_extract(props, '"k": (\\d+)', 1) as integer) % 10 as varchar), ',Docs,x') as response
   from events)"""
+
+
+# Fixed value: functions per generated source file (bounds a file's size).
+FUNCTIONS_PER_FILE = 100
+
+
+def part_source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python source files generated from ``part``: one function per part,
+    files of at most 100 functions per brand (so a file's text never grows
+    with the table).  Columns: repo, file_path, content."""
+    p = read_table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("f_"), F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", "_"),
+                    F.lit("_"), k.cast("string"))
+    size = F.col("p_size").cast("string")
+    loop = F.when(k % 2 == 0, F.concat(
+        F.lit("    for i in range(x):\n        if i % "), (k % 7 + 2).cast("string"),
+        F.lit(" == 0:\n            total += step(i)\n"))).otherwise(F.lit(""))
+    fn = F.concat(F.lit("def "), name, F.lit("(x):\n    \"\"\""), F.col("p_name"),
+                  F.lit("\"\"\"\n    total = "), size, F.lit("\n    if x > "), size,
+                  F.lit(":\n        total = total + scale(x)\n"), loop,
+                  F.lit("    return total\n"))
+    path = F.concat(F.lit("src/"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")),
+                    F.lit("/mod_"), F.floor(k / FUNCTIONS_PER_FILE).cast("string"), F.lit(".py"))
+    rows = p.select(path.alias("file_path"), k.alias("_k"), fn.alias("_fn"))
+    files = (rows.groupBy("file_path")
+             .agg(F.array_sort(F.collect_list(F.struct("_k", "_fn"))).alias("_fs")))
+    return files.select(
+        F.lit("tpch").alias("repo_owner"), F.lit("catalog").alias("repo_name"), "file_path",
+        F.concat(F.lit("import math\nfrom os import path\n\nLIMIT = 10\n\n"),
+                 F.array_join(F.transform("_fs", lambda s: s["_fn"]), "\n\n")).alias("content"))
