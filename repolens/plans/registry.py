@@ -31,4 +31,5 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import queries_activity, queries_code, queries_pulls, queries_tags  # noqa: F401
+    from . import (queries_activity, queries_code, queries_pulls,  # noqa: F401
+                   queries_retrieval, queries_sources, queries_tags)
