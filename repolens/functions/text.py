@@ -108,7 +108,7 @@ def format_description(c) -> Column:
 
 def fmt2(c) -> Column:
     """Two-decimal text of a number, rounded HALF_UP on its decimal value."""
-    return F.format_string("%.2f", F.round(_c(c).cast("decimal(38,6)"), 2))
+    return F.round(_c(c).cast("decimal(38,6)"), 2).cast("decimal(38,2)").cast("string")
 
 
 def diff_key(commit_hash, filename) -> Column:

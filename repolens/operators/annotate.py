@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..plans.helpers import maybe_broadcast
+from ..session import cut_lineage
 
 # Answer length limit, shorten rounds, garbage marker.
 MAX_DESCRIPTION = 800
@@ -72,8 +73,11 @@ def prompt_key(model: str, prompt: Column) -> Column:
 
 
 def _read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The cache table as of now.  Read through a file glob: the scan is then
+    identified by its file set, so an older read of the same folder inside
+    the same plan (chained annotate calls) is never reused for a newer one."""
     try:
-        return spark.read.schema(CACHE_SCHEMA).parquet(path)
+        return spark.read.schema(CACHE_SCHEMA).parquet(path.rstrip("/") + "/*.parquet")
     except AnalysisException:
         return spark.createDataFrame([], CACHE_SCHEMA)
 
@@ -122,9 +126,9 @@ def annotate(df: DataFrame, prompt: Column, completer, cache_path: str, model: s
     return keyed.join(answers, keyed["_key"] == answers["key"], "left").drop("key", "_key", "_prompt")
 
 
-def count_calls(cache_path_before: int, spark: SparkSession, cache_path: str) -> int:
-    """Calls made since a previous cache size (second run: 0)."""
-    return _read_cache(spark, cache_path).count() - cache_path_before
+def cache_size(spark: SparkSession, cache_path: str) -> int:
+    """Number of answers stored (each one model call)."""
+    return _read_cache(spark, cache_path).count()
 
 
 def shorten(df: DataFrame, text: str, completer, cache_path: str, filename: str = "filename",
@@ -138,8 +142,8 @@ def shorten(df: DataFrame, text: str, completer, cache_path: str, filename: str
         too_long = F.length(F.trim("_t")) > max_len
         p = render(TEMPLATES["shorter_summarize_diff"], filename=filename, long_summary="_t")
         redo = annotate(cur.filter(too_long), p, completer, cache_path, model, out="_new")
-        cur = (cur.filter(~too_long | F.col("_t").isNull())
-               .unionByName(redo.withColumn("_t", F.col("_new")).drop("_new")))
+        cur = cut_lineage(cur.filter(~too_long | F.col("_t").isNull())
+                          .unionByName(redo.withColumn("_t", F.col("_new")).drop("_new")))
     return (cur.withColumn(text, F.when(F.length(F.trim("_t")) <= max_len, F.col("_t")))
             .drop("_t"))
 
@@ -194,15 +198,21 @@ class KeywordTagger:
 
 
 class Router:
-    """Picks one of the tool names by keyword overlap with its description."""
+    """Picks one of the tool names by overlap of the question's words (4+
+    letters) with each tool description; ties go to the earlier tool."""
 
     def __init__(self, tools: dict[str, str]):
         self.tools = tools
 
+    @staticmethod
+    def _words(t: str) -> set[str]:
+        return {w for w in re.findall(r"\w+", t.lower()) if len(w) >= 4}
+
     def __call__(self, prompts):
         out = []
+        names = list(self.tools)
         for p in prompts:
-            words = set(re.findall(r"\w+", p.lower()))
-            best = max(self.tools, key=lambda t: (len(words & set(re.findall(r"\w+", self.tools[t].lower()))), t))
-            out.append(best)
+            q = self._words(p.rsplit("Question:", 1)[-1])
+            score = [len(q & self._words(self.tools[t])) for t in names]
+            out.append(names[score.index(max(score))])
         return out
