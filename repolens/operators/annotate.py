@@ -114,7 +114,10 @@ def annotate(df: DataFrame, prompt: Column, completer, cache_path: str, model: s
     appended before they are read back.
     """
     spark = df.sparkSession
-    keyed = df.withColumn("_prompt", prompt).withColumn("_key", prompt_key(model, F.col("_prompt")))
+    # the input is written once: the calls and the join back read the same
+    # prompts, and the (possibly costly) upstream is not computed twice
+    keyed = cut_lineage(df.withColumn("_prompt", prompt)
+                        .withColumn("_key", prompt_key(model, F.col("_prompt"))))
     cache = _read_cache(spark, cache_path)
     todo = (keyed.select(F.col("_key").alias("key"), F.col("_prompt").alias("prompt"))
             .dropDuplicates(["key"])

@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Row bound under which a dimension side is broadcast.  The check is a
-# limited count (reads at most bound+1 rows), so it stays cheap when the side
-# is big; beyond the bound the join is left to the planner (shuffle join,
-# AQE may still convert it at runtime).
-BROADCAST_MAX_ROWS = 200_000
+# Size bound (bytes, the optimizer's estimate) under which a join side is
+# broadcast.  The estimate comes from file sizes and operator statistics --
+# no job runs to get it.  It never underestimates a scan; for derived sides
+# (aggregates) it is the input size, i.e. conservative.  Above the bound the
+# join is left to the planner: a shuffle join that AQE may still turn into a
+# broadcast at runtime from the actual shuffle sizes.
+BROADCAST_MAX_BYTES = 32 * 1024 * 1024
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of ``df`` (no execution)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def maybe_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` only when its estimated size is within ``max_bytes``."""
+    return F.broadcast(df) if estimated_bytes(df) <= max_bytes else df
 
 
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

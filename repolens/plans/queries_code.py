@@ -8,6 +8,8 @@ from .. import REPO
 from ..operators import code_metrics as M
 from ..sources import fixtures as X
 from .registry import query
+from ..session import scratch_path
+import uuid
 
 FN = X.sql_with(X.SQL_FUNCTIONS)
 
@@ -59,6 +61,14 @@ def q_file_complexity(spark, sf):
     return M.file_complexity(_scored(spark, sf))
 
 
+def _parsed(spark, sf):
+    # the parsed functions table is written once (like the repo map) and
+    # read by both the maxima and the per-row scoring branches
+    path = scratch_path(spark, f"functions-{uuid.uuid4().hex}")
+    M.extract_functions(X.part_source_files(spark, sf)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query("source_functions")
 def q_source_functions(spark, sf):
     """M1-M10 end to end: parse the generated sources, one row per
@@ -75,7 +85,7 @@ def q_source_file_complexity(spark, sf):
     """M1 -> M11 -> M13: parsed functions scored against repository maxima
     (readability from the docstring length as a stand-in model answer) and
     folded into per-file documents."""
-    fns = M.extract_functions(X.part_source_files(spark, sf))
+    fns = _parsed(spark, sf)
     fns = fns.withColumn("llm_code_readability",
                          M.readability((F.length("docstring") % 10 / 10).cast("string")))
     return M.file_metrics(M.composite_complexity(fns)).select(

@@ -133,7 +133,10 @@ def q_pr_summaries(spark, sf):
 
 
 def _datasets(spark, sf):
-    ch = X.changes_long(spark, sf)
+    # the changes table is written once and read by the four data sets
+    path = _tmp(spark, "changes")
+    X.changes_long(spark, sf).write.parquet(path)
+    ch = spark.read.parquet(path)
     return {
         "author-commits-summary": A.author_tenure(ch),
         "file-commit-count-summary": A.file_commit_counts(ch),
