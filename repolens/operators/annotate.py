@@ -194,7 +194,7 @@ class KeywordTagger:
     def __call__(self, prompts):
         out = []
         for p in prompts:
-            low = p.lower()
+            low = p.rsplit("Description:", 1)[-1].lower()
             pairs = [f"{t},{low.count(t.lower())}" for t in self.tags if low.count(t.lower())]
             out.append(",".join(pairs) if pairs else "Other,1")
         return out
