@@ -57,7 +57,7 @@ def directory_commits(changes: DataFrame, levels: int | None = None) -> DataFram
     rename notation; directory cut to ``levels`` components (A19)."""
     per_file = (changes.withColumn("filename", resolve_rename("filename"))
                 .groupBy(*REPO, "filename")
-                .agg(F.countDistinct("commit_hash").alias("commits")))
+                .agg(F.countDistinct("commit_hash").alias("commits")))  # renames may merge files
     parts = F.split("filename", "/")
     dirs = F.slice(parts, 1, F.size(parts) - 1)
     if levels is not None:

@@ -117,7 +117,9 @@ def q_route_questions(spark, sf):
 @query("function_source_docs")
 def q_function_source_docs(spark, sf):
     """Description and source documents of the parsed functions."""
-    fns = M.extract_functions(X.part_source_files(spark, sf)).withColumn("description", F.col("docstring"))
+    path = _tmp(spark, "functions")
+    M.extract_functions(X.part_source_files(spark, sf)).write.parquet(path)
+    fns = spark.read.parquet(path).withColumn("description", F.col("docstring"))
     a = R.description_docs(fns).withColumn("index_name", F.lit("vector"))
     b = R.source_docs(fns).withColumn("index_name", F.lit("code_vector"))
     return a.unionByName(b)
