@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import REPO
-from ..plans.helpers import maybe_broadcast
+from ..plans.helpers import maybe_broadcast, spread
 from ..schemas import FUNCTIONS, TOP_LEVEL
 
 # Weights of the composite score, in the order
@@ -40,65 +40,86 @@ def _segment(lines: list[str], node) -> str:
     return "".join([lines[s][node.col_offset:]] + lines[s + 1:e] + [lines[e][:node.end_col_offset]])
 
 
-def _walk_depth(node, depth=0):
-    yield node, depth
-    for child in ast.iter_child_nodes(node):
-        yield from _walk_depth(child, depth + 1)
-
-
-def _function_row(fn, lines, file_path):
-    cc, depth, ctrl, nvars = 1, 0, 0, 0
-    calls, imports = [], []
-    for node, d in _walk_depth(fn):
-        if isinstance(node, _BRANCH):
-            cc += 1
-        if isinstance(node, _NEST):
-            depth = max(depth, d + 1)
-        if isinstance(node, (ast.Name, ast.arg, ast.Assign, ast.AnnAssign, ast.AugAssign)):
-            nvars += 1
-        if isinstance(node, ast.Call):
-            calls.append(_segment(lines, node.func))
-        if isinstance(node, ast.Import) and node is not fn:
-            imports.append(_segment(lines, node))
-    # control-only nesting: count only control levels
-    def ctrl_depth(node, level):
-        best = level
-        for ch in ast.iter_child_nodes(node):
-            nxt = level + 1 if isinstance(ch, _NEST) else level
-            best = max(best, ctrl_depth(ch, nxt))
-        return best
-    ctrl = ctrl_depth(fn, 0)
-    code = _segment(lines, fn)
-    comments = [ln.strip() for ln in code.splitlines() if ln.strip().startswith("#")]
-    return dict(file_path=file_path, type="function", name=fn.name, code=code,
-                lines_of_code=len(code.splitlines()), cyclomatic_complexity=cc,
-                nesting_depth=depth, control_depth=ctrl, number_of_variables=nvars,
-                number_of_function_calls=len(calls), calls=calls, imports=imports,
-                docstring=ast.get_docstring(fn), comments=comments,
-                location={"start": {"line": fn.lineno, "character": fn.col_offset},
-                          "end": {"line": fn.end_lineno, "character": fn.end_col_offset}})
+def _children(node):
+    for name in node._fields:
+        v = getattr(node, name, None)
+        if isinstance(v, ast.AST):
+            yield v
+        elif isinstance(v, list):
+            for x in v:
+                if isinstance(x, ast.AST):
+                    yield x
+
+
+def _location(node) -> dict:
+    return {"start": {"line": node.lineno, "character": node.col_offset},
+            "end": {"line": node.end_lineno, "character": node.end_col_offset}}
+
+
+_VARS = (ast.Name, ast.arg, ast.Assign, ast.AnnAssign, ast.AugAssign)
 
 
 def parse_definitions(file_path: str, source: str) -> list[dict]:
     """Every function (nested ones too, each its own row) and class of one
-    Python file (M1-M7, M9, M10).  Unparsable files give no rows."""
+    Python file (M1-M7, M9, M10).  Unparsable files give no rows.
+
+    One pre-order pass over the module; each node updates the counters of
+    every function that encloses it, at its depth below that function:
+    cyclomatic = 1 + branch nodes (if/for/while/try/match/case), nesting =
+    max over control nodes of (depth + 1), control depth = max number of
+    control nodes on a path, variables = names, parameters and assignments,
+    calls = callee text in pre-order, imports inside the function."""
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError):
         return []
     lines = source.splitlines(keepends=True)
     out = []
-    for node in ast.walk(tree):
+    # stack items: (node, ((ctx, depth below ctx's function, control depth), ...))
+    stack = [(tree, ())]
+    while stack:
+        node, enc = stack.pop()
+        if enc:
+            is_branch = isinstance(node, _BRANCH)
+            is_nest = isinstance(node, _NEST)
+            is_var = isinstance(node, _VARS)
+            call = _segment(lines, node.func) if isinstance(node, ast.Call) else None
+            imp = _segment(lines, node) if isinstance(node, ast.Import) else None
+            for ctx, d, cd in enc:
+                if is_branch:
+                    ctx["cyclomatic_complexity"] += 1
+                if is_nest and d + 1 > ctx["nesting_depth"]:
+                    ctx["nesting_depth"] = d + 1
+                if cd > ctx["control_depth"]:
+                    ctx["control_depth"] = cd
+                if is_var:
+                    ctx["number_of_variables"] += 1
+                if call is not None:
+                    ctx["calls"].append(call)
+                if imp is not None and d:
+                    ctx["imports"].append(imp)
         if isinstance(node, _DEFS):
-            out.append(_function_row(node, lines, file_path))
+            code = _segment(lines, node)
+            ctx = dict(file_path=file_path, type="function", name=node.name, code=code,
+                       lines_of_code=len(code.splitlines()), cyclomatic_complexity=1,
+                       nesting_depth=0, control_depth=0, number_of_variables=0,
+                       calls=[], imports=[], docstring=ast.get_docstring(node),
+                       comments=[ln.strip() for ln in code.splitlines() if ln.strip().startswith("#")],
+                       location=_location(node))
+            out.append(ctx)
+            enc = enc + ((ctx, 0, 0),)
         elif isinstance(node, ast.ClassDef):
             code = _segment(lines, node)
             out.append(dict(file_path=file_path, type="class", name=node.name, code=code,
                             lines_of_code=len(code.splitlines()), calls=[], imports=[],
                             comments=[], docstring=ast.get_docstring(node),
-                            location={"start": {"line": node.lineno, "character": node.col_offset},
-                                      "end": {"line": node.end_lineno,
-                                              "character": node.end_col_offset}}))
+                            location=_location(node)))
+        for ch in reversed(list(_children(node))):
+            nest = isinstance(ch, _NEST)
+            stack.append((ch, tuple((c, d + 1, cd + (1 if nest else 0)) for c, d, cd in enc)))
+    for ctx in out:
+        if ctx["type"] == "function":
+            ctx["number_of_function_calls"] = len(ctx["calls"])
     return out
 
 
@@ -149,7 +170,7 @@ def extract_functions(files: DataFrame, path: str = "file_path", text: str = "co
                     rows.append(d)
             yield pd.DataFrame(rows, columns=cols)
 
-    return files.select(*REPO, path, text).mapInPandas(run, FUNCTIONS)
+    return spread(files.select(*REPO, path, text), path).mapInPandas(run, FUNCTIONS)
 
 
 def extract_top_level(files: DataFrame, path: str = "file_path", text: str = "content") -> DataFrame:
@@ -165,7 +186,7 @@ def extract_top_level(files: DataFrame, path: str = "file_path", text: str = "co
                 rows.append(d)
             yield pd.DataFrame(rows, columns=cols)
 
-    return files.select(*REPO, path, text).mapInPandas(run, TOP_LEVEL)
+    return spread(files.select(*REPO, path, text), path).mapInPandas(run, TOP_LEVEL)
 
 
 def readability(answer) -> "F.Column":

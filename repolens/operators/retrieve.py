@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import REPO
+from ..plans.helpers import spread
 from ..session import cut_lineage
 from .annotate import annotate, render
 
@@ -87,7 +88,7 @@ def chunk(df: DataFrame, id_col: str, text_col: str, index_name: str = "summary"
 
     src = df.select(F.col(id_col).alias("chunk_src_id"), F.col(text_col).alias("chunk_src_text"),
                     *meta_cols)
-    return src.mapInPandas(run, schema)
+    return spread(src, "chunk_src_id").mapInPandas(run, schema)
 
 
 def description_docs(functions: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ def embed(df: DataFrame, text_col: str, embedder, out: str = "embedding") -> Dat
 
     from pyspark.sql import types as T
     schema = T.StructType(list(fields) + [T.StructField(out, T.ArrayType(T.DoubleType()))])
-    return df.mapInPandas(run, schema)
+    return spread(df).mapInPandas(run, schema)
 
 
 # Query vectors broadcast per block; larger query sets run block by block

@@ -41,3 +41,13 @@ def dec(c: Column | str, scale: int = 6, precision: int = 18) -> Column:
     summation order."""
     c = F.col(c) if isinstance(c, str) else c
     return c.cast(f"decimal({precision},{scale})")
+
+
+def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
+    """Spread rows over the cluster's cores before a CPU-heavy Python stage
+    (parser, chunker, model caller).  AQE sizes partitions by bytes, so a
+    few megabytes of source text would otherwise land in one task; an
+    explicit partition count is never coalesced.  Hashing by ``keys`` keeps
+    the assignment deterministic on retry; without keys it is round robin."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism * per_core, 1)
+    return df.repartition(n, *keys) if keys else df.repartition(n)

@@ -37,19 +37,42 @@ def read_pull_requests(spark: SparkSession, path: str, repo_owner: str | None =
 
 
 def write_pull_requests(prs: DataFrame, path: str) -> None:
-    """Write the dump format: header of 15 names, 14 values per row."""
+    """Write the dump format: every file starts with the header of 15 names,
+    rows carry 14 values.
+
+    Rows are range-partitioned by (repo, number), so a repository holding a
+    third of all PRs is spread over many tasks; within a task a header line
+    is inserted wherever a repository starts, so each file a task writes for
+    a repository begins with the header (the reader takes the first line of
+    every file as the header).
+    """
+    import pandas as pd
+
     vals = [F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in PR_DUMP_COLUMNS[:-1]]
     vals[1] = F.coalesce(clean_title(F.col("title")), F.lit("None"))
     vals[5] = F.when(F.col("merged"), F.lit("True")).otherwise(F.lit("False"))
     header = "\t".join(PR_DUMP_COLUMNS)
-    body = prs.select(*REPO, F.lit(1).alias("_h"), F.col("number").alias("_n"),
-                      F.concat_ws("\t", *vals).alias("value"))
-    heads = prs.select(*REPO).distinct().select(
-        *REPO, F.lit(0).alias("_h"), F.lit(None).cast("bigint").alias("_n"),
-        F.lit(header).alias("value"))
-    # one file per repository (the dump format), header line first: the
-    # in-partition order already starts with the partition columns, so the
-    # writer keeps it
-    (heads.unionByName(body).repartition(*REPO)
-     .sortWithinPartitions(*REPO, "_h", "_n").drop("_h", "_n")
+    n = max(prs.sparkSession.sparkContext.defaultParallelism, 1)
+    body = (prs.select(*REPO, "number", F.concat_ws("\t", *vals).alias("value"))
+            .repartitionByRange(n, *REPO, "number").sortWithinPartitions(*REPO, "number"))
+
+    def with_headers(batches):
+        last, seq = None, 0
+        for pdf in batches:
+            out = {"repo_owner": [], "repo_name": [], "value": [], "_seq": []}
+            for o, r, v in zip(pdf["repo_owner"], pdf["repo_name"], pdf["value"]):
+                if (o, r) != last:
+                    out["repo_owner"].append(o); out["repo_name"].append(r)
+                    out["value"].append(header); out["_seq"].append(seq)
+                    seq += 1
+                    last = (o, r)
+                out["repo_owner"].append(o); out["repo_name"].append(r)
+                out["value"].append(v); out["_seq"].append(seq)
+                seq += 1
+            yield pd.DataFrame(out)
+
+    lines = body.mapInPandas(with_headers, "repo_owner string, repo_name string, value string, _seq long")
+    # in-task order (repo, _seq) already starts with the partition columns,
+    # so the writer keeps it
+    (lines.sortWithinPartitions(*REPO, "_seq").drop("_seq")
      .write.mode("overwrite").partitionBy(*REPO).text(path))
