@@ -9,7 +9,7 @@ per day) stay distinct counts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import REPO
@@ -80,33 +80,33 @@ def commits_over_time(changes: DataFrame, since_mdy: str | None = None) -> DataF
     Monday weeks that hold the sum of the daily values (A5, T3, T4, J6).
 
     Output: repo, type ('Day'|'Week'), date, commits, files.
+
+    One pass: the per-repository bounds are a window over the daily table
+    (one row per day, so bounded by the time span); the repository's first
+    day also emits the zero entries of the whole spine, and one aggregation
+    sums entries per bucket.
     """
     daily = daily_activity(since(changes, since_mdy, TIME))
-    start = (F.to_date(since_literal(since_mdy)) if since_mdy else F.col("lo"))
-    bounds = (daily.groupBy(*REPO)
-              .agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-              .withColumn("start", start)
-              .withColumn("type", F.when(F.datediff("hi", "start") > DAY_WEEK_SWITCH_DAYS,
-                                         F.lit("Week")).otherwise(F.lit("Day"))))
-    # one row per repository: the spine is generated next to it (bounded by
-    # the span in days, never by the row count)
-    step_start = F.when(F.col("type") == "Week",
-                        F.to_date(F.date_trunc("week", "start"))).otherwise(F.col("start"))
-    spine = bounds.select(
-        *REPO, "type",
-        F.explode(F.sequence(step_start, F.col("hi"),
-                             F.when(F.col("type") == "Week", F.expr("interval 7 days"))
-                              .otherwise(F.expr("interval 1 day")))).alias("date"))
-    bucketed = (daily.join(bounds.select(*REPO, "type"), list(REPO))
-                .withColumn("date", F.when(F.col("type") == "Week",
-                                           F.to_date(F.date_trunc("week", "day")))
-                                     .otherwise(F.col("day")))
-                .groupBy(*REPO, "date")
-                .agg(F.sum("commits").alias("commits"), F.sum("files").alias("files")))
-    return (spine.join(bucketed, [*REPO, "date"], "left")
-            .select(*REPO, "type", "date",
-                    F.coalesce("commits", F.lit(0)).cast("bigint").alias("commits"),
-                    F.coalesce("files", F.lit(0)).cast("bigint").alias("files")))
+    w = Window.partitionBy(*REPO)
+    start = F.to_date(since_literal(since_mdy)) if since_mdy else F.col("lo")
+    d = (daily.withColumn("lo", F.min("day").over(w)).withColumn("hi", F.max("day").over(w))
+         .withColumn("start", start)
+         .withColumn("type", F.when(F.datediff("hi", "start") > DAY_WEEK_SWITCH_DAYS,
+                                    F.lit("Week")).otherwise(F.lit("Day"))))
+    week = F.col("type") == "Week"
+    step_start = F.when(week, F.to_date(F.date_trunc("week", "start"))).otherwise(F.col("start"))
+    step = F.when(week, F.expr("interval 7 days")).otherwise(F.expr("interval 1 day"))
+    zero = F.lit(0).cast("bigint")
+    own = F.array(F.struct(
+        F.when(week, F.to_date(F.date_trunc("week", "day"))).otherwise(F.col("day")).alias("date"),
+        F.col("commits").cast("bigint").alias("commits"), F.col("files").cast("bigint").alias("files")))
+    spine = F.transform(F.sequence(step_start, F.col("hi"), step),
+                        lambda x: F.struct(x.alias("date"), zero.alias("commits"), zero.alias("files")))
+    entries = F.when(F.col("day") == F.col("lo"), F.concat(spine, own)).otherwise(own)
+    return (d.select(*REPO, "type", F.inline(entries))
+            .groupBy(*REPO, "type", "date")
+            .agg(F.sum("commits").cast("bigint").alias("commits"),
+                 F.sum("files").cast("bigint").alias("files")))
 
 
 def commits_by_date(changes: DataFrame, as_of: str) -> DataFrame:

@@ -26,30 +26,27 @@ def churn_tree(changes: DataFrame) -> DataFrame:
     keeps both nodes (is_file tells them apart).
 
     Per-file sums come first, so the prefix explode multiplies the number of
-    distinct files by their depth, not the number of change rows.
+    distinct files by their depth, not the number of change rows; position 0
+    of the explode is the root, so one aggregation yields every node.
     """
     files = file_churn(changes).withColumn("_parts", F.split("filename", "/"))
-    nodes = files.select(
-        *REPO, "total_churn", "_parts",
-        F.posexplode(F.col("_parts")).alias("_i", "_name"))
+    i = F.col("_i")
+    parts = F.col("_parts")
+    palette = F.array(*[F.lit(c) for c in COLORS])
+    nodes = files.select(*REPO, "total_churn", "_parts",
+                         F.explode(F.sequence(F.lit(0), F.size("_parts"))).alias("_i"))
     nodes = nodes.select(
         *REPO, "total_churn",
-        F.array_join(F.slice("_parts", 1, F.col("_i") + 1), "/").alias("path"),
-        F.col("_name").alias("name"),
-        (F.col("_i") + 1).alias("depth"),
-        (F.col("_i") + 1 == F.size("_parts")).alias("is_file"),
-        F.when(F.col("_i") > 0, F.array_join(F.slice("_parts", 1, F.col("_i")), "/"))
-         .alias("parent"))
-    palette = F.array(*[F.lit(c) for c in COLORS])
-    tree = (nodes.groupBy(*REPO, "path", "is_file", "parent", "name", "depth")
+        F.when(i == 0, F.lit("")).otherwise(F.array_join(F.slice(parts, 1, F.greatest(i, F.lit(1))), "/"))
+         .alias("path"),
+        F.when(i > 1, F.array_join(F.slice(parts, 1, F.greatest(i - 1, F.lit(1))), "/")).alias("parent"),
+        F.when(i == 0, F.lit("repo")).otherwise(F.element_at(parts, F.greatest(i, F.lit(1)))).alias("name"),
+        i.cast("int").alias("depth"),
+        F.when(i > 0, F.element_at(palette, ((i - 1) % len(COLORS)) + 1)).alias("color"),
+        ((i > 0) & (i == F.size(parts))).alias("is_file"))
+    return (nodes.groupBy(*REPO, "path", "parent", "name", "depth", "color", "is_file")
             .agg(F.sum("total_churn").alias("churn"))
-            .withColumn("color", F.element_at(palette, ((F.col("depth") - 1) % len(COLORS)) + 1)))
-    root = (files.groupBy(*REPO).agg(F.sum("total_churn").alias("churn"))
-            .select(*REPO, F.lit("").alias("path"), F.lit(False).alias("is_file"),
-                    F.lit(None).cast("string").alias("parent"), F.lit("repo").alias("name"),
-                    F.lit(0).alias("depth"), "churn", F.lit(None).cast("string").alias("color")))
-    cols = [*REPO, "path", "parent", "name", "depth", "color", "is_file", "churn"]
-    return tree.select(*cols).unionByName(root.select(*cols))
+            .select(*REPO, "path", "parent", "name", "depth", "color", "is_file", "churn"))
 
 
 def directory_commits(changes: DataFrame, levels: int | None = None) -> DataFrame:

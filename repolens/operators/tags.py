@@ -172,10 +172,11 @@ def tag_share_by_week(ctags: DataFrame, tags: DataFrame, changes: DataFrame,
     rows = tagged_changes(ctags, tags, changes, key) \
         .withColumn("week_starting", week_start("committed_at"))
     weekly = rows.groupBy(*REPO, "week_starting", "name").agg(_dec_sum("value").alias("_s"))
-    wk = weekly.groupBy(*REPO, "week_starting").agg(F.sum("_s").alias("_w"))
+    # the week's total: a window over that week's tags (bounded by the tag list)
+    weekly = weekly.withColumn("_w", F.sum("_s").over(Window.partitionBy(*REPO, "week_starting")))
     pct = F.when(F.col("_w") == 0, F.lit(0.0)).otherwise(
         F.col("_s").cast("double") * 100 / F.col("_w").cast("double"))
-    return (weekly.join(wk, [*REPO, "week_starting"])
+    return (weekly
             .select(*REPO, iso_week("week_starting").alias("week"), "week_starting",
                     F.col("name").alias("tag"), _r2(F.col("_s")).alias("raw"),
                     _r2(pct.cast("decimal(18,6)")).alias("percentage")))
