@@ -151,17 +151,35 @@ def shorten(df: DataFrame, text: str, completer, cache_path: str, filename: str
             .drop("_t"))
 
 
+# Price lists up to this many entries are looked up from a map literal; a
+# larger list (not a price list any more) is joined instead.
+PRICE_LOOKUP_MAX = 10_000
+
+
 def price_calls(calls: DataFrame, pricing: DataFrame) -> DataFrame:
     """Cost per call = tokens x USD per 1M tokens, input plus output (A16),
-    as exact decimals; the price list is broadcast after a size check."""
-    p = maybe_broadcast(pricing.select(
-        "service", "model", F.col("input").cast("decimal(12,6)").alias("_pin"),
-        F.col("output").cast("decimal(12,6)").alias("_pout")))
+    as exact decimals.  The price list is configuration (a few entries):
+    it becomes a map literal, so pricing a call is a lookup, not a join;
+    beyond ``PRICE_LOOKUP_MAX`` entries an equi-join does the same."""
     per_token = F.lit(Decimal("0.000001"))
-    cost = (F.col("input_tokens").cast("decimal(20,0)") * (F.col("_pin") * per_token)
-            + F.col("output_tokens").cast("decimal(20,0)") * (F.col("_pout") * per_token))
-    return (calls.join(p, ["service", "model"], "left")
-            .withColumn("cost", cost).drop("_pin", "_pout"))
+    pr = pricing.select(F.concat_ws("|", "service", "model").alias("k"),
+                        F.col("input").cast("decimal(12,6)").alias("i"),
+                        F.col("output").cast("decimal(12,6)").alias("o"))
+    rows = pr.limit(PRICE_LOOKUP_MAX + 1).collect()
+    if len(rows) <= PRICE_LOOKUP_MAX:
+        def lookup(values):
+            m = F.create_map(*[x for r in rows for x in (F.lit(r["k"]), F.lit(values(r)).cast("decimal(12,6)"))]) \
+                if rows else F.create_map().cast("map<string,decimal(12,6)>")
+            return F.try_element_at(m, F.concat_ws("|", "service", "model"))
+        p_in, p_out = lookup(lambda r: r["i"]), lookup(lambda r: r["o"])
+        out = calls
+    else:
+        out = calls.join(pr.withColumnRenamed("i", "_pin").withColumnRenamed("o", "_pout"),
+                         F.concat_ws("|", calls.service, calls.model) == pr.k, "left").drop("k")
+        p_in, p_out = F.col("_pin"), F.col("_pout")
+    cost = (F.col("input_tokens").cast("decimal(20,0)") * (p_in * per_token)
+            + F.col("output_tokens").cast("decimal(20,0)") * (p_out * per_token))
+    return out.withColumn("cost", cost).drop("_pin", "_pout")
 
 
 # ---------------------------------------------------------------------------

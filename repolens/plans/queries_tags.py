@@ -20,7 +20,7 @@ def _ct(spark, sf):
 
 @query("tag_totals", CT + """select c.repo_owner, c.repo_name, t.name,
   cast(round(sum(cast(c.value as decimal(18,9))), 2) as decimal(18,2)) as total_value
-from ctags c join tags_dim t on c.tag_id = t.tag_id group by 1, 2, 3""")
+from ctags c join tags_dim t on c.repo_owner = t.repo_owner and c.repo_name = t.repo_name and c.tag_id = t.tag_id group by 1, 2, 3""")
 def q_tag_totals(spark, sf):
     ct, tags, _ = _ct(spark, sf)
     return G.tag_totals(ct, tags)
@@ -28,7 +28,7 @@ def q_tag_totals(spark, sf):
 
 @query("tag_totals_since", CT + f"""select c.repo_owner, c.repo_name, t.name,
   cast(round(sum(cast(c.value as decimal(18,9))), 2) as decimal(18,2)) as total_value
-from ctags c join tags_dim t on c.tag_id = t.tag_id join changes_short s on s.id = c.id
+from ctags c join tags_dim t on c.repo_owner = t.repo_owner and c.repo_name = t.repo_name and c.tag_id = t.tag_id join changes_short s on s.repo_owner = c.repo_owner and s.repo_name = c.repo_name and s.id = c.id
 where s.committed_at >= timestamp '{SHORT_SINCE_TS}' group by 1, 2, 3""")
 def q_tag_totals_since(spark, sf):
     ct, tags, ch = _ct(spark, sf)
@@ -38,7 +38,7 @@ def q_tag_totals_since(spark, sf):
 @query("tag_totals_other", CT + """, tot as (
   select c.repo_owner, c.repo_name, t.name,
     cast(round(sum(cast(c.value as decimal(18,9))), 2) as decimal(18,2)) as total_value
-  from ctags c join tags_dim t on c.tag_id = t.tag_id group by 1, 2, 3),
+  from ctags c join tags_dim t on c.repo_owner = t.repo_owner and c.repo_name = t.repo_name and c.tag_id = t.tag_id group by 1, 2, 3),
 ranked as (
   select *, row_number() over (partition by repo_owner, repo_name order by total_value desc, name) as rn,
     count(*) over (partition by repo_owner, repo_name) as k from tot)
@@ -53,7 +53,7 @@ def q_tag_totals_other(spark, sf):
 _ROWS = """, tagged as (
   select c.repo_owner, c.repo_name, t.name, c.value, s.committed_at,
     cast(date_trunc('week', s.committed_at) as date) as week_starting
-  from ctags c join tags_dim t on c.tag_id = t.tag_id join changes_short s on s.id = c.id)"""
+  from ctags c join tags_dim t on c.repo_owner = t.repo_owner and c.repo_name = t.repo_name and c.tag_id = t.tag_id join changes_short s on s.repo_owner = c.repo_owner and s.repo_name = c.repo_name and s.id = c.id)"""
 
 
 @query("tags_by_week", CT + _ROWS + f""",
@@ -137,7 +137,7 @@ def q_parse_tags(spark, sf):
 
 
 @query("tag_rows", CT + """select c.repo_owner, c.repo_name, c.id, c.tag_id, c.value
-from ctags c join tags_dim t on c.tag_id = t.tag_id where t.name = 'click'""")
+from ctags c join tags_dim t on c.repo_owner = t.repo_owner and c.repo_name = t.repo_name and c.tag_id = t.tag_id where t.name = 'click'""")
 def q_tag_rows(spark, sf):
     # K1: rows of one tag
     ct, tags, _ = _ct(spark, sf)
@@ -148,7 +148,7 @@ def q_tag_rows(spark, sf):
 @query("top_tag_commits", CT + """select repo_owner, repo_name, id, value from (
   select c.repo_owner, c.repo_name, c.id, c.value,
     row_number() over (partition by c.repo_owner, c.repo_name order by c.value desc, c.id) as rn
-  from ctags c join tags_dim t on c.tag_id = t.tag_id where t.name = 'purchase') x where rn <= 10""")
+  from ctags c join tags_dim t on c.repo_owner = t.repo_owner and c.repo_name = t.repo_name and c.tag_id = t.tag_id where t.name = 'purchase') x where rn <= 10""")
 def q_top_tag_commits(spark, sf):
     # K2: ten changes with the highest share of one tag (per repository)
     from ..plans.helpers import top_n

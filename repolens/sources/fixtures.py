@@ -72,6 +72,16 @@ def changes_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _stream_repo(ts) -> "F.Column":
+    # one repository per year of the event stream (one for the test data)
+    return F.concat(F.lit("stream-"), F.year(ts).cast("string"))
+
+
+def _mfgr_repo(brand) -> "F.Column":
+    # one repository per manufacturer (the digit after 'Brand#')
+    return F.concat(F.lit("mfgr"), F.substring(brand, 7, 1))
+
+
 def changes_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as changes: commit = (user, day); one tag and raw weight per row.
 
@@ -85,7 +95,7 @@ def changes_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = e.groupBy("user_id", "_day").agg(F.min("ts").alias("committed_at"))
     j = e.join(first, ["user_id", "_day"])
     return j.select(
-        F.lit("events").alias("repo_owner"), F.lit("stream").alias("repo_name"),
+        F.lit("events").alias("repo_owner"), _stream_repo(F.col("ts")).alias("repo_name"),
         F.col("event_id").alias("id"),
         F.md5(F.concat(F.col("user_id").cast("string"), F.lit("|"),
                        F.col("_day").cast("string"))).alias("commit_hash"),
@@ -137,7 +147,7 @@ def function_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     return p.select(
-        F.lit("tpch").alias("repo_owner"), F.lit("catalog").alias("repo_name"),
+        F.lit("tpch").alias("repo_owner"), _mfgr_repo(F.col("p_brand")).alias("repo_name"),
         F.concat(F.lit("src/"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")),
                  F.lit(".py")).alias("file_path"),
         F.lit("function").alias("type"),
@@ -174,7 +184,7 @@ changes_long as (
   group by l.l_orderkey, 6)"""
 
 SQL_CHANGES_SHORT = """changes_short as (
-  select 'events' as repo_owner, 'stream' as repo_name, e.event_id as id,
+  select 'events' as repo_owner, concat('stream-', cast(year(e.ts) as varchar)) as repo_name, e.event_id as id,
     md5(concat(cast(e.user_id as varchar),'|',cast(cast(e.ts as date) as varchar))) as commit_hash,
     min(e.ts) over (partition by e.user_id, cast(e.ts as date)) as committed_at,
     concat('user', cast(e.user_id as varchar)) as author,
@@ -197,7 +207,7 @@ pulls as (
     on m.l_orderkey = o.o_orderkey)"""
 
 SQL_FUNCTIONS = """functions as (
-  select 'tpch' as repo_owner, 'catalog' as repo_name,
+  select 'tpch' as repo_owner, concat('mfgr', substr(p_brand, 7, 1)) as repo_name,
     concat('src/', replace(lower(p_brand),'#','_'), '.py') as file_path, 'function' as type,
     concat(replace(p_name,' ','_'), '_', cast(p_partkey as varchar)) as name,
     p_size as lines_of_code, 1 + cast(p_partkey % 13 as int) as cyclomatic_complexity,
@@ -240,9 +250,10 @@ def event_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tag dimension of the events repository: its distinct event types,
     ids in name order (the window runs over the distinct names only)."""
     from pyspark.sql import Window
-    names = (read_table(spark, sf_dir, "events").select(F.col("event_type").alias("name"))
-             .distinct()
-             .select(F.lit("events").alias("repo_owner"), F.lit("stream").alias("repo_name"), "name"))
+    names = (read_table(spark, sf_dir, "events")
+             .select(F.lit("events").alias("repo_owner"), _stream_repo(F.col("ts")).alias("repo_name"),
+                     F.col("event_type").alias("name"))
+             .distinct())
     w = Window.partitionBy("repo_owner", "repo_name").orderBy("name")
     return names.select("repo_owner", "repo_name",
                         F.row_number().over(w).cast("int").alias("tag_id"), "name")
@@ -275,23 +286,27 @@ def event_tag_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     resp = F.concat(F.col("event_type"), F.lit(","), F.floor("value").cast("bigint").cast("string"),
                     F.lit(",Bogus,3,click,"), (k % 7).cast("string"), F.lit(","),
                     F.col("event_type"), F.lit(","), (k % 10).cast("string"), F.lit(",Docs,x"))
-    return e.select(F.lit("events").alias("repo_owner"), F.lit("stream").alias("repo_name"),
+    return e.select(F.lit("events").alias("repo_owner"), _stream_repo(F.col("ts")).alias("repo_name"),
                     F.col("event_id").alias("id"), resp.alias("response"))
 
 
 SQL_TAGS = """tags_dim as (
-  select 'events' as repo_owner, 'stream' as repo_name,
-    cast(row_number() over (order by event_type) as integer) as tag_id, event_type as name
-  from (select distinct event_type from events) d)"""
+  select repo_owner, repo_name,
+    cast(row_number() over (partition by repo_owner, repo_name order by event_type) as integer) as tag_id,
+    event_type as name
+  from (select distinct 'events' as repo_owner, concat('stream-', cast(year(ts) as varchar)) as repo_name,
+          event_type from events) d)"""
 
 SQL_COMMIT_TAGS = SQL_CHANGES_SHORT + ",\n" + SQL_TAGS + """,
 ctags as (
   select s.repo_owner, s.repo_name, s.id, t.tag_id,
-    s.weight / cast(sum(cast(s.weight as decimal(18,6))) over (partition by s.commit_hash) as double) as value
-  from changes_short s join tags_dim t on s.tag = t.name)"""
+    s.weight / cast(sum(cast(s.weight as decimal(18,6))) over (
+      partition by s.repo_owner, s.repo_name, s.commit_hash) as double) as value
+  from changes_short s join tags_dim t
+    on s.repo_owner = t.repo_owner and s.repo_name = t.repo_name and s.tag = t.name)"""
 
 SQL_TAG_RESPONSES = """responses as (
-  select 'events' as repo_owner, 'stream' as repo_name, event_id as id,
+  select 'events' as repo_owner, concat('stream-', cast(year(ts) as varchar)) as repo_name, event_id as id,
     concat(event_type, ',', cast(cast(floor(value) as bigint) as varchar), ',Bogus,3,click,',
       cast(cast(regexp_extract(props, '"k": (\\d+)', 1) as integer) % 7 as varchar), ',', event_type, ',',
       cast(cast(regexp_extract(props, '"k": (\\d+)', 1) as integer) % 10 as varchar), ',Docs,x') as response
@@ -320,10 +335,11 @@ def part_source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.lit("    return total\n"))
     path = F.concat(F.lit("src/"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")),
                     F.lit("/mod_"), F.floor(k / FUNCTIONS_PER_FILE).cast("string"), F.lit(".py"))
-    rows = p.select(path.alias("file_path"), k.alias("_k"), fn.alias("_fn"))
-    files = (rows.groupBy("file_path")
+    rows = p.select(_mfgr_repo(F.col("p_brand")).alias("repo_name"), path.alias("file_path"),
+                    k.alias("_k"), fn.alias("_fn"))
+    files = (rows.groupBy("repo_name", "file_path")
              .agg(F.array_sort(F.collect_list(F.struct("_k", "_fn"))).alias("_fs")))
     return files.select(
-        F.lit("tpch").alias("repo_owner"), F.lit("catalog").alias("repo_name"), "file_path",
+        F.lit("tpch").alias("repo_owner"), "repo_name", "file_path",
         F.concat(F.lit("import math\nfrom os import path\n\nLIMIT = 10\n\n"),
                  F.array_join(F.transform("_fs", lambda s: s["_fn"]), "\n\n")).alias("content"))
