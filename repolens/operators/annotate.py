@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from .. import REPO
+
 from ..plans.helpers import maybe_broadcast
 from ..session import cut_lineage
 
@@ -182,6 +184,37 @@ def price_calls(calls: DataFrame, pricing: DataFrame) -> DataFrame:
     return out.withColumn("cost", cost).drop("_pin", "_pout")
 
 
+def summarise_datasets(datasets: dict, spans: DataFrame, existing: DataFrame | None, completer,
+                       cache_path: str, ai_model: str = "offline|extractive",
+                       created_at: str | None = None) -> DataFrame:
+    """Summaries of data sets (L8, U6): each data set's content key per
+    repository; data sets whose (repo, name, key) is stored already are
+    skipped; the rest get a paragraph from the completer over a
+    description of the data set (name, row count, key) -- bounded text, not
+    the whole data set -- with the repository's date span (A15).
+    Output has the ``summaries`` schema."""
+    from ..operators.load import data_fingerprint, save_summary_if_new
+    parts = []
+    for name, ds in datasets.items():
+        n = ds.groupBy(*REPO).agg(F.count(F.lit(1)).alias("rows"))
+        parts.append(data_fingerprint(ds).join(n, list(REPO)).withColumn("name", F.lit(name)))
+    cand = parts[0]
+    for p_ in parts[1:]:
+        cand = cand.unionByName(p_)
+    if existing is not None:
+        cand = save_summary_if_new(existing, cand)
+    service, model = ai_model.split("|", 1)
+    prompt = render(TEMPLATES["summarize_data"].replace("{data}", "Data set {name}: {rows} rows, key {hash}"),
+                    name="name", rows=F.col("rows").cast("string"), hash="hash")
+    out = annotate(cand, prompt, completer, cache_path, model=ai_model, out="summary")
+    when = F.lit(created_at).cast("timestamp_ntz") if created_at else F.localtimestamp()
+    return (out.join(spans.select(*REPO, F.col("first_date").alias("start_date"),
+                                  F.col("last_date").alias("end_date")), list(REPO), "left")
+            .select(*REPO, "name", "hash", "summary", F.lit(service).alias("ai_service"),
+                    F.lit(model).alias("ai_model"), "start_date", "end_date",
+                    when.alias("created_at")))
+
+
 # ---------------------------------------------------------------------------
 # Deterministic offline completers (picklable, no network).
 

@@ -81,6 +81,14 @@ def latest_summary(summaries: DataFrame, name: str | None = None) -> DataFrame:
     return last_per_key(s, [*REPO, "name"], ["created_at", "hash"])
 
 
+def summary_for_display(summaries: DataFrame, name: str | None = None) -> DataFrame:
+    """Latest summary per (repo, name) with ``yyyy/MM/dd`` dates."""
+    from ..functions.time import display_date
+    return latest_summary(summaries, name).select(
+        *REPO, "name", "summary", "ai_service", "ai_model",
+        display_date("start_date").alias("start"), display_date("end_date").alias("end"))
+
+
 def data_fingerprint(df: DataFrame, by: list[str] = list(REPO)) -> DataFrame:
     """Order-insensitive content key of a data set per repository.
 

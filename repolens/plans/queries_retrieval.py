@@ -135,32 +135,46 @@ def q_pr_summaries(spark, sf):
 
 
 def _datasets(spark, sf):
-    # the changes table is written once and read by the four data sets
+    # the changes table is written once and read by the data sets
     path = _tmp(spark, "changes")
     X.changes_long(spark, sf).write.parquet(path)
     ch = spark.read.parquet(path)
-    return {
+    from ..operators import tags as G
+    ct, tags, short = X.event_commit_tags(spark, sf), X.event_tags(spark, sf), X.changes_short(spark, sf)
+    sets = {
         "author-commits-summary": A.author_tenure(ch),
         "file-commit-count-summary": A.file_commit_counts(ch),
         "commit-count-by-date-summary": A.commits_by_date(ch, LONG_AS_OF),
         "churn-summary": C.file_churn(ch),
+        "overall-tags-summary": G.tag_totals(ct, tags),
+        "tags-by-week-summary": G.tag_share_by_week(ct, tags, short, ["id"]),
     }
+    spans = A.date_span(ch).unionByName(A.date_span(short))
+    return sets, spans
+
+
+def _summaries(spark, sf):
+    sets, spans = _datasets(spark, sf)
+    path = _tmp(spark, "summaries")
+    L.summarise_datasets(sets, spans, None, L.ExtractiveCompleter(20), _tmp(spark, "cache"),
+                         created_at=LONG_AS_OF).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @query("latest_summaries")
 def q_latest_summaries(spark, sf):
-    """Each data set's content key per repository, saved as a
-    summary only if new, then the latest per (repo, name)."""
-    parts = []
-    for name, ds in _datasets(spark, sf).items():
-        fp = U.data_fingerprint(ds).withColumn("name", F.lit(name))
-        parts.append(fp)
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    existing = spark.createDataFrame([], "repo_owner string, repo_name string, name string, hash string")
-    new = U.save_summary_if_new(existing, cand)
-    prompt = L.render("Data set {name} with key {hash}", name="name", hash="hash")
-    summ = L.annotate(new, prompt, L.ExtractiveCompleter(20), _tmp(spark, "cache"), out="summary")
-    summ = summ.withColumn("created_at", F.lit(LONG_AS_OF).cast("timestamp_ntz"))
-    return U.latest_summary(summ).select(*REPO, "name", "summary", "created_at")
+    """The six data sets summarised once per content key,
+    then the latest per (repo, name) with display dates."""
+    return U.summary_for_display(_summaries(spark, sf))
+
+
+@query("summary_catalogue")
+def q_summary_catalogue(spark, sf):
+    """K13-K15 over the summaries table: distinct names, by model, in a
+    date range (one row per catalogue answer)."""
+    from ..operators import catalogue as K
+    s = _summaries(spark, sf)
+    a = K.summary_names(s).select(*REPO, F.lit("K13").alias("query"), "name")
+    b = K.summaries_by_model(s, "extractive").select(*REPO, F.lit("K14").alias("query"), "name")
+    c = K.summaries_in_range(s, "1990-01-01", "2001-12-31").select(*REPO, F.lit("K15").alias("query"), "name")
+    return a.unionByName(b).unionByName(c)
