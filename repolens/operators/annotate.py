@@ -196,8 +196,7 @@ def summarise_datasets(datasets: dict, spans: DataFrame, existing: DataFrame | N
     from ..operators.load import data_fingerprint, save_summary_if_new
     parts = []
     for name, ds in datasets.items():
-        n = ds.groupBy(*REPO).agg(F.count(F.lit(1)).alias("rows"))
-        parts.append(data_fingerprint(ds).join(n, list(REPO)).withColumn("name", F.lit(name)))
+        parts.append(data_fingerprint(ds).withColumn("name", F.lit(name)))
     cand = parts[0]
     for p_ in parts[1:]:
         cand = cand.unionByName(p_)

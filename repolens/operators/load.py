@@ -98,9 +98,9 @@ def data_fingerprint(df: DataFrame, by: list[str] = list(REPO)) -> DataFrame:
     """
     others = [c for c in df.columns if c not in by]
     h = F.xxhash64(F.to_json(F.struct(*others)))
-    return (df.groupBy(*by).agg(F.bit_xor(h).alias("_x"), F.count(F.lit(1)).alias("_n"))
+    return (df.groupBy(*by).agg(F.bit_xor(h).alias("_x"), F.count(F.lit(1)).alias("rows"))
             .select(*by, F.concat(F.lower(F.hex("_x")), F.lit("-"),
-                                  F.col("_n").cast("string")).alias("hash")))
+                                  F.col("rows").cast("string")).alias("hash"), "rows"))
 
 
 def save_summary_if_new(existing: DataFrame, candidates: DataFrame) -> DataFrame:
