@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import REPO
+from ..plans.helpers import maybe_broadcast
 
 
 def first_per_key(batch: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -35,7 +36,13 @@ def insert_new(target: DataFrame, batch: DataFrame, keys: list[str],
     already in the target are skipped.  ``batch.count() - result.count()`` is
     the number skipped."""
     first = first_per_key(batch, keys, order)
-    return first.join(target.select(*keys), keys, "left_anti")
+    # The target (the big table) is only scanned: a semi join with the
+    # batch's keys (the small side, broadcast when its estimate allows)
+    # keeps the target rows that collide, and the anti join runs against
+    # those -- the target itself is never shuffled.
+    bkeys = first.select(*keys)
+    hits = target.select(*keys).join(maybe_broadcast(bkeys), keys, "left_semi")
+    return first.join(hits, keys, "left_anti")
 
 
 def todo(left: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -50,7 +50,8 @@ def ingest_stream(spark: SparkSession, source_dir: str, target_path: str, checkp
         obs = Observation(f"ingest_{epoch_id}")
         out = new.select(*[f.name for f in CHANGES.fields]).observe(
             obs, F.count(F.lit(1)).alias("n"))
-        out.write.mode("append").parquet(target_path)
+        # one folder per repository: readers of one repository prune the rest
+        out.write.mode("append").partitionBy(*REPO).parquet(target_path)
         stats["batches"] += 1
         stats["inserted"] += obs.get["n"]
         stats["rejected"] += rejects.count()

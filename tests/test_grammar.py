@@ -155,3 +155,41 @@ def test_tag_response_parse_and_normalise(spark):
     parsed = G.parse_tags(resp, _tags(spark, ["API", "Docs"]), ["id"])
     got = sorted((r.id, r.tag, round(r.value, 6)) for r in G.normalise(parsed, ["id"]).collect())
     assert got == [(1, "API", round(5 / 7, 6)), (1, "Docs", round(2 / 7, 6)), (2, "Docs", 1.0)]
+
+
+def test_description_log_across_file_splits(spark, tmp):
+    # tiny splits: records and their continuation lines cross split borders
+    recs = []
+    for i in range(40):
+        body = "\n".join(f"line {j} of record {i}" for j in range(i % 4 + 1))
+        recs.append(f"2024-08-{1 + i % 28:02d} 10:00:{i % 60:02d}\tf{i}.py\th{i}\t{body}")
+    p = _write(tmp, "big.txt", "preamble without a record\n" + "\n".join(recs) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    try:
+        lines = spark.read.text(p)
+        assert lines.rdd.getNumPartitions() > 10
+        got = {r.commit_hash: r.text for r in S4.read_description_log(spark, p, "o", "r").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 40
+    for i in range(40):
+        assert got[f"h{i}"] == "\n".join(f"line {j} of record {i}" for j in range(i % 4 + 1))
+
+
+def test_commit_log_across_file_splits(spark, tmp):
+    recs = []
+    for i in range(30):
+        files = "\n".join(f"{j}\t1\tsrc/m{j}.py" for j in range(i % 3 + 1))
+        recs.append(f"^^c{i}--{i}.0--2024-07-29T12:00:00+00:00--A{i}--a@x--msg {i}\n{files}\n")
+    p = _write(tmp, "big.txt", "\n".join(recs))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "80")
+    try:
+        ch, rej = S1.read_commit_log(spark, p, "o", "r")
+        rows = ch.collect()
+        assert rej.count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == sum(i % 3 + 1 for i in range(30))
+    assert {(r.commit_hash, r.filename): r.churn_count for r in rows}[("c5", "src/m2.py")] == 3
