@@ -108,7 +108,7 @@ def _call(completer, model):
 
 
 def annotate(df: DataFrame, prompt: Column, completer, cache_path: str, model: str = "offline",
-             out: str = "answer", max_callers: int = 8) -> DataFrame:
+             out: str = "answer", max_callers: int | None = None) -> DataFrame:
     """Rows of ``df`` with the model's ``out`` answer to ``prompt``.
 
     Work done: one call per distinct prompt not yet in the cache.  The cache
@@ -124,7 +124,10 @@ def annotate(df: DataFrame, prompt: Column, completer, cache_path: str, model: s
     todo = (keyed.select(F.col("_key").alias("key"), F.col("_prompt").alias("prompt"))
             .dropDuplicates(["key"])
             .join(cache.select("key"), "key", "left_anti"))
-    new = todo.repartition(max_callers).mapInPandas(_call(completer, model), CACHE_SCHEMA)
+    # max_callers bounds the concurrent calls to a rate-limited service;
+    # by default the calls spread over the cluster's cores
+    callers = max_callers or max(spark.sparkContext.defaultParallelism * 2, 1)
+    new = todo.repartition(callers, "key").mapInPandas(_call(completer, model), CACHE_SCHEMA)
     new.write.mode("append").parquet(cache_path)
     answers = (_read_cache(spark, cache_path).groupBy("key")
                .agg(F.min_by("answer", "prompt_tokens").alias(out)))

@@ -56,7 +56,9 @@ def update_by_key(target: DataFrame, updates: DataFrame, keys: list[str],
     ``updates`` must hold one row per key (see ``last_per_key``)."""
     u = updates.select(*keys, *[F.col(c).alias(f"_u_{c}") for c in cols],
                        F.lit(True).alias("_u_hit"))
-    j = target.join(u, keys, "left")
+    # updates are usually few next to the target: broadcast them when the
+    # estimate allows, so the target is not shuffled
+    j = target.join(maybe_broadcast(u), keys, "left")
     out = [F.when(F.col("_u_hit"), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c)
            if c in cols else F.col(c) for c in target.columns]
     return j.select(*out)
