@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,13 +37,41 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``repolens`` importable in the executors' Python workers
+    (``mapInPandas`` functions refer to it): zip the package once per
+    SparkContext and add it with ``addPyFile``, which distributes it to
+    every executor."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="repolens-pkg-")
+    zpath = os.path.join(folder, "repolens.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(os.path.join(root, "repolens")):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
+
+
 def ensure_query_conf(spark: SparkSession) -> None:
     """Pin the settings the query semantics depend on (time zone only;
-    the rest are performance settings the cluster may override)."""
+    the rest are performance settings the cluster may override) and ship
+    the package to the executors."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
