@@ -110,7 +110,12 @@ def q_insert_new(spark, sf):
     # Target holds the history before 1998; the batch re-sends the last
     # half year of it plus everything newer, twice (second copy altered):
     # only new keys are inserted and the first copy wins.
-    ch = X.changes_long(spark, sf).select(*_CCOLS)
+    # the changes table is written once, as a stored table would be
+    from ..session import scratch_path
+    import uuid
+    path = scratch_path(spark, f"changes-{uuid.uuid4().hex}")
+    X.changes_long(spark, sf).select(*_CCOLS).write.parquet(path)
+    ch = spark.read.parquet(path)
     target = ch.filter(F.col("committed_at") < F.lit("1998-01-01").cast("timestamp_ntz"))
     batch = (ch.filter(F.col("committed_at") >= F.lit("1997-07-01").cast("timestamp_ntz"))
              .withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2))))
