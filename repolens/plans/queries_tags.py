@@ -173,3 +173,24 @@ def q_untagged_changes(spark, sf):
     empty = spark.createDataFrame(
         [], "repo_owner string, repo_name string, commit_hash string, filename string")
     return G.untagged(ch, empty, ["commit_hash", "filename"]).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("tags_by_week_since", CT + _ROWS + f""",
+weekly as (
+  select repo_owner, repo_name, week_starting, name,
+    cast(round(sum(cast(value as decimal(18,9))), 2) as decimal(18,2)) as total
+  from tagged where committed_at >= timestamp '{SHORT_SINCE_TS}' group by 1, 2, 3, 4),
+spine as (
+  select repo_owner, repo_name, cast(unnest(generate_series(
+    date_trunc('week', timestamp '{SHORT_SINCE_TS}'), date_trunc('week', timestamp '{SHORT_AS_OF}'),
+    interval 7 day)) as date) as week_starting
+  from tagged where committed_at >= timestamp '{SHORT_SINCE_TS}' group by 1, 2)
+select s.repo_owner, s.repo_name,
+  printf('%d-%02d', isoyear(s.week_starting), week(s.week_starting)) as week,
+  s.week_starting, w.name as tag, w.total
+from spine s left join weekly w on s.repo_owner = w.repo_owner and s.repo_name = w.repo_name
+  and s.week_starting = w.week_starting""")
+def q_tags_by_week_since(spark, sf):
+    # A9 with a since date: the spine starts at the since date's week
+    ct, tags, ch = _ct(spark, sf)
+    return G.tags_by_week(ct, tags, ch, KEY, since_mdy=SHORT_SINCE, as_of=SHORT_AS_OF)
