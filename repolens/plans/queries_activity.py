@@ -201,3 +201,15 @@ select repo_owner, repo_name,
 from per_file group by 1, 2, 3""")
 def q_directory_commits(spark, sf):
     return C.directory_commits(X.changes_long(spark, sf))
+
+
+@query("directory_commits_top_level", LONG + """, per_file as (
+  select repo_owner, repo_name, filename, count(distinct commit_hash) as commits
+  from changes_long group by 1, 2, 3)
+select repo_owner, repo_name,
+  array_to_string(string_split(filename, '/')[1:least(1, len(string_split(filename, '/')) - 1)], '/') as directory,
+  cast(sum(commits) as bigint) as commits
+from per_file group by 1, 2, 3""")
+def q_directory_commits_top_level(spark, sf):
+    # A19 with the directory cut to its first level
+    return C.directory_commits(X.changes_long(spark, sf), levels=1)
