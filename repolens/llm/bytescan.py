@@ -166,3 +166,19 @@ def minimisers(h: np.ndarray, width: int) -> np.ndarray:
     if have < width:
         m = np.minimum(m[:len(m) - (width - have)], m[width - have:])
     return (m & low).astype(np.int64)
+
+
+def cuts(data: np.ndarray, lo: int, hi: int, most: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Split bytes [lo, hi) of one document into ranges of about ``most`` bytes that end after a separator; a word longer
+    than that stays whole."""
+    while hi - lo > most:
+        at, found = lo + most, None
+        while at < hi and found is None:
+            gap = np.flatnonzero(IS_SEP[data[at:min(at + most, hi)]])
+            found = at + int(gap[0]) + 1 if len(gap) else None
+            at += most
+        if found is None or found >= hi:
+            break
+        yield lo, found
+        lo = found
+    yield lo, hi

@@ -3,14 +3,15 @@
 A byte-level BPE never merges across a pre-token border, so the tokens of a text are the sum over its pre-tokens.  Each
 distinct pre-token is tokenised once; documents only carry how often they use each.
 
-1. Scan: the texts of a task are cut into pre-tokens and gathered into blocks of about ``BLOCK`` bytes.  A block has its
-   own numbering of its distinct pre-tokens.  It yields one row per document (numbers and frequencies as packed bytes)
-   and one row per distinct pre-token, written to one table.
-2. The distinct pre-tokens of all blocks are counted by the tokeniser, once each.
-3. The counts go back to the blocks by an equi-join on the pre-token, where even the commonest occurs once per block at
-   most, and the blocks' documents take their sums.
-
-Nothing is broadcast, no text is shuffled, and no group is larger than a block.
+1. Scan: the texts of a task are cut into pre-tokens and gathered into blocks of about ``BLOCK`` bytes.  A block numbers
+   its distinct pre-tokens, sorted within vocabulary buckets (a hash of the pre-token).  It yields its documents, as packed
+   numbers and frequencies, and for each bucket its pre-tokens, as one packed list.  Both are written to one table.
+2. The lists meet by bucket: each distinct pre-token is counted by the tokeniser once there.  The counts go back as one
+   packed list per block and bucket.
+3. Each block's documents take their sums.
+
+Nothing is broadcast and no text is shuffled.  A pre-token that every document uses still occurs once per block, and
+buckets are as many as the shuffle partitions, so no key is hot.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import os
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -27,9 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, scan, written
 
-BLOCK = 4 << 20
+BLOCK = 16 << 20
+CHUNK = 512  # documents of a packed row
+CACHE = 1 << 21  # counted pre-tokens that a task remembers; beyond, it starts anew
 
-_ROWS = ("block long, doc_id long, n_bytes long, fixed long, wide boolean, ids binary, freqs binary, number int, piece string")
+_ROWS = "block long, bucket int, doc_id binary, known binary, n_bytes binary, fixed binary, used binary, ids binary, freqs binary, pieces binary"
 _COUNTS = "doc_id long, n_bytes long, n_tokens long"
 
 #: From here on the regex library and the tokeniser know different Unicode versions: such texts are cut by the tokeniser.
@@ -67,7 +71,27 @@ def _cutter(path: str, pattern: str):
     return both
 
 
-def _blocks(path: str, pattern: str):
+def _pack(x: np.ndarray | bytes) -> bytes:
+    raw = x if isinstance(x, bytes) else x.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(x: bytes) -> bytes:
+    return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True)
+
+
+def _steps(ids: np.ndarray) -> np.ndarray:
+    """Sorted numbers as 16-bit steps; 65535 says: go on by that much, no number yet."""
+    gaps = np.diff(ids, prepend=0)
+    far = gaps // 0xFFFF
+    if not far.any():
+        return gaps.astype(np.uint16)
+    out = np.full(len(ids) + int(far.sum()), 0xFFFF, np.uint16)
+    out[np.arange(len(ids)) + np.cumsum(far)] = gaps % 0xFFFF
+    return out
+
+
+def _blocks(path: str, pattern: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         schema, cut = arrow_schema(_ROWS), _cutter(path, pattern)
@@ -76,26 +100,37 @@ def _blocks(path: str, pattern: str):
         docs: list[tuple] = []
         size = 0
 
+        def row(**x) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({f.name: [x.get(f.name)] for f in schema} | {"block": [base + serial]}, schema=schema)
+
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal serial, size
-            wide = len(vocab) > 0xFFFF
-            kind = np.uint32 if wide else np.uint16
-            for a in range(0, len(docs), 4096):
-                part = docs[a:a + 4096]
-                yield pa.RecordBatch.from_pydict({
-                    "block": [base + serial] * len(part), "doc_id": [d[0] for d in part], "n_bytes": [d[1] for d in part],
-                    "fixed": [d[2] for d in part], "wide": [wide] * len(part), "ids": [d[3].astype(kind).tobytes() for d in part],
-                    "freqs": [d[4] for d in part], "number": [None] * len(part), "piece": [None] * len(part)}, schema=schema)
-            names = list(vocab)
-            for a in range(0, len(names), 8192):
-                part = names[a:a + 8192]
-                n = [None] * len(part)
-                yield pa.RecordBatch.from_pydict({
-                    "block": [base + serial] * len(part), "doc_id": n, "n_bytes": n, "fixed": n, "wide": n, "ids": n, "freqs": n,
-                    "number": range(a, a + len(part)), "piece": part}, schema=schema)
-            vocab.clear()
-            docs.clear()
-            serial, size = serial + 1, 0
+            lists: list[list[str]] = [[] for _ in range(buckets)]
+            for p in vocab:
+                lists[crc32(p.encode("utf-8", "surrogatepass")) % buckets].append(p)
+            number, at = np.zeros(len(vocab), np.int64), 0
+            for i, names in enumerate(lists):
+                if names:
+                    names.sort()
+                    number[np.fromiter(map(vocab.__getitem__, names), np.int64, len(names))] = np.arange(at, at + len(names))
+                    at += len(names)
+                    yield row(bucket=i, used=_pack(np.fromiter(map(len, names), np.int64, len(names))), pieces=_pack("".join(names).encode()))
+            for a in range(0, len(docs), CHUNK):
+                part, ids, freqs = docs[a:a + CHUNK], [], []
+                for d in part:
+                    mine = number[d[3]]
+                    order = np.argsort(mine)
+                    mine, freq = mine[order], d[4][order]
+                    if len(freq) and freq.max() > 255:  # one byte each: a larger one is split up
+                        more = np.maximum(1, -(-freq // 255))
+                        last = np.cumsum(more) - 1
+                        mine, rest, freq = np.repeat(mine, more), freq - (more - 1) * 255, np.full(int(more.sum()), 255)
+                        freq[last] = rest
+                    ids.append(_steps(mine))
+                    freqs.append(freq.astype(np.uint8))
+                yield row(doc_id=_pack(np.array([d[0] or 0 for d in part], np.int64)), known=_pack(np.array([d[0] is not None for d in part])),
+                          n_bytes=_pack(np.array([d[1] for d in part], np.int64)), fixed=_pack(np.array([d[2] for d in part], np.int64)),
+                          used=_pack(np.array([[len(x), len(y)] for x, y in zip(ids, freqs)], np.int64)),
+                          ids=_pack(np.concatenate(ids)), freqs=_pack(np.concatenate(freqs)))
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -106,15 +141,14 @@ def _blocks(path: str, pattern: str):
                 for p in seen:
                     if p not in vocab:
                         vocab[p] = len(vocab)
-                ids = np.fromiter(map(vocab.__getitem__, seen), np.uint32, len(seen))
-                freqs = np.fromiter(seen.values(), np.int64, len(seen))
-                while len(freqs) and (more := freqs > 255).any():  # one byte each: a larger one is split up
-                    ids = np.concatenate([ids, np.repeat(ids[more], freqs[more] // 255)])
-                    freqs = np.concatenate([np.where(more, freqs % 255, freqs), np.full(int((freqs[more] // 255).sum()), 255)])
-                docs.append((doc_id, n_bytes, fixed, ids, freqs.astype(np.uint8).tobytes()))
+                docs.append((doc_id, n_bytes, fixed, np.fromiter(map(vocab.__getitem__, seen), np.int64, len(seen)),
+                             np.fromiter(seen.values(), np.int64, len(seen))))
                 size += n_bytes + 64
                 if size >= BLOCK:
                     yield from flush()
+                    vocab.clear()
+                    docs.clear()
+                    serial, size = serial + 1, 0
         if docs:
             yield from flush()
     return run
@@ -122,25 +156,39 @@ def _blocks(path: str, pattern: str):
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(path)
+        t, known = _tokenizer(path), {}
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            counts = [len(e) for e in t.encode_batch_fast(names, add_special_tokens=False)]
-            yield pa.RecordBatch.from_pydict({"piece": names, "n": counts}, schema=arrow_schema("piece string, n int"))
+            for block, bucket, used, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                text, edges = _unpack(packed).decode(), np.cumsum(np.frombuffer(_unpack(used), np.int64)).tolist()
+                names = [text[i:j] for i, j in zip([0, *edges], edges)]
+                new = [p for p in names if p not in known]
+                if len(known) + len(new) > CACHE:
+                    known, new = {}, names
+                for a in range(0, len(new), 8192):
+                    part = new[a:a + 8192]
+                    known.update(zip(part, (len(e) for e in t.encode_batch_fast(part, add_special_tokens=False))))
+                counts = np.fromiter(map(known.__getitem__, names), np.uint32, len(names))
+                yield pa.RecordBatch.from_pydict({"of": [block], "part": [bucket], "counts": [_pack(counts)]},
+                                                 schema=arrow_schema("of long, part int, counts binary"))
     return run
 
 
 def _sum(docs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-    n = np.zeros(len(counts) + 1, np.int64)
-    n[counts["number"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    kind = np.uint32 if len(docs) and docs["wide"].iloc[0] else np.uint16
-    ids = np.frombuffer(b"".join(docs["ids"]), kind)
-    freqs = np.frombuffer(b"".join(docs["freqs"]), np.uint8)
-    total = np.concatenate([[0], np.cumsum(n[ids] * freqs)])
-    ends = np.cumsum([len(x) for x in docs["freqs"]], dtype=np.int64)
-    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    return pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "n_bytes": docs["n_bytes"],
-                         "n_tokens": total[ends] - total[begins] + docs["fixed"].to_numpy(np.int64)})
+    n = np.frombuffer(b"".join(_unpack(x) for x in counts.sort_values("part")["counts"]), np.uint32).astype(np.int64)
+    out = []
+    for d in docs.itertuples():
+        long = lambda x: np.frombuffer(_unpack(x), np.int64)
+        used = long(d.used).reshape(-1, 2)
+        steps, freqs = np.frombuffer(_unpack(d.ids), np.uint16), np.frombuffer(_unpack(d.freqs), np.uint8)
+        at = np.cumsum(steps.astype(np.int64))
+        edges = np.concatenate([[0], np.cumsum(used[:, 0])])
+        at -= np.repeat(np.concatenate([[0], at])[edges[:-1]], used[:, 0])  # each document starts anew
+        total = np.concatenate([[0], np.cumsum(n[at[steps != 0xFFFF]] * freqs)])
+        ends = np.concatenate([[0], np.cumsum(used[:, 1])])
+        ids = pd.array(long(d.doc_id), "Int64")
+        ids[~np.frombuffer(_unpack(d.known), bool)] = pd.NA
+        out.append(pd.DataFrame({"doc_id": ids, "n_bytes": long(d.n_bytes), "n_tokens": np.diff(total[ends]) + long(d.fixed)}))
+    return pd.concat(out)
 
 
 def token_counts(docs: DataFrame, tokenizer: str, pattern: str, limit: int = 512,
@@ -153,10 +201,10 @@ def token_counts(docs: DataFrame, tokenizer: str, pattern: str, limit: int = 512
     other columns are not read, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table = written(scan(rows, _blocks(tokenizer, pattern), _ROWS), "token_blocks")
-    used = table.where("piece is not null").select("block", "number", "piece")
-    counted = scan(used.select("piece").distinct(), _count(tokenizer), "piece string, n int")
-    per_block = used.join(counted, "piece").select(F.col("block").alias("of"), "number", "n")
-    sums = (table.where("piece is null").select("block", "doc_id", "n_bytes", "fixed", "wide", "ids", "freqs").groupBy("block")
-            .cogroup(per_block.groupBy("of")).applyInPandas(_sum, _COUNTS))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = written(scan(rows, _blocks(tokenizer, pattern, buckets), _ROWS), "token_blocks")
+    lists = table.where("bucket is not null").select("block", "bucket", "used", "pieces").repartition(buckets, "bucket")
+    counted = scan(lists, _count(tokenizer), "of long, part int, counts binary")
+    sums = (table.where("bucket is null").drop("bucket", "pieces").groupBy("block")
+            .cogroup(counted.groupBy("of")).applyInPandas(_sum, _COUNTS))
     return sums.withColumn("over_limit", F.col("n_tokens") > limit)
