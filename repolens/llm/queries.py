@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat
 from .common import documents, held_out
 
 QUERIES: dict = {}
@@ -62,3 +63,16 @@ with v as (
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
 from s qualify rank <= 10
 """
+
+
+@query
+def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings, formatted into windows and read back."""
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionAll(extra)
+    return chat.digests(chat.windows(turns))
+
+
+ORACLES["op6_chat_windows"] = chat.ORACLE_SQL
