@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat
+from . import chat, decontaminate, mixing
 from .common import documents, held_out
 
 QUERIES: dict = {}
@@ -76,3 +76,18 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_chat_windows"] = chat.ORACLE_SQL
+
+
+@query
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, sources mixed to the square root of their mass."""
+    return mixing.mix(documents(spark, sf_dir))
+
+
+ORACLES["op3_mix_sources"] = mixing.oracle_sql()
+
+
+@query
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of all documents that repeat a benchmark item."""
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
