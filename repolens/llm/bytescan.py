@@ -182,3 +182,25 @@ def cuts(data: np.ndarray, lo: int, hi: int, most: int = PIECE) -> Iterator[tupl
         yield lo, found
         lo = found
     yield lo, hi
+
+
+def super_kmers(kmers: np.ndarray, windows: np.ndarray, first: np.ndarray, width: int, k: int) -> tuple[np.ndarray, ...]:
+    """Runs of consecutive windows of ``width`` units that share their minimiser, inside documents.
+
+    ``kmers`` and ``windows`` are fingerprints of the runs of ``k`` and ``width`` units; ``first`` (documents + 1) the unit at
+    which each document begins.  Returns document, first window, number of windows, the minimiser's fingerprint, and a
+    fingerprint of the run's whole content: its first and last window, which overlap, and where the minimiser stands."""
+    n = len(windows)
+    if n <= 0:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    at = minimisers(kmers, width - k + 1)
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    inside = np.flatnonzero(doc[:n] == doc[width - 1:])
+    mine = at[inside]
+    begins = np.ones(len(inside), bool)
+    begins[1:] = (mine[1:] != mine[:-1]) | (inside[1:] != inside[:-1] + 1)
+    b = np.flatnonzero(begins)
+    i0, i1, p = inside[b], inside[np.concatenate([b[1:], [len(inside)]]) - 1] if len(b) else inside[b], mine[b]
+    content = join(join(windows[i0], windows[i1]), ((i1 - i0) << 32 | (p - i0)).astype(np.uint64))
+    return doc[i0], i0 - first[doc[i0]], i1 - i0 + 1, kmers[p], content

@@ -91,3 +91,11 @@ ORACLES["op3_mix_sources"] = mixing.oracle_sql()
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of all documents that repeat a benchmark item."""
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 50-word windows that a smaller document has too."""
+    from . import substring_dedup
+    out = substring_dedup.dedup(documents(spark, sf_dir))
+    return out.select("row.doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
