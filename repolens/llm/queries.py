@@ -99,3 +99,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import substring_dedup
     out = substring_dedup.dedup(documents(spark, sf_dir))
     return out.select("row.doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 200-byte strings that also start elsewhere."""
+    from . import suffix_levels
+    out = suffix_levels.dedup(documents(spark, sf_dir))
+    return out.select("row.doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -46,8 +46,8 @@ class Words:
         return bytescan.span_hashes(data, starts, ends), first
 
     @staticmethod
-    def prints(h: np.ndarray, length: int) -> np.ndarray:
-        return bytescan.ladder(h, length)
+    def prints(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return bytescan.ladder(h, 12), bytescan.ladder(h, 50)
 
     @staticmethod
     def units(raw: bytes):
@@ -74,8 +74,12 @@ class Bytes:
         return data, off
 
     @staticmethod
-    def prints(h: np.ndarray, length: int) -> np.ndarray:
-        return bytescan.ladder(bytescan.bytes_hashes(h), length, 8)
+    def prints(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        eight = bytescan.bytes_hashes(h)
+        kmers = bytescan.ladder(eight, 32, 8)
+        if len(h) < 200:
+            return kmers, kmers[:0]
+        return kmers, bytescan.join(bytescan.ladder(kmers, 192, 32)[:len(h) - 199], eight[192:])
 
     @staticmethod
     def units(raw: bytes):
@@ -107,8 +111,8 @@ def runs(docs: DataFrame, unit) -> DataFrame:
                 step = SLICE if b - a == 1 else max(len(h), 1)
                 for lo in range(0, max(len(h) - unit.width + 1, 0), step):
                     part = h[lo:lo + step + unit.width - 1]
-                    doc, at, n, key, cls = bytescan.super_kmers(unit.prints(part, unit.k), unit.prints(part, unit.width),
-                                                                np.minimum(first, len(part)) if b - a > 1 else np.array([0, len(part)]), unit.width, unit.k)
+                    own = first if b - a > 1 else np.array([0, len(part)])
+                    doc, at, n, key, cls = bytescan.super_kmers(*unit.prints(part), own, unit.width, unit.k)
                     if len(doc):
                         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(ids[a:b][doc]),
                                                           pa.array(tags[a:b][doc]), pa.array(at + lo), pa.array(n.astype(np.int32))], schema=schema)
@@ -133,7 +137,7 @@ def packed(texts: DataFrame, wanted: DataFrame, unit) -> DataFrame:
                     string = unit.pack(units, r["at"], r["at"] + r["n"] + unit.width - 1)
                     if r["crowded"]:
                         raw = np.frombuffer(string, np.uint8)
-                        w = unit.prints(unit.hashes(raw, np.array([0, len(raw)]))[0], unit.width)
+                        w = unit.prints(unit.hashes(raw, np.array([0, len(raw)]))[0])[1]
                         out += [(r["key"], r["cls"], doc, None, j, x) for j, x in enumerate(w.view(np.int64).tolist())]
                     else:
                         out.append((r["key"], r["cls"], doc, string, None, None))
