@@ -107,3 +107,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffix_levels
     out = suffix_levels.dedup(documents(spark, sf_dir))
     return out.select("row.doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    from . import jaccard_join
+    return jaccard_join.join(documents(spark, sf_dir))
