@@ -1,23 +1,73 @@
-"""The corpus pipeline: documents through the filters and the mixture, stage by stage.
+"""The corpus pipeline: documents through the filters and into the mixture, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet below spark.checkpoint.dir
-and hands the reread table to the next stage.
+and hands the reread table to the next stage.  All stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from repolens.llm.common import documents, written
+from repolens.llm import decontaminate, jaccard_join, language_id, mixing, suffix_levels
+from repolens.llm.common import documents, without_ids, written
 
-STAGES: list = []
+#: A cosine below this resembles no learned language; a single short word stays above it.
+LEAST_LANGUAGE_SCORE = 0.01
 
-#: Language vectors, suffix levels and fingerprints have no SQL form; tests hold each stage against a plain version.
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in one of the languages that the labelled documents teach.  Rejected: no letter, or close to
+    none of the languages.  Where no row has a label, only texts without a letter are rejected."""
+    profiles = language_id.learn(docs)
+    if not profiles.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    rows = language_id.predict(docs, profiles, whole_rows=True)
+    return rows.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, the one with the smallest id; of rows that are equal in all columns, one."""
+    found = jaccard_join.join(docs)
+    kept = without_ids(docs, found.where("doc_id <> component_id").select("doc_id"))
+    again = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "repeated_ids")
+    return without_ids(kept, again).unionAll(kept.join(again, "doc_id", "left_semi").select(*kept.columns).distinct())
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 200 bytes or more that stand elsewhere too; what loses all its words goes."""
+    out = suffix_levels.dedup(docs, as_text=True)
+    changed = {"text": F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text")).alias("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars")
+    return (out.where((F.col("n_removed") == 0) | (F.trim("kept") != ""))
+            .select(*[changed.get(c, F.col(f"row.`{c}`")) for c in docs.columns]))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return decontaminate.without_leaks(docs, decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents, sources mixed to the square root of their mass, with the number of each copy."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_leaks),
+    ("mixing sources", mixture),
+]
+
+#: Language vectors and fingerprints have no SQL form; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{i}")
     return docs

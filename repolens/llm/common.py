@@ -77,5 +77,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return roots.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def no_rows(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+#: Ids up to this number are broadcast, 16 bytes each; a longer list is joined by a shuffle.
+MOST_IDS = 2_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is not in the one column of ``ids``; rows with a null id stay."""
+    ids = written(ids.select(F.col(ids.columns[0]).alias("gone_id")).distinct(), "gone_ids")
+    few = ids.count() <= MOST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, F.col(id_col) == F.col("gone_id"), "left_anti")

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import without_ids
+
 SHINGLE = 5
 RADIUS = 18
 SIMILARITY = 0.8
@@ -92,4 +94,4 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_
 
 def without_leaks(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id has no leak, all columns as they are."""
-    return docs.join(found.select(F.col("doc_id").alias("leaked")).distinct(), F.col(id_col) == F.col("leaked"), "left_anti")
+    return without_ids(docs, found.select("doc_id"), id_col)

@@ -28,8 +28,6 @@ PIECE = 2 << 20
 #: Labels are a closed set; more distinct ones than this are refused.
 MOST_LANGUAGES = 4096
 
-_OUT = "doc_id long, lang_pred string, score double"
-
 
 @dataclass
 class Profiles:
@@ -136,8 +134,9 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Pr
     return Profiles([x for x, _ in found], (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32))
 
 
-def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
     """doc_id, lang_pred, score of every row: the language of the largest cosine, ties to the first in the alphabet.
+    With ``whole_rows`` the first column is ``row``, the whole input row, in place of the id.
 
     ``score`` is that cosine, at least 0.  A text that is null, empty or has no letter gives ``und`` and 0, and so does
     any text when no language was learned.  A null id stays null; repeated rows give repeated rows; other columns are
@@ -162,7 +161,8 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
                     has = counts.any(1)
                     names = [languages[i] if x else "und" for i, x in zip(best.tolist(), has.tolist())]
                     score = np.where(has, np.clip(cosine[np.arange(n), best], 0, 1), 0).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, n), pa.array(names, pa.string()), pa.array(score)], schema=arrow_schema(_OUT))
+                yield pa.RecordBatch.from_arrays([ids.slice(a, n), pa.array(names, pa.string()), pa.array(score)], names=[first, "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return scan(rows, run, _OUT)
+    first = "row" if whole_rows else "doc_id"
+    rows = docs.select((F.struct("*") if whole_rows else F.col(id_col).cast("long")).alias(first), F.col(text_col).cast("string").alias("text"))
+    return scan(rows, run, f"{first} {rows.schema[first].dataType.simpleString()}, lang_pred string, score double")

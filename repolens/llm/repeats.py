@@ -183,7 +183,7 @@ def compare(strings: DataFrame, unit, ranked: bool) -> DataFrame:
     return found.unionAll(crowded.select("key", "cls", "place", F.lit(1).alias("count")))
 
 
-def cut(texts: DataFrame, spans: DataFrame, unit, kept_type: str, apply: Callable[[bytes, list[tuple[int, int]]], tuple]) -> DataFrame:
+def cut(texts: DataFrame, spans: DataFrame, kept_type: str, apply: Callable[[bytes, list[tuple[int, int]]], tuple]) -> DataFrame:
     """``texts`` (row, doc_id, tag, text) with the fields of ``apply(text, merged spans)``: kept, n_units, n_removed, n_spans."""
     per_doc = spans.groupBy(F.col("doc_id").alias("of"), F.col("tag").alias("as")).agg(
         F.array_sort(F.collect_set(F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))).alias("spans"))

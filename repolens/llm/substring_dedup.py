@@ -50,4 +50,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     first = held.where("doc_id = least").select("key", "cls", "doc_id", "tag", "at")
     part = partial.join(first, ["key", "cls"]).select("doc_id", "tag", (F.col("at") + F.col("place")).alias("a"),
                                                        (F.col("at") + F.col("place") + F.col("count") - 1 + Words.width).alias("b"))
-    return repeats.cut(texts, whole.unionAll(part), Words, "string", _apply)
+    return repeats.cut(texts, whole.unionAll(part), "string", _apply)

@@ -70,8 +70,15 @@ def _apply(raw: bytes, spans: list[tuple[int, int]]) -> tuple:
     return out, len(raw), len(raw) - len(out), len(spans)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
+def _apply_text(raw: bytes, spans: list[tuple[int, int]]) -> tuple:
+    """As ``_apply``, without what is left of a character that a span cuts through."""
+    out, *numbers = _apply(raw, spans)
+    return out.decode("utf-8", "ignore").encode(), *numbers
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, as_text: bool = False) -> DataFrame:
     """row (the whole input row), kept (the bytes that stay), n_units (bytes), n_removed, n_spans (maximal removed runs).
+    With ``as_text``, ``kept`` is a string, without the rest of a character that a span cuts through.
 
     A byte goes if a string of 200 bytes that covers it also starts anywhere else, in the same document or another; what
     is left of other documents doesn't matter.  Null, empty and short texts lose nothing; null gives an empty ``kept``.
@@ -103,4 +110,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     single = classes.where("copies = 1").select("key", "cls", "doc_id", "tag", "at")
     part = partial.join(single, ["key", "cls"]).select("doc_id", "tag", (F.col("at") + F.col("place")).alias("a"),
                                                         (F.col("at") + F.col("place") + F.col("count") - 1 + Bytes.width).alias("b"))
-    return repeats.cut(texts, whole.unionAll(part), Bytes, "binary", _apply)
+    return repeats.cut(texts, whole.unionAll(part), "string" if as_text else "binary", _apply_text if as_text else _apply)
