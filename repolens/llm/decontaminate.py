@@ -58,7 +58,7 @@ def _similarity(a: Column, b: Column) -> Column:
     count = lambda x, h: F.size(F.filter(x, lambda y: y == h))
     both = F.array_distinct(F.concat(a, b))
     add = lambda pick: F.aggregate(both, F.lit(0), lambda s, h: s + pick(count(a, h), count(b, h)))
-    return add(F.least) / add(F.greatest)
+    return F.try_divide(add(F.least), add(F.greatest))  # null if neither has a shingle
 
 
 def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",

@@ -80,14 +80,14 @@ def _block(k: int, scale: float):
             with np.errstate(divide="ignore", invalid="ignore"):
                 cosine = np.where((qlength > 0) & (length[0] > 0) & (threshold > 0), threshold / (qlength * length[0]) / _MARGIN, -1.0)
                 reach = np.where((threshold > 0) & (qlength > 0), threshold / qlength / _MARGIN, 0.0)
-            by_length = np.flatnonzero(cosine < COORDINATE)
+            by_length = np.flatnonzero((cosine < COORDINATE) | (cosine < 0))
             if len(by_length):
                 n = int(np.searchsorted(-length, -reach[by_length].min(), "right"))
                 for i, row in zip(by_length, _products(q[by_length], v[:n])):
                     use = np.flatnonzero((ids[:n] != qids[i]) & (row >= threshold[i]))
                     top = use[_best(row[use], ids[use], k)]
                     out.append((np.full(len(top), qids[i]), ids[top], row[top]))
-            for i in np.flatnonzero((cosine >= COORDINATE) & (cosine <= 1)):
+            for i in np.flatnonzero((cosine >= max(COORDINATE, 0)) & (cosine <= 1)):
                 n = int(np.searchsorted(-length, -reach[i], "right"))
                 alive = ids[:n] != qids[i]
                 d = min(v.shape[1], q.shape[1])
