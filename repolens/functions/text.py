@@ -44,13 +44,13 @@ def clean_message(c) -> Column:
 
 
 def clean_title(c) -> Column:
-    """Tabs to spaces in titles and counts (P5)."""
-    return F.translate(_c(c), "\t", " ")
+    """Tabs and line ends to spaces in titles and counts (P5)."""
+    return F.translate(_c(c), "\t\r\n", "   ")
 
 
 def unknown_author(c) -> Column:
-    """Missing author -> 'Unknown' (P6)."""
-    return F.coalesce(_c(c), F.lit("Unknown"))
+    """Missing or empty author -> 'Unknown' (P6)."""
+    return F.coalesce(F.nullif(F.trim(_c(c)), F.lit("")), F.lit("Unknown"))
 
 
 # File extensions that are not code (exact, case-sensitive;
@@ -145,9 +145,11 @@ def path_parts(c) -> tuple[Column, Column]:
 
 
 def resolve_rename(c) -> Column:
-    """``{old => new}`` rename notation -> ``old`` (the first group, as the
-    source application does) (P19)."""
-    return F.regexp_replace(_c(c), r"\{([^}]+)\s=>\s([^}]*)\}", "$1")
+    """The old path of git's rename notation ``dir/{old => new}/file``,
+    either part of which may be empty (P19)."""
+    c = _c(c)
+    old = F.regexp_replace(c, "[{](.*?) => .*?[}]", "$1")
+    return F.when(c.contains(" => "), F.regexp_replace(old, "/{2,}", "/")).otherwise(c)
 
 
 # Chart colours cycled by tree depth.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,7 +33,7 @@ def since(df, date_mdy: str | None, col: str = "committed_at"):
     if not date_mdy:
         return df
     if dict(df.dtypes).get(col) == "double":  # epoch seconds
-        epoch = datetime.strptime(date_mdy, "%m/%d/%Y").timestamp()
+        epoch = datetime.strptime(date_mdy, "%m/%d/%Y").replace(tzinfo=timezone.utc).timestamp()
         return df.filter(F.col(col) >= F.lit(epoch))
     return df.filter(F.col(col) >= since_literal(date_mdy))
 

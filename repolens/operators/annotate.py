@@ -25,7 +25,6 @@ from pyspark.sql.utils import AnalysisException
 
 from .. import REPO
 
-from ..plans.helpers import maybe_broadcast
 from ..session import cut_lineage
 
 # Answer length limit, shorten rounds, garbage marker.
@@ -44,7 +43,6 @@ TEMPLATES = {
     "summarize_pr": "Summarize these change descriptions:\n{prs}",
     "describe_code": "Filename: {filename}\nFunction: {func_name}\n{code}",
     "rate_code": "Rate readability 0-1.\nFilename: {filename}\nFunction: {func_name}\n{code}",
-    "summarize_data": "{data}",
 }
 
 
@@ -84,12 +82,23 @@ def _read_cache(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], CACHE_SCHEMA)
 
 
+def _answers(completer, prompts: list[str]) -> list:
+    """One answer per prompt; when a batch fails its prompts are asked one
+    by one, and those that fail again have none."""
+    try:
+        return completer(prompts)
+    except Exception:
+        if len(prompts) == 1:
+            return [None]
+        return [_answers(completer, [p])[0] for p in prompts]
+
+
 def _call(completer, model):
     def run(batches):
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            out = completer(list(pdf["prompt"]))
+            out = _answers(completer, list(pdf["prompt"]))
             texts, pt, ct = [], [], []
             for prompt, o in zip(pdf["prompt"], out):
                 if isinstance(o, tuple):
@@ -98,7 +107,7 @@ def _call(completer, model):
                     t, a, b = o, None, None
                 t = None if t is None else str(t).strip()
                 if t is not None and t.startswith(GARBAGE_PREFIX):
-                    raise ValueError("completer returned garbage")  # L4
+                    t = None                   # L4: a reject row, see ``rejects``
                 texts.append(t)
                 pt.append(a if a is not None else -(-len(prompt) // 4))
                 ct.append(b if b is not None else -(-len(t or "") // 4))
@@ -113,7 +122,9 @@ def annotate(df: DataFrame, prompt: Column, completer, cache_path: str, model: s
 
     Work done: one call per distinct prompt not yet in the cache.  The cache
     is a parquet table at ``cache_path`` (shared storage); answers are
-    appended before they are read back.
+    appended before they are read back.  A garbage answer (L4) or a failed
+    call costs its own row only: it is stored as a reject without an answer,
+    the row's answer is NULL, and the next run asks again.
     """
     spark = df.sparkSession
     # the input is written once: the calls and the join back read the same
@@ -123,20 +134,29 @@ def annotate(df: DataFrame, prompt: Column, completer, cache_path: str, model: s
     cache = _read_cache(spark, cache_path)
     todo = (keyed.select(F.col("_key").alias("key"), F.col("_prompt").alias("prompt"))
             .dropDuplicates(["key"])
-            .join(cache.select("key"), "key", "left_anti"))
+            .join(cache.filter("answer is not null").select("key"), "key", "left_anti"))
     # max_callers bounds the concurrent calls to a rate-limited service;
     # by default the calls spread over the cluster's cores
     callers = max_callers or max(spark.sparkContext.defaultParallelism * 2, 1)
     new = todo.repartition(callers, "key").mapInPandas(_call(completer, model), CACHE_SCHEMA)
     new.write.mode("append").parquet(cache_path)
-    answers = (_read_cache(spark, cache_path).groupBy("key")
-               .agg(F.min_by("answer", "prompt_tokens").alias(out)))
+    # only the answers that the input needs are read back
+    answers = (_read_cache(spark, cache_path).filter("answer is not null")
+               .join(keyed.select(F.col("_key").alias("key")), "key", "left_semi")
+               .groupBy("key").agg(F.min("answer").alias(out)))
     return keyed.join(answers, keyed["_key"] == answers["key"], "left").drop("key", "_key", "_prompt")
 
 
+def rejects(spark: SparkSession, cache_path: str) -> DataFrame:
+    """Prompts that have got no usable answer yet (L4)."""
+    cache = _read_cache(spark, cache_path)
+    good = cache.filter("answer is not null").select("key")
+    return cache.filter("answer is null").join(good, "key", "left_anti").select("key", "model", "prompt").distinct()
+
+
 def cache_size(spark: SparkSession, cache_path: str) -> int:
     """Number of answers stored (each one model call)."""
-    return _read_cache(spark, cache_path).count()
+    return _read_cache(spark, cache_path).filter("answer is not null").count()
 
 
 def shorten(df: DataFrame, text: str, completer, cache_path: str, filename: str = "filename",
@@ -148,6 +168,8 @@ def shorten(df: DataFrame, text: str, completer, cache_path: str, filename: str
     cur = df.withColumn("_t", F.col(text))
     for _ in range(rounds):
         too_long = F.length(F.trim("_t")) > max_len
+        if cur.filter(too_long).isEmpty():
+            break
         p = render(TEMPLATES["shorter_summarize_diff"], filename=filename, long_summary="_t")
         redo = annotate(cur.filter(too_long), p, completer, cache_path, model, out="_new")
         cur = cut_lineage(cur.filter(~too_long | F.col("_t").isNull())
@@ -156,59 +178,60 @@ def shorten(df: DataFrame, text: str, completer, cache_path: str, filename: str
             .drop("_t"))
 
 
-# Price lists up to this many entries are looked up from a map literal; a
-# larger list (not a price list any more) is joined instead.
-PRICE_LOOKUP_MAX = 10_000
-
-
 def price_calls(calls: DataFrame, pricing: DataFrame) -> DataFrame:
     """Cost per call = tokens x USD per 1M tokens, input plus output (A16),
-    as exact decimals.  The price list is configuration (a few entries):
-    it becomes a map literal, so pricing a call is a lookup, not a join;
-    beyond ``PRICE_LOOKUP_MAX`` entries an equi-join does the same."""
+    as exact decimals; NULL for an unlisted model.  A (service, model) that
+    the list holds twice fails the job: neither price would be right."""
     per_token = F.lit(Decimal("0.000001"))
-    pr = pricing.select(F.concat_ws("|", "service", "model").alias("k"),
-                        F.col("input").cast("decimal(12,6)").alias("i"),
-                        F.col("output").cast("decimal(12,6)").alias("o"))
-    rows = pr.limit(PRICE_LOOKUP_MAX + 1).collect()
-    if len(rows) <= PRICE_LOOKUP_MAX:
-        def lookup(values):
-            m = F.create_map(*[x for r in rows for x in (F.lit(r["k"]), F.lit(values(r)).cast("decimal(12,6)"))]) \
-                if rows else F.create_map().cast("map<string,decimal(12,6)>")
-            return F.try_element_at(m, F.concat_ws("|", "service", "model"))
-        p_in, p_out = lookup(lambda r: r["i"]), lookup(lambda r: r["o"])
-        out = calls
-    else:
-        out = calls.join(pr.withColumnRenamed("i", "_pin").withColumnRenamed("o", "_pout"),
-                         F.concat_ws("|", calls.service, calls.model) == pr.k, "left").drop("k")
-        p_in, p_out = F.col("_pin"), F.col("_pout")
-    cost = (F.col("input_tokens").cast("decimal(20,0)") * (p_in * per_token)
-            + F.col("output_tokens").cast("decimal(20,0)") * (p_out * per_token))
-    return out.withColumn("cost", cost).drop("_pin", "_pout")
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("repeated entry in the price list")))
+    price = lambda c: F.coalesce(once, F.max(F.col(c).cast("decimal(12,6)")))
+    pr = pricing.groupBy("service", "model").agg(price("input").alias("_pin"), price("output").alias("_pout"))
+    out = calls.join(pr, ["service", "model"], "left")
+    cost = (F.col("input_tokens").cast("decimal(20,0)") * (F.col("_pin") * per_token)
+            + F.col("output_tokens").cast("decimal(20,0)") * (F.col("_pout") * per_token))
+    return out.select(*calls.columns, cost.alias("cost"))
+
+
+# What the model is asked about each data set.
+STEMS = {
+    "author-commits-summary": "Describe how the work is spread over the authors, from these rows of commits by author:",
+    "file-commit-count-summary": "Describe which files change most, from these rows of commits by file:",
+    "commit-count-by-date-summary": "Describe how activity changes over time, from these rows of commits by date:",
+    "churn-summary": "Describe where code is rewritten most, from these nodes of the churn tree:",
+    "overall-tags-summary": "Describe what kinds of work are done, from these rows of tag totals:",
+    "tags-by-week-summary": "Describe how the kinds of work shift, from these weekly tag shares:",
+}
+DEFAULT_STEM = "Describe what this data set shows:"
 
 
 def summarise_datasets(datasets: dict, spans: DataFrame, existing: DataFrame | None, completer,
                        cache_path: str, ai_model: str = "offline|extractive",
-                       created_at: str | None = None) -> DataFrame:
+                       created_at: str | None = None, max_tokens: int = 8000) -> DataFrame:
     """Summaries of data sets (L8, U6): each data set's content key per
     repository; data sets whose (repo, name, key) is stored already are
-    skipped; the rest get a paragraph from the completer over a
-    description of the data set (name, row count, key) -- bounded text, not
-    the whole data set -- with the repository's date span (A15).
+    skipped; of the rest every row goes to the completer as JSON, in blocks
+    of ``max_tokens``, whose answers are combined level by level (R6) into
+    one paragraph, with the repository's date span (A15).
     Output has the ``summaries`` schema."""
-    from ..operators.load import data_fingerprint, save_summary_if_new
-    parts = []
+    from .load import data_fingerprint, save_summary_if_new
+    from .retrieve import tree_summarise
+    cand = lines = None
     for name, ds in datasets.items():
-        parts.append(data_fingerprint(ds).withColumn("name", F.lit(name)))
-    cand = parts[0]
-    for p_ in parts[1:]:
-        cand = cand.unionByName(p_)
+        key = data_fingerprint(ds).withColumn("name", F.lit(name))
+        rows = ds.select(*REPO, F.lit(name).alias("name"),
+                         F.to_json(F.struct(*[c for c in ds.columns if c not in REPO])).alias("line"))
+        cand = key if cand is None else cand.unionByName(key)
+        lines = rows if lines is None else lines.unionByName(rows)
     if existing is not None:
         cand = save_summary_if_new(existing, cand)
     service, model = ai_model.split("|", 1)
-    prompt = render(TEMPLATES["summarize_data"].replace("{data}", "Data set {name}: {rows} rows, key {hash}"),
-                    name="name", rows=F.col("rows").cast("string"), hash="hash")
-    out = annotate(cand, prompt, completer, cache_path, model=ai_model, out="summary")
+    group = [*REPO, "name", "hash"]
+    lines = lines.join(cand.select(*group), [*REPO, "name"])
+    stem = F.lit(DEFAULT_STEM)
+    for name, text in STEMS.items():
+        stem = F.when(F.col("name") == name, F.lit(text)).otherwise(stem)
+    out = tree_summarise(lines, group, "line", "line", completer, cache_path, fan_in=100_000,
+                         model=ai_model, max_tokens=max_tokens, stem=stem)
     when = F.lit(created_at).cast("timestamp_ntz") if created_at else F.localtimestamp()
     return (out.join(spans.select(*REPO, F.col("first_date").alias("start_date"),
                                   F.col("last_date").alias("end_date")), list(REPO), "left")
@@ -221,8 +244,9 @@ def summarise_datasets(datasets: dict, spans: DataFrame, existing: DataFrame | N
 # Deterministic offline completers (picklable, no network).
 
 class ExtractiveCompleter:
-    """Answers with the first ``words`` words of the prompt's last section
-    (after the last blank-line or header line): a stand-in summariser."""
+    """Answers with ``words`` words taken evenly from the whole prompt (all
+    of them in a shorter one): a stand-in summariser that reads its input to
+    the end and leaves out no line by rule."""
 
     def __init__(self, words: int = 40, prefix: str = ""):
         self.words, self.prefix = words, prefix
@@ -230,9 +254,9 @@ class ExtractiveCompleter:
     def __call__(self, prompts):
         out = []
         for p in prompts:
-            body = p.split("\n", 2)[-1] if "\n" in p else p
-            w = body.split()
-            out.append(self.prefix + " ".join(w[: self.words]))
+            w = p.split()
+            n = min(self.words, len(w))
+            out.append(self.prefix + " ".join(w[i * len(w) // n] for i in range(n)))
         return out
 
 

@@ -10,13 +10,16 @@ relational.
 from __future__ import annotations
 
 import ast
+import io
+import re
+import tokenize
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import REPO
-from ..plans.helpers import maybe_broadcast, spread
+from ..plans.helpers import spread
 from ..schemas import FUNCTIONS, TOP_LEVEL
 
 # Weights of the composite score, in the order
@@ -31,13 +34,24 @@ _NEST = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Match)
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
-def _segment(lines: list[str], node) -> str:
-    """Source text of ``node`` by its line/column positions (character
-    offsets, so non-ASCII text stays aligned, D5)."""
+def _lines(source: str) -> list[bytes]:
+    """Lines as the parser counts them: form feeds and other Unicode line
+    separators do not end a line."""
+    return [ln.encode("utf-8", "surrogatepass") for ln in _LINE.findall(source)]
+
+
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+\Z")
+
+
+def _segment(lines: list[bytes], node) -> str:
+    """Source text of ``node``.  The parser's columns count UTF-8 bytes, so
+    the encoded lines are sliced (D5)."""
     s, e = node.lineno - 1, node.end_lineno - 1
     if s == e:
-        return lines[s][node.col_offset:node.end_col_offset]
-    return "".join([lines[s][node.col_offset:]] + lines[s + 1:e] + [lines[e][:node.end_col_offset]])
+        part = lines[s][node.col_offset:node.end_col_offset]
+    else:
+        part = b"".join([lines[s][node.col_offset:], *lines[s + 1:e], lines[e][:node.end_col_offset]])
+    return part.decode("utf-8", "replace")
 
 
 def _children(node):
@@ -51,9 +65,29 @@ def _children(node):
                     yield x
 
 
-def _location(node) -> dict:
-    return {"start": {"line": node.lineno, "character": node.col_offset},
-            "end": {"line": node.end_lineno, "character": node.end_col_offset}}
+def _location(lines: list[bytes], node) -> dict:
+    """Lines from 1, columns in characters."""
+    def column(line, offset):
+        return len(lines[line - 1][:offset].decode("utf-8", "replace"))
+    return {"start": {"line": node.lineno, "character": column(node.lineno, node.col_offset)},
+            "end": {"line": node.end_lineno, "character": column(node.end_lineno, node.end_col_offset)}}
+
+
+def _parse(source: str):
+    """(tree, reason it cannot be parsed): also too deep nesting."""
+    try:
+        return ast.parse(source), None
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        return None, f"{type(e).__name__}: {e}"[:200]
+
+
+def _comments(source: str) -> list[tuple[int, str]]:
+    """(line, text) of every comment, trailing ones too; none inside strings."""
+    try:
+        return [(t.start[0], t.string) for t in tokenize.generate_tokens(io.StringIO(source).readline)
+                if t.type == tokenize.COMMENT]
+    except (tokenize.TokenError, SyntaxError, IndentationError):
+        return []
 
 
 _VARS = (ast.Name, ast.arg, ast.Assign, ast.AnnAssign, ast.AugAssign)
@@ -69,11 +103,10 @@ def parse_definitions(file_path: str, source: str) -> list[dict]:
     max over control nodes of (depth + 1), control depth = max number of
     control nodes on a path, variables = names, parameters and assignments,
     calls = callee text in pre-order, imports inside the function."""
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError):
+    tree, _ = _parse(source)
+    if tree is None:
         return []
-    lines = source.splitlines(keepends=True)
+    lines, comments = _lines(source), _comments(source)
     out = []
     # stack items: (node, ((ctx, depth below ctx's function, control depth), ...))
     stack = [(tree, ())]
@@ -101,19 +134,19 @@ def parse_definitions(file_path: str, source: str) -> list[dict]:
         if isinstance(node, _DEFS):
             code = _segment(lines, node)
             ctx = dict(file_path=file_path, type="function", name=node.name, code=code,
-                       lines_of_code=len(code.splitlines()), cyclomatic_complexity=1,
+                       lines_of_code=len(_LINE.findall(code)), cyclomatic_complexity=1,
                        nesting_depth=0, control_depth=0, number_of_variables=0,
                        calls=[], imports=[], docstring=ast.get_docstring(node),
-                       comments=[ln.strip() for ln in code.splitlines() if ln.strip().startswith("#")],
-                       location=_location(node))
+                       comments=[c for n, c in comments if node.lineno <= n <= node.end_lineno],
+                       location=_location(lines, node))
             out.append(ctx)
             enc = enc + ((ctx, 0, 0),)
         elif isinstance(node, ast.ClassDef):
             code = _segment(lines, node)
             out.append(dict(file_path=file_path, type="class", name=node.name, code=code,
-                            lines_of_code=len(code.splitlines()), calls=[], imports=[],
+                            lines_of_code=len(_LINE.findall(code)), calls=[], imports=[],
                             comments=[], docstring=ast.get_docstring(node),
-                            location=_location(node)))
+                            location=_location(lines, node)))
         for ch in reversed(list(_children(node))):
             nest = isinstance(ch, _NEST)
             stack.append((ch, tuple((c, d + 1, cd + (1 if nest else 0)) for c, d, cd in enc)))
@@ -126,14 +159,13 @@ def parse_definitions(file_path: str, source: str) -> list[dict]:
 def parse_top_level(file_path: str, source: str) -> dict:
     """Imports anywhere in the file (``import`` and ``from``) and statements
     outside definitions, de-duplicated, imports excluded (M7, M8)."""
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError):
+    tree, _ = _parse(source)
+    if tree is None:
         return dict(file_path=file_path, imports=[], code=[])
-    lines = source.splitlines(keepends=True)
+    lines = _lines(source)
     imports = [_segment(lines, n).strip() for n in ast.walk(tree)
                if isinstance(n, (ast.Import, ast.ImportFrom))]
-    code = []
+    code, seen = [], set(imports) | {""}
 
     def visit(body):
         for st in body:
@@ -143,12 +175,26 @@ def parse_top_level(file_path: str, source: str) -> dict:
                 visit(st.body)
                 continue
             seg = _segment(lines, st).strip()
-            if seg and seg not in imports and seg not in code:
+            if seg not in seen:
+                seen.add(seg)
                 code.append(seg)
     visit(tree.body)
     return dict(file_path=file_path, imports=imports, code=code)
 
 
+def unparsable(files: DataFrame, path: str = "file_path", text: str = "content") -> DataFrame:
+    """The files that M1 gives no rows for, with the reason."""
+    schema = "repo_owner string, repo_name string, file_path string, reason string"
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(o, r, p, _parse(src)[1]) for o, r, p, src
+                    in zip(pdf["repo_owner"], pdf["repo_name"], pdf[path], pdf[text]) if src is not None]
+            yield pd.DataFrame([x for x in rows if x[3]], columns=["repo_owner", "repo_name", "file_path", "reason"])
+
+    return files.select(*REPO, path, text).mapInPandas(run, schema)
+
+
 def _ext(path: str) -> str:
     leaf = path.rsplit("/", 1)[-1]
     body = leaf.lstrip(".")
@@ -211,7 +257,7 @@ def composite_complexity(functions: DataFrame, readability_col: str = "llm_code_
     maximum (0 when the maximum is 0) plus weighted readability; NULL for
     classes.  The maxima are one row per repository, joined back (broadcast
     after a size check) -- no window holds a whole repository."""
-    mx = maybe_broadcast(metric_maxima(functions))
+    mx = metric_maxima(functions)
     j = functions.join(mx, list(REPO), "left")
 
     def ratio(c, m):

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import REPO
-from ..plans.helpers import maybe_broadcast
 
 
 def first_per_key(batch: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -36,12 +35,11 @@ def insert_new(target: DataFrame, batch: DataFrame, keys: list[str],
     already in the target are skipped.  ``batch.count() - result.count()`` is
     the number skipped."""
     first = first_per_key(batch, keys, order)
-    # The target (the big table) is only scanned: a semi join with the
-    # batch's keys (the small side, broadcast when its estimate allows)
-    # keeps the target rows that collide, and the anti join runs against
-    # those -- the target itself is never shuffled.
+    # A semi join with the batch's keys keeps the target rows that collide,
+    # and the anti join runs against those.  The join strategy is left to
+    # AQE, which broadcasts the batch by its measured size.
     bkeys = first.select(*keys)
-    hits = target.select(*keys).join(maybe_broadcast(bkeys), keys, "left_semi")
+    hits = target.select(*keys).join(bkeys, keys, "left_semi")
     return first.join(hits, keys, "left_anti")
 
 
@@ -56,9 +54,7 @@ def update_by_key(target: DataFrame, updates: DataFrame, keys: list[str],
     ``updates`` must hold one row per key (see ``last_per_key``)."""
     u = updates.select(*keys, *[F.col(c).alias(f"_u_{c}") for c in cols],
                        F.lit(True).alias("_u_hit"))
-    # updates are usually few next to the target: broadcast them when the
-    # estimate allows, so the target is not shuffled
-    j = target.join(maybe_broadcast(u), keys, "left")
+    j = target.join(u, keys, "left")
     out = [F.when(F.col("_u_hit"), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c)
            if c in cols else F.col(c) for c in target.columns]
     return j.select(*out)
@@ -71,13 +67,15 @@ def not_found(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFra
 
 def backfill_descriptions(changes: DataFrame, log: DataFrame, enabled: bool = True) -> DataFrame:
     """Fill NULL descriptions from the description log (U5, U8, D2): the
-    latest text per (file, commit) by log time, the earlier line first on
-    equal times; rows that already have a description are kept."""
+    latest text per (file, commit) by log time, the earlier append and line
+    first on equal times; rows that already have a description are kept."""
     if not enabled:
         return changes
+    if "appended_at" not in log.columns:      # a log of one append
+        log = log.withColumn("appended_at", F.lit(0).cast("bigint"))
     latest = last_per_key(
-        log.select(*REPO, "filename", "commit_hash", "logged_at", "position", "text"),
-        [*REPO, "filename", "commit_hash"], ["logged_at", -F.col("position")])
+        log.select(*REPO, "filename", "commit_hash", "logged_at", "appended_at", "position", "text"),
+        [*REPO, "filename", "commit_hash"], ["logged_at", -F.col("appended_at"), -F.col("position")])
     lt = latest.select(*REPO, "filename", "commit_hash", F.col("text").alias("_log"))
     j = changes.join(lt, [*REPO, "filename", "commit_hash"], "left")
     return j.select(*[F.coalesce("description", "_log").alias("description")
@@ -101,15 +99,15 @@ def summary_for_display(summaries: DataFrame, name: str | None = None) -> DataFr
 def data_fingerprint(df: DataFrame, by: list[str] = list(REPO)) -> DataFrame:
     """Order-insensitive content key of a data set per repository.
 
-    The key combines a 64-bit hash of every row's JSON with XOR plus the row
-    count, so it is computed with partial aggregation instead of building the
-    data set's whole text in one place.
+    The key is two exact sums of 64-bit hashes of every row's JSON plus the
+    row count: sums, unlike XOR, tell repeated rows apart, and partial
+    aggregation never builds the data set's whole text in one place.
     """
     others = [c for c in df.columns if c not in by]
-    h = F.xxhash64(F.to_json(F.struct(*others)))
-    return (df.groupBy(*by).agg(F.bit_xor(h).alias("_x"), F.count(F.lit(1)).alias("rows"))
-            .select(*by, F.concat(F.lower(F.hex("_x")), F.lit("-"),
-                                  F.col("rows").cast("string")).alias("hash"), "rows"))
+    row = F.to_json(F.struct(*others))
+    wide = [F.sum(F.xxhash64(row, F.lit(i)).cast("decimal(38,0)")).cast("string").alias(f"_h{i}") for i in (1, 2)]
+    return (df.groupBy(*by).agg(*wide, F.count(F.lit(1)).alias("rows"))
+            .select(*by, F.concat_ws("-", F.md5(F.concat_ws(",", "_h1", "_h2")), "rows").alias("hash"), "rows"))
 
 
 def save_summary_if_new(existing: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import REPO
@@ -26,12 +26,21 @@ def _tokens(s: str) -> int:
     return -(-len(s) // 4)
 
 
+def _halves(word: str, size: int, counter) -> list[str]:
+    """A word longer than a chunk, cut by characters until its parts fit."""
+    if counter(word) <= size or len(word) < 2:
+        return [word]
+    mid = len(word) // 2
+    return _halves(word[:mid], size, counter) + _halves(word[mid:], size, counter)
+
+
 def split_chunks(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                  counter=_tokens) -> list[str]:
     """Greedy sentence packing (R1): sentences are added while the chunk
     stays within ``size`` tokens; a new chunk starts with the previous
     chunk's trailing sentences up to ``overlap`` tokens; a sentence longer
-    than ``size`` is cut at word boundaries.  The whole text is covered."""
+    than ``size`` is cut at word boundaries, a longer word by characters.
+    The whole text is covered."""
     if not text:
         return []
     sents = []
@@ -42,7 +51,7 @@ def split_chunks(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
             sents.append(s)
             continue
         cur = []
-        for w in s.split(" "):
+        for w in (x for w in s.split(" ") for x in _halves(w, size, counter)):
             if cur and counter(" ".join(cur + [w])) > size:
                 sents.append(" ".join(cur))
                 cur = []
@@ -143,62 +152,55 @@ def embed(df: DataFrame, text_col: str, embedder, out: str = "embedding") -> Dat
     return spread(df).mapInPandas(run, schema)
 
 
-# Query vectors broadcast per block; larger query sets run block by block
-# (exact for any size).
-QUERY_BLOCK = 4096
+# Vectors and queries of a block: what one task multiplies at once.
+QUERY_BLOCK = 1024
+VECTOR_BLOCK = 16_384
+
+
+def _unit(vectors) -> np.ndarray:
+    m = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
+    n = np.linalg.norm(m, axis=1)
+    n[n == 0] = np.inf
+    return m / n[:, None]
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, q_id: str = "query_id",
             q_vec: str = "query", v_id: str = "vec_id", v_vec: str = "embedding") -> DataFrame:
     """Exact k nearest vectors by cosine similarity per query.
 
-    The query block (checked size) is broadcast to the vector partitions;
-    each Arrow batch computes its similarities with one matrix product and
-    keeps only its own top k per query (ties by vector id), so no pair table
-    is materialised; the final top k runs on k rows per batch and query.
+    Queries and vectors are dealt to blocks by a hash of their ids; each pair
+    of blocks is one matrix product that keeps the block's top k per query
+    (ties by vector id).  Neither side passes the driver, no pair table is
+    made, and the final top k runs on k rows per query and vector block.
     Output: query_id, rank, vec_id, sim (double).
     """
-    spark = vectors.sparkSession
-    qs = queries.select(F.col(q_id).alias("q"), F.col(q_vec).alias("v"))
-    n_q = qs.count()
-    parts = []
-    for lo in range(0, max(n_q, 1), QUERY_BLOCK):
-        block = (qs.orderBy("q").offset(lo).limit(QUERY_BLOCK).collect() if n_q > QUERY_BLOCK
-                 else qs.collect())
-        if not block:
-            break
-        qid = [r["q"] for r in block]
-        qm = np.array([list(r["v"]) for r in block], dtype=np.float64)
-        qn = np.linalg.norm(qm, axis=1)
-        qn[qn == 0] = np.inf
-        bq = spark.sparkContext.broadcast((qid, qm / qn[:, None]))
-
-        def run(batches, bq=bq, k=k):
-            qids, qmat = bq.value
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                vm = np.array([np.asarray(v, dtype=np.float64) for v in pdf["_v"]])
-                vn = np.linalg.norm(vm, axis=1)
-                vn[vn == 0] = np.inf
-                sims = (vm / vn[:, None]) @ qmat.T  # rows: vectors, cols: queries
-                ids = pdf["_id"].to_numpy()
-                rows_q, rows_id, rows_s = [], [], []
-                for j, q in enumerate(qids):
-                    order = np.lexsort((ids, -sims[:, j]))[:k]
-                    rows_q.extend([q] * len(order))
-                    rows_id.extend(ids[order].tolist())
-                    rows_s.extend(sims[order, j].tolist())
-                yield pd.DataFrame({"query_id": rows_q, "vec_id": rows_id, "sim": rows_s})
-
-        schema = f"query_id {dict(qs.dtypes)['q']}, vec_id {dict(vectors.dtypes)[v_id]}, sim double"
-        cand = vectors.select(F.col(v_id).alias("_id"), F.col(v_vec).alias("_v")).mapInPandas(run, schema)
-        parts.append(cand)
-        if n_q <= QUERY_BLOCK:
-            break
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    def blocks(df, size):
+        return max(1, -(-df.count() // size))
+
+    nq, nv = blocks(queries, QUERY_BLOCK), blocks(vectors, VECTOR_BLOCK)
+    qs = queries.select(F.col(q_id).alias("query_id"), F.col(q_vec).cast("array<double>").alias("q")).withColumn(
+        "qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn(
+        "vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
+    vs = vectors.select(F.col(v_id).alias("vec_id"), F.col(v_vec).cast("array<double>").alias("v")).withColumn(
+        "of_vb", F.pmod(F.xxhash64("vec_id"), F.lit(nv)).cast("int")).withColumn(
+        "of_qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+
+    def top(q, v):
+        out = {"query_id": [], "vec_id": [], "sim": []}
+        if len(q) and len(v):
+            sims, ids = _unit(q["q"]) @ _unit(v["v"]).T, v["vec_id"].to_numpy()
+            for qid, row in zip(q["query_id"], sims):
+                # the k-th largest bounds what has to be sorted; its ties stay in
+                least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                at = np.flatnonzero(row >= least)
+                at = at[np.lexsort((ids[at], -row[at]))][:k]
+                out["query_id"] += [qid] * len(at)
+                out["vec_id"] += ids[at].tolist()
+                out["sim"] += row[at].tolist()
+        return pd.DataFrame(out)
+
+    schema = f"query_id {dict(qs.dtypes)['query_id']}, vec_id {dict(vs.dtypes)['vec_id']}, sim double"
+    cand = qs.groupBy("qb", "vb").cogroup(vs.groupBy("of_qb", "of_vb")).applyInPandas(top, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), F.asc("vec_id"))
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "sim"))
@@ -213,40 +215,81 @@ def centroids(vectors: DataFrame, by: str, v_vec: str = "embedding") -> DataFram
             .select(by, F.transform("_a", lambda s: s["_m"]).alias("centroid")))
 
 
+# Pieces of a partition when a level is packed.
+PACK_PIECES = 4096
+
+
+def _pack(pieces: DataFrame, group: list[str], fan_in: int, max_tokens: int) -> DataFrame:
+    """Consecutive pieces of a group joined into blocks of ``fan_in`` pieces
+    and ``max_tokens`` tokens at most, but of two pieces at least, so that
+    each level halves their number whatever the length of the answers.
+    Pieces are range partitioned by group and order, so a group of any size
+    spreads over tasks; a block just ends where a partition does."""
+    n = max(1, pieces.count() // PACK_PIECES)
+    rows = pieces.repartitionByRange(n, *group, "_o").sortWithinPartitions(*group, "_o")
+    cols = [*group, "_o", "_t"]
+
+    def run(batches):
+        key, first, parts, size = None, None, [], 0
+
+        def block():
+            return [*key, first, "\n\n".join(parts)]
+        for pdf in batches:
+            out = []
+            for *g, o, t in pdf[cols].itertuples(index=False, name=None):
+                tokens = _tokens(t or "")
+                full = len(parts) >= 2 and (len(parts) >= fan_in or size + tokens > max_tokens)
+                if parts and (tuple(g) != key or full):
+                    out.append(block())
+                    parts, size = [], 0
+                if not parts:
+                    key, first = tuple(g), o
+                parts.append(t or "")
+                size += tokens
+            yield pd.DataFrame(out, columns=[*group, "_o", "_j"])
+        if parts:
+            yield pd.DataFrame([block()], columns=[*group, "_o", "_j"])
+
+    kinds = dict(pieces.dtypes)
+    schema = ", ".join([f"{c} {kinds[c]}" for c in [*group, "_o"]] + ["_j string"])
+    return rows.select(*cols).mapInPandas(run, schema)
+
+
 def tree_summarise(chunks: DataFrame, group: list[str], order: str, text: str, completer,
-                   cache_path: str, fan_in: int = 8, model: str = "offline") -> DataFrame:
+                   cache_path: str, fan_in: int = 8, model: str = "offline",
+                   max_tokens: int = 8000, stem: Column | None = None) -> DataFrame:
     """Summary of all chunks of each group, level by level (R6): consecutive
-    ``fan_in`` pieces are joined and summarised until one piece per group
-    is left.  Each level is one Spark job over the remaining pieces; a level
-    shrinks them by ``fan_in``, so the loop runs log(n) times."""
-    w = Window.partitionBy(*group).orderBy(order)
-    cur = chunks.select(*group, F.row_number().over(w).alias("_pos"), F.col(text).alias("_t"))
-    level = 0
+    pieces are joined and summarised until one piece per group is left.  A
+    group that is down to one piece is finished and not summarised again;
+    ``levels`` is the number of levels it took.  ``stem`` is the instruction,
+    an expression of the group columns."""
+    stem = F.lit("Summarize:") if stem is None else stem
+
+    def level_of(pieces):
+        packed = _pack(pieces, group, fan_in, max_tokens)
+        summ = annotate(packed, F.concat(stem, F.lit("\n"), F.col("_j")), completer, cache_path, model, out="_t")
+        # written to the shared checkpoint folder: the next level starts here
+        return cut_lineage(summ.select(*group, "_o", F.coalesce("_t", F.lit("")).alias("_t")))
+
+    cur = level_of(chunks.select(*group, F.col(order).alias("_o"), F.col(text).alias("_t")))
+    done, level = None, 1
     while True:
-        nxt = (cur.groupBy(*group, F.floor((F.col("_pos") - 1) / fan_in).alias("_blk"))
-               .agg(F.array_sort(F.collect_list(F.struct("_pos", "_t"))).alias("_p"),
-                    F.count(F.lit(1)).alias("_n")))
-        joined = nxt.select(*group, (F.col("_blk") + 1).alias("_pos"), "_n",
-                            F.array_join(F.transform("_p", lambda s: s["_t"]), "\n\n").alias("_j"))
-        summ = annotate(joined, render(TEMPLATES_SUMMARY, data="_j"), completer, cache_path,
-                        model, out="_t").drop("_j")
-        # each level is written to the shared checkpoint folder: the next
-        # level starts from it instead of recomputing the previous levels
-        cur = cut_lineage(summ.select(*group, "_pos", "_t"))
+        one = cur.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.first("_t").alias("_t"))
+        end = one.filter("_n = 1").select(*group, F.col("_t").alias("summary"), F.lit(level).alias("levels"))
+        done = end if done is None else done.unionByName(end)
+        open_ = one.filter("_n > 1").select(*group)
+        if open_.isEmpty():
+            return done
+        same = [cur[c].eqNullSafe(open_[c]) for c in group]
+        cur = level_of(cur.join(open_, same, "left_semi"))
         level += 1
-        left = cur.groupBy(*group).count().agg(F.max("count")).collect()[0][0]
-        if left is None or left <= 1:
-            break
-    return cur.select(*group, F.col("_t").alias("summary"), F.lit(level).alias("levels"))
-
 
-TEMPLATES_SUMMARY = "Summarize:\n{data}"
 
-# The three indexes a question can be routed to.
+# The three indexes a question can be routed to.
 TOOLS = {
-    "summary": "Useful for summarization questions related to the codebase.",
-    "vector": "Useful for asking plain-language questions from descriptions of the codebase.",
-    "code_vector": "Useful for questions about the source code itself.",
+    "summary": "Overviews: what a repository or one of its parts does as a whole.",
+    "vector": "Facts in plain words, found in the descriptions of functions and files.",
+    "code_vector": "Details of how something is written, found in the code.",
 }
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from .. import REPO
 from ..functions.text import has_text, is_code_file
 from ..functions.time import iso_week, since, week_start
-from ..plans.helpers import maybe_broadcast
 
 # The default tag list, in the order the dimension ids follow.
 DEFAULT_TAGS = ("Infrastructure, Database, Frontend, API, Backend, Security, Performance, "
@@ -62,7 +61,7 @@ def parse_tags(responses: DataFrame, tags: DataFrame, key: list[str],
         *REPO, *key, "_pos", F.trim("_name").alias("tag"),
         F.trim(F.get("_c", F.col("_pos") + 1)).try_cast("int").alias("weight"))
     pairs = pairs.filter(F.col("weight").isNotNull())
-    known = pairs.join(maybe_broadcast(tags.select(*REPO, F.col("name").alias("tag"))),
+    known = pairs.join(tags.select(*REPO, F.col("name").alias("tag")),
                        [*REPO, "tag"], "left_semi")
     return (known.groupBy(*REPO, *key, "tag")
             .agg(F.max_by("weight", "_pos").alias("weight")))
@@ -83,7 +82,7 @@ def normalise(weights: DataFrame, key: list[str], weight: str = "weight") -> Dat
 def commit_tags(shares: DataFrame, tags: DataFrame, key: list[str],
                 existing: DataFrame | None = None) -> DataFrame:
     """Tag rows with dimension ids (G3); rows already present are skipped."""
-    rows = shares.join(maybe_broadcast(tags.select(*REPO, "tag_id", F.col("name").alias("tag"))),
+    rows = shares.join(tags.select(*REPO, "tag_id", F.col("name").alias("tag")),
                        [*REPO, "tag"]).select(*REPO, *key, "tag_id", "value")
     if existing is not None:
         rows = rows.join(existing.select(*REPO, *key, "tag_id"), [*REPO, *key, "tag_id"], "left_anti")
@@ -99,7 +98,7 @@ def untagged(changes: DataFrame, ctags: DataFrame, key: list[str]) -> DataFrame:
 def with_tag_names(ctags: DataFrame, tags: DataFrame) -> DataFrame:
     """commit_tags joined to tag names (J1); the dimension is broadcast after
     a size check."""
-    return ctags.join(maybe_broadcast(tags.select(*REPO, "tag_id", "name")), [*REPO, "tag_id"])
+    return ctags.join(tags.select(*REPO, "tag_id", "name"), [*REPO, "tag_id"])
 
 
 def tagged_changes(ctags: DataFrame, tags: DataFrame, changes: DataFrame,

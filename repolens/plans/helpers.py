@@ -5,25 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Size bound (bytes, the optimizer's estimate) under which a join side is
-# broadcast.  The estimate comes from file sizes and operator statistics --
-# no job runs to get it.  It never underestimates a scan; for derived sides
-# (aggregates) it is the input size, i.e. conservative.  Above the bound the
-# join is left to the planner: a shuffle join that AQE may still turn into a
-# broadcast at runtime from the actual shuffle sizes.
-BROADCAST_MAX_BYTES = 32 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df`` (no execution)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def maybe_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """Broadcast ``df`` only when its estimated size is within ``max_bytes``."""
-    return F.broadcast(df) if estimated_bytes(df) <= max_bytes else df
-
-
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """First ``n`` rows per group ``by`` in ``order``.
 
@@ -43,11 +24,10 @@ def dec(c: Column | str, scale: int = 6, precision: int = 18) -> Column:
     return c.cast(f"decimal({precision},{scale})")
 
 
-def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
-    """Spread rows over the cluster's cores before a CPU-heavy Python stage
-    (parser, chunker, model caller).  AQE sizes partitions by bytes, so a
-    few megabytes of source text would otherwise land in one task; an
-    explicit partition count is never coalesced.  Hashing by ``keys`` keeps
-    the assignment deterministic on retry; without keys it is round robin."""
-    n = max(df.sparkSession.sparkContext.defaultParallelism * per_core, 1)
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows to the session's shuffle partitions, a number that follows
+    the data, before a CPU-heavy Python stage (parser, chunker): a few
+    megabytes of source text would otherwise land in one task.  Hashing by
+    ``keys`` keeps the assignment deterministic on retry."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys) if keys else df.repartition(n)

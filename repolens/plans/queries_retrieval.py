@@ -145,9 +145,9 @@ def _datasets(spark, sf):
         "author-commits-summary": A.author_tenure(ch),
         "file-commit-count-summary": A.file_commit_counts(ch),
         "commit-count-by-date-summary": A.commits_by_date(ch, LONG_AS_OF),
-        "churn-summary": C.file_churn(ch),
+        "churn-summary": C.churn_tree(ch),
         "overall-tags-summary": G.tag_totals(ct, tags),
-        "tags-by-week-summary": G.tag_share_by_week(ct, tags, short, ["id"]),
+        "tags-by-week-summary": G.tag_share_matrix(ct, tags, short, ["id"]),
     }
     spans = A.date_span(ch).unionByName(A.date_span(short))
     return sets, spans

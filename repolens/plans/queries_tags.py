@@ -108,13 +108,14 @@ grid as (
   from spine s join (select distinct repo_owner, repo_name, tag from pct) t
     on s.repo_owner = t.repo_owner and s.repo_name = t.repo_name)
 select g.repo_owner, g.repo_name, g.tag,
-  list(coalesce(p.percentage, cast(0 as decimal(18,2))) order by g.week_starting) as weekly_percentage
+  cast(list(coalesce(p.percentage, cast(0 as decimal(18,2))) order by g.week_starting) as double[]) as weekly_percentage
 from grid g left join pct p on g.repo_owner = p.repo_owner and g.repo_name = p.repo_name
   and g.week_starting = p.week_starting and g.tag = p.tag
 group by 1, 2, 3""")
 def q_tag_share_matrix(spark, sf):
     ct, tags, ch = _ct(spark, sf)
-    return G.tag_share_matrix(ct, tags, ch, KEY, as_of=SHORT_AS_OF)
+    m = G.tag_share_matrix(ct, tags, ch, KEY, as_of=SHORT_AS_OF)
+    return m.withColumn("weekly_percentage", F.col("weekly_percentage").cast("array<double>"))
 
 
 @query("parse_tags", X.sql_with(X.SQL_TAGS, X.SQL_TAG_RESPONSES) + """,

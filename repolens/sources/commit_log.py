@@ -36,12 +36,18 @@ def _strip(c):
 def read_log_records(spark: SparkSession, path: str, repo_owner: str | None = None,
                      repo_name: str | None = None) -> DataFrame:
     """Raw records (text between ``^^`` markers) with repository and position."""
+    string_keys(spark)
     raw = spark.read.option("lineSep", RECORD_SEP).text(path)
     return with_repo(raw, repo_owner, repo_name).select(
         *REPO, F.input_file_name().alias("source_file"),
         F.monotonically_increasing_id().alias("record_pos"), "value")
 
 
+def string_keys(spark: SparkSession) -> None:
+    """Folder names stay text: a repository ``007`` is not the number 7."""
+    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+
+
 def with_repo(df: DataFrame, repo_owner: str | None, repo_name: str | None) -> DataFrame:
     if repo_owner is not None:
         df = df.withColumn("repo_owner", F.lit(repo_owner))
@@ -64,14 +70,16 @@ def parse_commit_records(records: DataFrame, exclude_files: str = "",
          .withColumn("_lines", F.split("_rec", "\n"))
          .withColumn("_info", F.split(F.element_at("_lines", 1), FIELD_SEP)))
     ok = F.size("_info") >= MIN_HEADER_FIELDS
-    bad_records = r.filter(~ok).select(
+    when = strip_offset(F.get("_info", F.lit(2))).try_cast("timestamp_ntz")
+    ok = ok & when.isNotNull()                 # a bad time is a reject, too
+    bad_records = r.filter(~F.coalesce(ok, F.lit(False))).select(
         *REPO, F.lit("record").alias("kind"), F.lit(None).cast("string").alias("commit_hash"),
         F.col("_rec").alias("text"))
     head = r.filter(ok).select(
         *REPO, "source_file", "record_pos",
         F.element_at("_info", 1).alias("commit_hash"),
         F.element_at("_info", 2).try_cast("double").alias("epoch"),
-        strip_offset(F.element_at("_info", 3)).try_cast("timestamp_ntz").alias("committed_at"),
+        when.alias("committed_at"),
         unknown_author(F.element_at("_info", 4)).alias("author"),
         F.element_at("_info", 5).alias("email"),
         F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(0))).alias("_files"))
@@ -130,7 +138,7 @@ def write_changes(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     out = df.select(*[f.name for f in CHANGES.fields])
     w = out.write.mode("overwrite")
     if fmt == "csv":
-        w.option("header", True).option("quoteAll", True).csv(path)
+        w.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
     else:
         w.parquet(path)
 
@@ -138,5 +146,6 @@ def write_changes(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 def read_changes(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Read cleaned changes with the fixed schema (S2), no inference."""
     if fmt == "csv":
-        return spark.read.schema(CHANGES).option("header", True).csv(path)
+        return (spark.read.schema(CHANGES).option("header", True).option("multiLine", True)
+                .option("escape", '"').csv(path))
     return spark.read.schema(CHANGES).parquet(path)

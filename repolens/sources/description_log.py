@@ -16,15 +16,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import REPO
-from .commit_log import with_repo
+from .commit_log import string_keys, with_repo
 
 START = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\t"
 
 
 def read_description_log(spark: SparkSession, path: str, repo_owner: str | None = None,
                          repo_name: str | None = None) -> DataFrame:
+    string_keys(spark)
     lines = with_repo(spark.read.text(path), repo_owner, repo_name).select(
-        *REPO, F.input_file_name().alias("source_file"),
+        *REPO, F.col("_metadata.file_path").alias("source_file"),
+        F.unix_micros(F.col("_metadata.file_modification_time")).alias("appended_at"),
         F.monotonically_increasing_id().alias("pos"), "value")
     # split id = partition index carried in the upper bits of the id
     lines = lines.withColumn("split", F.shiftright("pos", 33)).withColumn(
@@ -41,7 +43,7 @@ def read_description_log(spark: SparkSession, path: str, repo_owner: str | None
     lines = (lines.join(carry, ["source_file", "split"], "left")
              .withColumn("rec", F.coalesce("rec", "_carry"))
              .filter(F.col("rec").isNotNull()))
-    recs = (lines.groupBy(*REPO, "source_file", "rec")
+    recs = (lines.groupBy(*REPO, "source_file", "appended_at", "rec")
             .agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_ls")))
     text = F.array_join(F.transform("_ls", lambda s: s["value"]), "\n")
     cells = F.split(text, "\t", 4)
@@ -51,14 +53,13 @@ def read_description_log(spark: SparkSession, path: str, repo_owner: str | None
         F.element_at(cells, 2).alias("filename"),
         F.element_at(cells, 3).alias("commit_hash"),
         F.coalesce(F.get(cells, 3), F.lit("")).alias("text"),
-        "source_file", F.col("rec").alias("position"))
+        "source_file", "appended_at", F.col("rec").alias("position"))
 
 
 def render_descriptions(df: DataFrame) -> DataFrame:
     """Rows (logged_at, filename, commit_hash, text) as log records."""
-    return df.select(*REPO, F.concat_ws(
-        "\t", F.date_format("logged_at", "yyyy-MM-dd HH:mm:ss"), "filename", "commit_hash",
-        "text").alias("value"))
+    cells = [F.date_format("logged_at", "yyyy-MM-dd HH:mm:ss"), F.col("filename"), F.col("commit_hash"), F.col("text")]
+    return df.select(*REPO, F.concat_ws("\t", *[F.coalesce(c, F.lit("")) for c in cells]).alias("value"))
 
 
 def append_descriptions(df: DataFrame, path: str) -> None:

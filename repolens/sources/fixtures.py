@@ -15,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.helpers import maybe_broadcast
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +28,7 @@ def _customer_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     geo = (n.join(r, n.n_regionkey == r.r_regionkey)
              .select("n_nationkey", F.lower("r_name").alias("repo_name")))
-    return (cu.join(maybe_broadcast(geo), cu.c_nationkey == geo.n_nationkey)
+    return (cu.join(geo, cu.c_nationkey == geo.n_nationkey)
               .select("c_custkey", "c_name", F.lit("tpch").alias("repo_owner"), "repo_name"))
 
 
@@ -271,7 +270,7 @@ def event_commit_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
            .agg(F.sum(F.col("weight").cast("decimal(18,6)")).alias("_s")))
     tags = event_tags(spark, sf_dir)
     return (ch.join(tot, ["repo_owner", "repo_name", "commit_hash"])
-            .join(maybe_broadcast(tags.withColumnRenamed("name", "tag")),
+            .join(tags.withColumnRenamed("name", "tag"),
                   ["repo_owner", "repo_name", "tag"])
             .select("repo_owner", "repo_name", "id", "tag_id",
                     (F.col("weight") / F.col("_s").cast("double")).alias("value")))

@@ -61,11 +61,12 @@ def append_run(spark: SparkSession, path: str, repo_owner: str, repo_name: str,
 
 
 def last_run(runs: DataFrame) -> DataFrame:
-    """Last ``last_completed`` line per repository, as ``MM/dd/yyyy``."""
+    """Latest ``last_completed`` time per repository, as ``MM/dd/yyyy``
+    (S11).  Runs are appended as they complete, so the latest time is the
+    last line, in whatever order the files are scanned."""
     done = runs.filter(F.col("key") == "last_completed")
-    return (done.groupBy(*REPO).agg(F.max_by("value", "pos").alias("_v"))
-            .select(*REPO, F.date_format(F.col("_v").try_cast("timestamp_ntz"), "MM/dd/yyyy")
-                    .alias("last_run")))
+    return (done.groupBy(*REPO).agg(F.max(F.col("value").try_cast("timestamp_ntz")).alias("_v"))
+            .select(*REPO, F.date_format("_v", "MM/dd/yyyy").alias("last_run")))
 
 
 def list_repos(changes: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from .. import REPO
 from ..functions.text import clean_title, strip_offset
 from ..schemas import PR_DUMP_COLUMNS, PULL_REQUESTS
-from .commit_log import with_repo
+from .commit_log import string_keys, with_repo
 
 _RAW = T.StructType([T.StructField(c, T.StringType()) for c in PR_DUMP_COLUMNS])
 
@@ -21,8 +21,9 @@ def _ts(c):
 
 def read_pull_requests(spark: SparkSession, path: str, repo_owner: str | None = None,
                        repo_name: str | None = None) -> DataFrame:
+    string_keys(spark)
     raw = (spark.read.schema(_RAW).option("sep", "\t").option("header", True)
-           .option("nullValue", "None").option("mode", "PERMISSIVE").csv(path))
+           .option("nullValue", "None").option("quote", "").option("mode", "PERMISSIVE").csv(path))
     raw = with_repo(raw, repo_owner, repo_name)
     conv = {
         "number": F.col("number").cast("bigint"),
@@ -48,7 +49,8 @@ def write_pull_requests(prs: DataFrame, path: str) -> None:
     """
     import pandas as pd
 
-    vals = [F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in PR_DUMP_COLUMNS[:-1]]
+    # no cell may hold the separators: tabs and line ends become spaces
+    vals = [F.coalesce(F.translate(F.col(c).cast("string"), "\t\r\n", "   "), F.lit("None")) for c in PR_DUMP_COLUMNS[:-1]]
     vals[1] = F.coalesce(clean_title(F.col("title")), F.lit("None"))
     vals[5] = F.when(F.col("merged"), F.lit("True")).otherwise(F.lit("False"))
     header = "\t".join(PR_DUMP_COLUMNS)

@@ -61,9 +61,21 @@ def test_shorten_loop(spark, tmp):
 
 
 def test_garbage_guard(spark, tmp):
-    df = spark.createDataFrame([("x",)], "t string")
-    with pytest.raises(Exception):
-        L.annotate(df, F.col("t"), lambda ps: ["@@@ nonsense" for _ in ps], os.path.join(tmp, "c")).collect()
+    # garbage and failed calls cost their own rows only; the next run asks those again
+    df = spark.createDataFrame([(f"t{i}",) for i in range(150)], "t string")
+
+    def bad(ps):
+        if "t77" in ps:
+            raise RuntimeError("service down")
+        return ["@@@ nonsense" if p == "t5" else p.upper() for p in ps]
+
+    path = os.path.join(tmp, "c")
+    got = {r.t: r.answer for r in L.annotate(df, F.col("t"), bad, path).collect()}
+    assert got == {f"t{i}": None if i in (5, 77) else f"T{i}" for i in range(150)}
+    assert {r.prompt for r in L.rejects(spark, path).collect()} == {"t5", "t77"} and L.cache_size(spark, path) == 148
+    again = {r.t: r.answer for r in L.annotate(df, F.col("t"), lambda ps: [f"new {p}" for p in ps], path).collect()}
+    assert again["t5"] == "new t5" and again["t77"] == "new t77" and again["t6"] == "T6"
+    assert L.rejects(spark, path).count() == 0
 
 
 def test_price_calls(spark):
@@ -75,6 +87,35 @@ def test_price_calls(spark):
     assert got == {"openai": 1.35, "ollama": 0.0}
 
 
+def test_price_list_with_a_repeated_entry_fails(spark):
+    calls_df = spark.createDataFrame([("o", "m", 1, 1), ("o", "none", 1, 1)], "service string, model string, input_tokens bigint, output_tokens bigint")
+    prices = spark.createDataFrame([("o", "m", 0.15, 0.6)], "service string, model string, input double, output double")
+    assert {r.model: r.cost is None for r in L.price_calls(calls_df, prices).collect()} == {"m": False, "none": True}
+    with pytest.raises(Exception, match="repeated entry"):
+        L.price_calls(calls_df, prices.unionAll(prices)).collect()
+
+
+def test_extractive_completer_reads_all_lines():
+    c = L.ExtractiveCompleter(1000)
+    assert c(["Summarize:\nline one\nline two"]) == ["Summarize: line one line two"]
+    assert L.ExtractiveCompleter(3)(["a b c d e f"]) == ["a c e"] and c([""]) == [""]
+
+
+def test_summaries_see_the_data(spark, tmp):
+    ds = spark.createDataFrame([("o", "r", f"file{i}", i) for i in range(300)], "repo_owner string, repo_name string, f string, n int")
+    spans = ds.groupBy("repo_owner", "repo_name").agg(F.lit(None).cast("timestamp_ntz").alias("first_date"), F.lit(None).cast("timestamp_ntz").alias("last_date"))
+
+    class Names:
+        def __call__(self, ps):
+            import re
+            return [" ".join(sorted(set(re.findall(r"file\d+", p)))) for p in ps]
+    out = L.summarise_datasets({"churn-summary": ds}, spans, None, Names(), os.path.join(tmp, "c"), max_tokens=300).collect()
+    assert len(out) == 1 and set(out[0].summary.split()) == {f"file{i}" for i in range(300)}
+    stored = spark.createDataFrame([(x.repo_owner, x.repo_name, x.name, x.hash) for x in out], "repo_owner string, repo_name string, name string, hash string")
+    again = L.summarise_datasets({"churn-summary": ds}, spans, stored, Names(), os.path.join(tmp, "c"))
+    assert again.count() == 0
+
+
 def test_keyword_tagger_feeds_parser(spark):
     t = L.KeywordTagger(["API", "Docs"])
     assert t(["the api and API docs"]) == ["API,2,Docs,1"]

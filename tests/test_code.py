@@ -53,7 +53,7 @@ def test_parse_definitions_metrics():
     assert o["number_of_function_calls"] == 5
     assert o["imports"] == ["import json"]
     assert o["docstring"] == "Größe prüfen."
-    assert o["comments"] == ["# a comment"]
+    assert o["comments"] == ["# non-ASCII text before the code", "# a comment"]
     assert o["location"] == {"start": {"line": 7, "character": 0}, "end": {"line": 21, "character": 23}}
     assert o["code"].startswith("def outer(a, b):") and o["code"].endswith("return inner(total)")
     a = rows[("function", "area")]
@@ -76,3 +76,22 @@ def test_extract_functions_distributed(spark):
     assert fns.count() == 4
     top = extract_top_level(files).collect()
     assert {r.file_path: r.file_extension for r in top} == {"m.py": ".py", "bad.py": ".py", "n.py": ".py"}
+
+
+def test_columns_are_characters_and_lines_are_the_parsers():
+    src = "s = \"é\" + helper(1)\n\x0cdef f():\n    x = '# no'  # yes\n    return g('ü', h())\n"
+    (f,) = parse_definitions("m.py", src)
+    assert f["code"].startswith("def f():") and f["code"].endswith("h())")
+    assert f["calls"] == ["g", "h"] and f["comments"] == ["# yes"] and f["lines_of_code"] == 3
+    assert parse_top_level("m.py", src)["code"] == ['s = "é" + helper(1)']
+    (g,) = parse_definitions("n.py", "def k(): return 'é' + helper(2)\n")
+    assert g["calls"] == ["helper"] and g["location"]["end"]["character"] == len("def k(): return 'é' + helper(2)")
+
+
+def test_deep_file_is_a_reject(spark):
+    from repolens.operators.code_metrics import unparsable
+    deep = "x = " + "-" * 100_000 + "1"
+    files = spark.createDataFrame([("o", "r", "a.py", "def a(): pass\n"), ("o", "r", "deep.py", deep), ("o", "r", "bad.py", "def (:")],
+                                  "repo_owner string, repo_name string, file_path string, content string")
+    assert [r.name for r in extract_functions(files).collect()] == ["a"]
+    assert {r.file_path for r in unparsable(files).collect()} == {"deep.py", "bad.py"}

@@ -5,9 +5,10 @@ scan, columns pruned."""
 import pytest
 
 import __spark_entry__ as E
+from repolens.plans import registry
 from tests.conftest import SF_SMALL
 
-QUERIES = E.queries()
+QUERIES = {k: v for k, v in E.queries().items() if k in registry.QUERIES}
 
 
 def plan(df) -> str:
