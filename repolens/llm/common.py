@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -24,7 +25,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     neither computed twice nor lost with an executor."""
     path = scratch_path(df.sparkSession, f"llm/{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    if _stage_tables is not None:
+        _stage_tables.append(path)
+    return out
+
+
+#: Tables written while a pipeline stage is being built (None outside one), and those of the stage built last.
+_stage_tables: list[str] | None = None
+_last: list[str] = []
+
+
+def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Delete ``written`` tables that no later step reads, so that scratch space doesn't pile up."""
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t.scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stage(fn):
+    """A pipeline stage.  Its result is written before the next stage is called, so each call first deletes the tables that the
+    stage before it has worked with."""
+    @functools.wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _stage_tables
+        discard(spark, *_last)
+        _last.clear()
+        _stage_tables = made = []
+        try:
+            return fn(spark, docs, sf_dir)
+        finally:
+            _stage_tables = None
+            _last[:] = made
+    return run
 
 
 def scan(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -42,6 +76,15 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, _ARROW[kind]) for name, kind in (x.split() for x in ddl.split(","))])
 
 
+def pack(raw: bytes) -> bytes:
+    """``raw`` compressed, behind its length."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(x: bytes) -> bytes:
+    return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True)
+
+
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """Rows whose crc32 of the id as text leaves ``part`` modulo ``parts``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == part

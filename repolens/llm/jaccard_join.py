@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from . import bytescan
-from .common import arrow_schema, components, scan, written
+from .common import arrow_schema, components, discard, scan, written
 
 N = 5
 PERCENT = 80
@@ -253,6 +253,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     kept = counted.where(F.col("both") + F.greatest(_rest(F.col("na")), _rest(F.col("nb"))) >= _need(F.col("na"), F.col("nb"))).select("a", "b")
     tied = columns.where((F.col("height") > SHORT) & (F.col("cls") != F.col("top"))).select(F.col("top").alias("a"), F.col("cls").alias("b")).distinct()
     groups = written(components(kept.unionAll(tied)), "candidate_groups")
+    discard(docs.sparkSession, columns)
 
     # The full sets of the classes that are left, from one document each.
     classes = sizes.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"))
@@ -268,6 +269,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
              .select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "set")
              .repartition("group", "i", "j").sortWithinPartitions("group", "i", "j"))
     links = written(scan(dealt, _products, "a long, b long"), "links")
+    discard(docs.sparkSession, sets)
 
     roots = components(links)
     of_class = classes.select("cls", "first").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import written
+from .common import discard, written
 from .repeats import Words
 
 
@@ -32,15 +32,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     empty and short texts lose nothing; null gives an empty ``kept``.  Rows with a null id neither lose words nor make
     others lose any.  Rows that repeat an id count as one document.  All columns stay in ``row``, whatever their names.
     """
-    texts = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = written(repeats.runs(texts, Words), "word_runs")
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = written(repeats.runs(plain, Words), "word_runs")
     shared = found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
     runs = written(found.join(shared, "key", "left_semi"), "shared_runs")
+    discard(docs.sparkSession, found)
     classes = runs.groupBy("key", "cls").agg(F.min(F.struct("doc_id", "tag", "at", "n")).alias("rep"))
     classes = written(classes.select("key", "cls", "rep.*"), "run_classes")
     many = classes.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1")
     # One shuffle of the texts serves both joins on the document.
-    texts = texts.withColumn("tag", repeats.tag(F.col("text"))).repartition("doc_id")
+    texts = repeats.zipped(docs, id_col, text_col)
     strings = repeats.packed(texts, classes.join(many, "key"), Words)
     partial = repeats.compare(strings, Words, ranked=True)
     owner = classes.select(F.col("key").alias("k"), F.col("cls").alias("c"), F.col("doc_id").alias("least"))
@@ -50,4 +51,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     first = held.where("doc_id = least").select("key", "cls", "doc_id", "tag", "at")
     part = partial.join(first, ["key", "cls"]).select("doc_id", "tag", (F.col("at") + F.col("place")).alias("a"),
                                                        (F.col("at") + F.col("place") + F.col("count") - 1 + Words.width).alias("b"))
-    return repeats.cut(texts, whole.unionAll(part), "string", _apply)
+    return repeats.cut(texts, docs.columns, text_col, whole.unionAll(part), "string", _apply)

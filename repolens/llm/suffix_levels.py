@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import written
+from .common import discard, written
 from .repeats import Bytes
 
 BATCHES = 4
@@ -85,11 +85,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     Rows with a null id lose nothing and make none lose any.  Rows that repeat an id and its text are other places each, so
     they lose all that they share.  All columns stay in ``row``, whatever their names.
     """
-    texts = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     index = SuffixIndex(docs.sparkSession)
     arrived, matched = [], []
     for i in range(batches):
-        batch = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i)
+        batch = plain.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i)
         arrived.append(written(repeats.runs(batch, Bytes), "byte_runs"))
         matched.append(index.append(arrived[-1].select("key")))
     index.drop()
@@ -97,12 +97,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     for f, m in zip(arrived[1:], matched[1:]):
         found, shared = found.unionAll(f), shared.unionAll(m)
     runs = written(found.join(shared.distinct(), "key", "left_semi"), "shared_runs")
+    discard(docs.sparkSession, *arrived, *matched)
     classes = runs.groupBy("key", "cls").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "tag", "at", "n")).alias("rep"))
     classes = written(classes.select("key", "cls", "copies", "rep.*"), "run_classes")
     # A key's classes need a look at their bytes only if one of them has a single copy.
     many = classes.groupBy("key").agg(F.count("*").alias("classes"), F.min("copies").alias("fewest")).where("classes > 1 and fewest = 1")
     # One shuffle of the texts serves both joins on the document.
-    texts = texts.withColumn("tag", repeats.tag(F.col("text"))).repartition("doc_id")
+    texts = repeats.zipped(docs, id_col, text_col)
     strings = repeats.packed(texts, classes.join(many.select("key", "classes"), "key"), Bytes)
     partial = repeats.compare(strings, Bytes, ranked=False)
     whole = (runs.join(classes.where("copies > 1").select("key", "cls"), ["key", "cls"], "left_semi")
@@ -110,4 +111,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     single = classes.where("copies = 1").select("key", "cls", "doc_id", "tag", "at")
     part = partial.join(single, ["key", "cls"]).select("doc_id", "tag", (F.col("at") + F.col("place")).alias("a"),
                                                         (F.col("at") + F.col("place") + F.col("count") - 1 + Bytes.width).alias("b"))
-    return repeats.cut(texts, whole.unionAll(part), "string" if as_text else "binary", _apply_text if as_text else _apply)
+    return repeats.cut(texts, docs.columns, text_col, whole.unionAll(part), "string" if as_text else "binary", _apply_text if as_text else _apply)

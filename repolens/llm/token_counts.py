@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, scan, written
+from .common import arrow_schema, pack, scan, unpack, written
 
 BLOCK = 16 << 20
 CHUNK = 512  # documents of a packed row
@@ -72,12 +72,7 @@ def _cutter(path: str, pattern: str):
 
 
 def _pack(x: np.ndarray | bytes) -> bytes:
-    raw = x if isinstance(x, bytes) else x.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
-
-
-def _unpack(x: bytes) -> bytes:
-    return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True)
+    return pack(x if isinstance(x, bytes) else x.tobytes())
 
 
 def _steps(ids: np.ndarray) -> np.ndarray:
@@ -159,7 +154,7 @@ def _count(path: str):
         t, known = _tokenizer(path), {}
         for batch in batches:
             for block, bucket, used, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                text, edges = _unpack(packed).decode(), np.cumsum(np.frombuffer(_unpack(used), np.int64)).tolist()
+                text, edges = unpack(packed).decode(), np.cumsum(np.frombuffer(unpack(used), np.int64)).tolist()
                 names = [text[i:j] for i, j in zip([0, *edges], edges)]
                 new = [p for p in names if p not in known]
                 if len(known) + len(new) > CACHE:
@@ -174,19 +169,19 @@ def _count(path: str):
 
 
 def _sum(docs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-    n = np.frombuffer(b"".join(_unpack(x) for x in counts.sort_values("part")["counts"]), np.uint32).astype(np.int64)
+    n = np.frombuffer(b"".join(unpack(x) for x in counts.sort_values("part")["counts"]), np.uint32).astype(np.int64)
     out = []
     for d in docs.itertuples():
-        long = lambda x: np.frombuffer(_unpack(x), np.int64)
+        long = lambda x: np.frombuffer(unpack(x), np.int64)
         used = long(d.used).reshape(-1, 2)
-        steps, freqs = np.frombuffer(_unpack(d.ids), np.uint16), np.frombuffer(_unpack(d.freqs), np.uint8)
+        steps, freqs = np.frombuffer(unpack(d.ids), np.uint16), np.frombuffer(unpack(d.freqs), np.uint8)
         at = np.cumsum(steps.astype(np.int64))
         edges = np.concatenate([[0], np.cumsum(used[:, 0])])
         at -= np.repeat(np.concatenate([[0], at])[edges[:-1]], used[:, 0])  # each document starts anew
         total = np.concatenate([[0], np.cumsum(n[at[steps != 0xFFFF]] * freqs)])
         ends = np.concatenate([[0], np.cumsum(used[:, 1])])
         ids = pd.array(long(d.doc_id), "Int64")
-        ids[~np.frombuffer(_unpack(d.known), bool)] = pd.NA
+        ids[~np.frombuffer(unpack(d.known), bool)] = pd.NA
         out.append(pd.DataFrame({"doc_id": ids, "n_bytes": long(d.n_bytes), "n_tokens": np.diff(total[ends]) + long(d.fixed)}))
     return pd.concat(out)
 
