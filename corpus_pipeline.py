@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.llm import decontaminate, jaccard_join, language_id, mixing, suffix_levels
-from repolens.llm.common import documents, without_ids, written
+from repolens.llm.common import documents, stage, without_ids, written
 
 #: A cosine below this resembles no learned language; a single short word stays above it.
 LEAST_LANGUAGE_SCORE = 0.01
 
 
+@stage
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the languages that the labelled documents teach.  Rejected: no letter, or close to
     none of the languages.  Where no row has a label, only texts without a letter are rejected."""
@@ -26,6 +27,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return rows.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id; of rows that are equal in all columns, one."""
     found = jaccard_join.join(docs)
@@ -34,6 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return without_ids(kept, again).unionAll(kept.join(again, "doc_id", "left_semi").select(*kept.columns).distinct())
 
 
+@stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 200 bytes or more that stand elsewhere too; what loses all its words goes."""
     out = suffix_levels.dedup(docs, as_text=True)
@@ -44,11 +47,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
             .select(*[changed.get(c, F.col(f"row.`{c}`")) for c in docs.columns]))
 
 
+@stage
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     return decontaminate.without_leaks(docs, decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+@stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents, sources mixed to the square root of their mass, with the number of each copy."""
     return mixing.mix(docs)
@@ -68,6 +73,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for i, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{i}")
+    for i, (_, step) in enumerate(STAGES):
+        docs = written(step(spark, docs, sf_dir), f"pipeline-{i}")
     return docs
