@@ -3,8 +3,9 @@
 Words are runs of letters and digits, in lower case; shingles are five words.  An item of m words is compared with document
 windows of m words.
 
-1. Windows: a document shingle that also stands in an item puts the item's window there, shifted so that the two shingles
-   meet.  A window that shares no shingle with an item has similarity 0, so nothing similar is missed.
+1. Windows: every window of an item's length that holds a shingle of an item of that length, wherever in the item it stands.
+   A window with c such shingles has at most similarity c / (shingles of window and item - c), and one that this keeps below
+   the threshold is left out, so nothing similar is missed, be its parts moved or not.
 2. SimHash: every window and item gets 64 bits, each the sign of the sum of its shingles' hash bits, repeats counted.
 3. Multi-index: the 64 bits fall into RADIUS + 1 blocks.  Two fingerprints at most RADIUS bits apart agree on a block at
    least, so equal (length, block, bits) find all of them; the rest of the bits then decides.
@@ -61,35 +62,54 @@ def _similarity(a: Column, b: Column) -> Column:
     return F.try_divide(add(F.least), add(F.greatest))  # null if neither has a shingle
 
 
+def _windows(hits: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, m, start, n_words, s: the windows of m words with a hit (doc_id, n, s, pos, m), and hits enough for ``similarity``.
+
+    Starts are dealt to blocks of m, and a block takes with it only the shingles that its windows cover, so a row is bounded by
+    the item's length and not by the document's."""
+    n, m, pos = F.col("n"), F.col("m"), F.col("pos")
+    last = F.greatest(F.lit(0), n - m)  # the last start
+    width = F.least(m, n) - (SHINGLE - 1)
+    first, end = F.greatest(F.lit(0), pos - width + 1), F.least(pos, last)  # the starts that cover the hit
+    block = lambda start: start - start % m
+    hits = hits.withColumn("low", F.explode(F.array_distinct(F.array(block(first), block(end)))))
+    segment = F.slice("s", F.col("low") + 1, m + width - 1)
+    at = (hits.select("doc_id", "n", "m", "low", segment.alias("part"), "pos")
+          .groupBy("doc_id", "n", "m", "low", "part").agg(F.collect_set("pos").alias("at")))
+    count = lambda i: F.size(F.filter("at", lambda p: (p >= i) & (p < i + width)))
+    both = width + m - (SHINGLE - 1)
+    least = F.greatest(F.lit(1), F.ceil(F.lit(similarity) * both / F.lit(1 + similarity) - F.lit(1e-6)))
+    starts = F.filter(F.sequence(F.col("low"), F.least(F.col("low") + m - 1, last)), lambda i: count(i) >= least)
+    windows = F.transform(starts, lambda i: F.struct(i.alias("start"), F.slice("part", i - F.col("low") + 1, width).alias("s")))
+    return at.select("doc_id", "m", F.least(m, n).alias("n_words"), F.inline(windows)).distinct()
+
+
 def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, start (word, from 0), n_words, similarity: the windows that repeat a benchmark item.
 
-    A window at the edge of a document is shifted inside; in a shorter document it is the whole document.  Null and empty
-    texts, and items of fewer than five words, match nothing.  Repeated rows of an id give their windows once; null ids
-    are kept as null.  Other columns are not read.
+    An item's copy is found by several windows, those a few words beside it too.  In a document shorter than the item the
+    window is the whole document.  Null and empty texts, and items of fewer than five words, match nothing.  Repeated rows of
+    an id give their windows once; null ids are kept as null.  Other columns are not read.
     """
     items = (items.select(F.col(item_col).cast("long").alias("item_id"), _words(F.col(item_text_col)).alias("w"))
              .select("item_id", F.size("w").alias("m"), _shingles(F.col("w")).alias("item_s")).where(F.col("m") >= SHINGLE))
-    places = items.select("m", F.posexplode_outer("item_s").alias("at", "h")).distinct()
+    places = items.select("m", F.explode_outer("item_s").alias("h")).distinct()
     few = places.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     small = F.broadcast if few else (lambda x: x)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), _words(F.col(text_col)).alias("w"))
     d = d.select("doc_id", F.size("w").alias("n"), _shingles(F.col("w")).alias("s"))
     # The outer form: Spark would else infer filters that compute the arrays a second time.
     hits = d.select("doc_id", "n", "s", F.posexplode_outer("s").alias("pos", "h")).join(small(places), "h")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("m")))
-    hits = hits.withColumn("start", start)
-    window = F.slice("s", F.col("start") + 1, F.least(F.col("m"), F.col("n")) - (SHINGLE - 1))
-    w = hits.select("doc_id", "m", "start", F.least("m", "n").alias("n_words"), window.alias("s")).distinct()
-    w = w.withColumn("f", _simhash(F.col("s")))
+    w = _windows(hits, similarity).withColumn("f", _simhash(F.col("s")))
     items = items.withColumn("item_f", _simhash(F.col("item_s")))
     pairs = (w.withColumn("k", F.explode(_blocks(F.col("f")))).select("*", "k.block", "k.bits").drop("k")
              .join(small(items.withColumn("k", F.explode(_blocks(F.col("item_f")))).select("*", "k.block", "k.bits").drop("k")), ["m", "block", "bits"])
              .where(F.bit_count(F.col("f").bitwiseXOR(F.col("item_f"))) <= RADIUS))
-    found = pairs.groupBy("doc_id", "item_id", "start", "n_words").agg(F.first("s").alias("s"), F.first("item_s").alias("item_s"))
+    # By the shingles too: an id can stand on several texts.
+    found = pairs.select("doc_id", "item_id", "start", "n_words", "s", "item_s").distinct()
     return (found.withColumn("similarity", _similarity(F.col("s"), F.col("item_s"))).where(F.col("similarity") >= similarity)
-            .select("doc_id", "item_id", "start", "n_words", "similarity"))
+            .select("doc_id", "item_id", "start", "n_words", "similarity").distinct())
 
 
 def without_leaks(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -151,6 +151,38 @@ def test_leaks_against_every_window(spark):
     assert {x.doc_id for x in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want} | {200, None}
 
 
+def test_leaks_of_moved_text(spark):
+    """All windows of all documents, also where the item's parts have changed places, and of two texts under one id."""
+    r = random.Random(8)
+    vocab = ["v%d" % i for i in range(500)]
+    prose = lambda k: [r.choice(vocab) for _ in range(k)]
+    items = [(i, prose(m)) for i, m in enumerate([50, 50, 40, 60, 25, 30])] + [(90, prose(5)), (91, ["a", "b", "c"] * 9)]
+    docs = []
+    for i, p in items:
+        for cut in {len(p) // 2, len(p) // 3, len(p) - 6} - {0, -1}:
+            docs.append((len(docs), prose(r.randint(0, 30)) + p[cut:] + p[:cut] + prose(r.randint(0, 30))))
+        third = len(p) // 3
+        docs.append((len(docs), prose(20) + p[:third] + p[2 * third:] + p[third:2 * third] + prose(20)))
+        docs.append((len(docs), prose(3) + p + prose(10) + p))
+        docs.append((len(docs), p[2:]))
+    docs += [(500, prose(7) + items[0][1]), (500, prose(7) + items[0][1][:-2] + prose(2)), (500, prose(7) + items[1][1])]
+    tables = (frame(spark, [(i, " ".join(t)) for i, t in docs]), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string"))
+    want = set()
+    for d, t in docs:
+        for i, p in items:
+            q, m = grams(p), min(len(p), len(t))
+            for a in range(len(t) - m + 1):
+                w = grams(t[a:a + m])
+                s = sum((w & q).values()) / max(1, sum((w | q).values()))
+                if s >= 0.8:
+                    want.add((d, i, a, m, round(s, 9)))
+    got = [(x.doc_id, x.item_id, x.start, x.n_words, round(x.similarity, 9)) for x in decontaminate.leaks(*tables).collect()]
+    assert len(got) == len(set(got)) and set(got) <= want
+    # SimHash may pass over a window at the threshold.
+    assert {x for x in want if x[4] >= 0.85} <= set(got) and len(want) - len(got) <= 0.02 * len(want)
+    assert {x[:2] for x in got} == {x[:2] for x in want}
+
+
 def test_simhash_blocks_find_all_within_radius():
     edges = [i * 64 // (decontaminate.RADIUS + 1) for i in range(decontaminate.RADIUS + 2)]
     assert edges[0] == 0 and edges[-1] == 64 and len(set(edges)) == decontaminate.RADIUS + 2
