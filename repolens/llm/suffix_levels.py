@@ -1,13 +1,13 @@
-"""Suffix-array dedup with a logarithmic family of indexes.
+"""Dedup of 200-byte strings with a logarithmic family of indexes of minimiser fingerprints.
 
-A suffix array over every byte would be eight times the text.  The arrays here are sparse: they hold the suffixes that start
-at a minimiser of some 200-byte window, about one in 85, which every repeated string of 200 bytes contains at the same
-place.  Suffixes are ordered by the 64-bit fingerprint of their first 32 bytes; which of those that agree there also
-agree over 200 bytes is settled on the bytes (``repeats``).
+A suffix array over every byte would be eight times the text, and there is none here.  The levels hold (key, n): the 64-bit
+fingerprint of the 32 bytes at a minimiser of some 200-byte window, about one place in 85, and how often it occurs.  Every
+repeated string of 200 bytes contains a minimiser at the same place.  Which places with equal keys also agree over 200
+bytes is settled on the bytes, by super-k-mers (``repeats``).
 
-A new batch gets its own array.  It is merge-scanned against every level for suffixes that agree, and then merged with the
-level of its size, that one with the next, and so on, so that a suffix is rewritten once per doubling.  Levels are
-tables bucketed and sorted by the fingerprint: scans and merges go bucket by bucket, without a shuffle.
+A new batch gets its own table.  It is joined by key with every level, and then merged with the level of its size, that one
+with the next, and so on, so that a key is rewritten once per doubling.  Levels are tables bucketed and sorted by the key:
+joins and merges go bucket by bucket, without a shuffle.
 """
 
 from __future__ import annotations
