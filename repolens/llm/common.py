@@ -32,14 +32,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``df`` written once as a table below spark.checkpoint.dir, bucketed by ``key``: it is joined and grouped by the key
+    without a shuffle of its rows."""
+    name = f"{name}_{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, f"llm/{name}")
+    (df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name))
+    out = df.sparkSession.table(name)
+    out.scratch, out.table = path, name
+    if _stage_tables is not None:
+        _stage_tables.append(path)
+    return out
+
+
 #: Tables written while a pipeline stage is being built (None outside one), and those of the stage built last.
 _stage_tables: list[str] | None = None
 _last: list[str] = []
 
 
 def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
-    """Delete ``written`` tables that no later step reads, so that scratch space doesn't pile up."""
+    """Delete ``written`` and ``bucketed`` tables that no later step reads, so that scratch space doesn't pile up."""
     for t in tables:
+        if hasattr(t, "table"):
+            spark.sql(f"drop table if exists {t.table}")
         path = spark._jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t.scratch)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -68,7 +83,7 @@ def scan(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
-          "double": pa.float64(), "float": pa.float32()}
+          "double": pa.float64(), "float": pa.float32(), "array<long>": pa.list_(pa.int64())}
 
 
 def arrow_schema(ddl: str) -> pa.Schema:

@@ -114,3 +114,20 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     from . import jaccard_join
     return jaccard_join.join(documents(spark, sf_dir))
+
+
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal texts of all documents, and which row of them stays."""
+    from . import exact_dedup
+    return exact_dedup.mark(documents(spark, sf_dir))
+
+
+ORACLES["op13_exact_dedup"] = """
+with n as (
+  select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+)
+select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+  doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
+from n
+"""
