@@ -131,3 +131,35 @@ select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (part
   doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
 from n
 """
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 100; ids divisible by 7 carry a wrong label."""
+    from . import hard_negatives
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op11_hard_negatives"] = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.vec_id as anchor_id, v.vec_id, a.label = v.label as same, cast(list_inner_product(a.e, v.e) as bigint) as score
+  from v as a join v on a.vec_id <> v.vec_id where a.vec_id % 100 = 0
+), p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id,
+  cast(row_number() over (partition by anchor_id, positive_id order by s.score desc, s.vec_id) as int) as rank,
+  s.vec_id as negative_id, positive_score, s.score as negative_score
+from p join s using (anchor_id)
+where not s.same and 80 * positive_score <= 100 * s.score and 100 * s.score <= 100 * positive_score
+qualify rank <= 5
+"""
