@@ -80,11 +80,11 @@ def pieces(off: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, off: np.ndarray, separates: np.ndarray = IS_SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and for each document (rows + 1) the index of its first word."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    word = ~IS_SEP[data]
+    word = ~separates[data]
     begins, ends = word.copy(), word.copy()
     begins[1:] &= ~word[:-1]
     ends[:-1] &= ~word[1:]

@@ -163,3 +163,37 @@ from p join s using (anchor_id)
 where not s.same and 80 * positive_score <= 100 * s.score and 100 * s.score <= 100 * positive_score
 qualify rank <= 5
 """
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents of every benchmark item."""
+    from . import lexical_search
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLES["op12_lexical_search"] = r"""
+with t as (
+  select 0 as kind, doc_id as id, row_number() over () as r, text from documents
+  union all select 1, item_id, row_number() over (), text from benchmark
+), w as (
+  select kind, id, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from t where text is not null
+), tf as (
+  select id as doc_id, r, term, count(*) as tf from w where kind = 0 group by all
+), len as (
+  select r, sum(tf)::bigint as n from tf group by r
+), total as (
+  select count(*) as n_docs, sum(n)::bigint as n_terms from len
+), idf as (
+  select term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::bigint as w from tf, total group by term, n_docs
+), item as (
+  select distinct id as item_id, term from w where kind = 1 and id is not null
+), s as (
+  select item_id, doc_id, r, sum(idf.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::bigint as score
+  from item join idf using (term) join tf using (term) join len using (r), total group by all
+)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score
+from s where score > 0 qualify rank <= 10
+"""
