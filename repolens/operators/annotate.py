@@ -182,14 +182,18 @@ def price_calls(calls: DataFrame, pricing: DataFrame) -> DataFrame:
     """Cost per call = tokens x USD per 1M tokens, input plus output (A16),
     as exact decimals; NULL for an unlisted model.  A (service, model) that
     the list holds twice fails the job: neither price would be right."""
-    per_token = F.lit(Decimal("0.000001"))
     once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("repeated entry in the price list")))
-    price = lambda c: F.coalesce(once, F.max(F.col(c).cast("decimal(12,6)")))
-    pr = pricing.groupBy("service", "model").agg(price("input").alias("_pin"), price("output").alias("_pout"))
-    out = calls.join(pr, ["service", "model"], "left")
-    cost = (F.col("input_tokens").cast("decimal(20,0)") * (F.col("_pin") * per_token)
-            + F.col("output_tokens").cast("decimal(20,0)") * (F.col("_pout") * per_token))
-    return out.select(*calls.columns, cost.alias("cost"))
+    price = lambda c: F.coalesce(once, F.max(F.col(c).cast("decimal(12,6)"))).alias(c)
+    pr = pricing.groupBy("service", "model").agg(price("input"), price("output"))
+    # The list is a config document of some dozen entries: one map value, so
+    # that calls of any number and of one model alone are priced where they lie.
+    entries = F.collect_list(F.struct(F.struct("service", "model"), F.struct("input", "output")))
+    prices = pr.agg(F.map_from_entries(entries).alias("prices")).scalar()
+    of_call = F.try_element_at(prices, F.struct("service", "model"))
+    per_token = F.lit(Decimal("0.000001"))
+    cost = (F.col("input_tokens").cast("decimal(20,0)") * (of_call["input"] * per_token)
+            + F.col("output_tokens").cast("decimal(20,0)") * (of_call["output"] * per_token))
+    return calls.select("*", cost.alias("cost"))
 
 
 # What the model is asked about each data set.
