@@ -55,11 +55,17 @@ def _blocks(bits: Column) -> Column:
                      for i, (lo, hi) in enumerate(zip(edges, edges[1:]))])
 
 
+def _numbered(s: Column) -> Column:
+    """The shingles as a set: a repeat becomes a value of its own, made from the shingle and its number."""
+    earlier = lambda h, i: F.size(F.filter(F.slice(s, F.lit(1), i), lambda y: y == h))
+    number = lambda h, n: F.when(n == 0, h).otherwise(F.xxhash64(h, n))
+    return F.when(F.size(F.array_distinct(s)) == F.size(s), s).otherwise(F.transform(s, lambda h, i: number(h, earlier(h, i))))
+
+
 def _similarity(a: Column, b: Column) -> Column:
-    count = lambda x, h: F.size(F.filter(x, lambda y: y == h))
-    both = F.array_distinct(F.concat(a, b))
-    add = lambda pick: F.aggregate(both, F.lit(0), lambda s, h: s + pick(count(a, h), count(b, h)))
-    return F.try_divide(add(F.least), add(F.greatest))  # null if neither has a shingle
+    """Of two numbered sets; null if neither has a shingle."""
+    both = F.size(F.array_intersect(a, b))
+    return F.try_divide(both, F.size(a) + F.size(b) - both)
 
 
 def _windows(hits: DataFrame, similarity: float) -> DataFrame:
@@ -106,9 +112,10 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_
     pairs = (w.withColumn("k", F.explode(_blocks(F.col("f")))).select("*", "k.block", "k.bits").drop("k")
              .join(small(items.withColumn("k", F.explode(_blocks(F.col("item_f")))).select("*", "k.block", "k.bits").drop("k")), ["m", "block", "bits"])
              .where(F.bit_count(F.col("f").bitwiseXOR(F.col("item_f"))) <= RADIUS))
-    # By the shingles too: an id can stand on several texts.
-    found = pairs.select("doc_id", "item_id", "start", "n_words", "s", "item_s").distinct()
-    return (found.withColumn("similarity", _similarity(F.col("s"), F.col("item_s"))).where(F.col("similarity") >= similarity)
+    # By the shingles too: an id can stand on several texts.  Dealt by number, for verification costs time and few bytes.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = (pairs.select("doc_id", "item_id", "start", "n_words", "s", "item_s").repartition(tasks, "doc_id", "item_id", "start").distinct())
+    return (found.withColumn("similarity", _similarity(_numbered(F.col("s")), _numbered(F.col("item_s")))).where(F.col("similarity") >= similarity)
             .select("doc_id", "item_id", "start", "n_words", "similarity").distinct())
 
 
