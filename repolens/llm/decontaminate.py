@@ -33,11 +33,11 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _shingles(words: Column) -> Column:
-    """Hashes of the runs of five words, in order."""
+def _shingles(words: Column, width: int = SHINGLE) -> Column:
+    """Hashes of the runs of ``width`` words, in order."""
     n = F.size(words)
-    at = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(SHINGLE)])
-    return F.when(n >= SHINGLE, F.transform(F.sequence(F.lit(0), n - SHINGLE), at)).otherwise(F.array().cast("array<bigint>"))
+    at = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(width)])
+    return F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), at)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _simhash(shingles: Column) -> Column:
@@ -63,7 +63,8 @@ def _numbered(s: Column) -> Column:
 
 
 def _similarity(a: Column, b: Column) -> Column:
-    """Of two numbered sets; null if neither has a shingle."""
+    """The smaller over the larger counts; null if neither has a shingle."""
+    a, b = _numbered(a), _numbered(b)
     both = F.size(F.array_intersect(a, b))
     return F.try_divide(both, F.size(a) + F.size(b) - both)
 
@@ -90,21 +91,37 @@ def _windows(hits: DataFrame, similarity: float) -> DataFrame:
     return at.select("doc_id", "m", F.least(m, n).alias("n_words"), F.inline(windows)).distinct()
 
 
+def _short(docs: DataFrame, items: DataFrame, widths: list[int]) -> DataFrame:
+    """Leaks of items of fewer words than a shingle has: windows of the very same words."""
+    found = None
+    for m in widths:
+        own = items.where(F.size("w") == m).select("item_id", F.get(_shingles(F.col("w"), m), F.lit(0)).alias("h"))
+        few = own.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+        windows = docs.select("doc_id", F.posexplode_outer(_shingles(F.col("w"), m)).alias("start", "h"))
+        hits = windows.join(F.broadcast(own) if few else own, "h").select(
+            "doc_id", "item_id", "start", F.lit(m).alias("n_words"), F.lit(1.0).alias("similarity")).distinct()
+        found = hits if found is None else found.unionAll(hits)
+    return found
+
+
 def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",
-          item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+          item_col: str = "item_id", item_text_col: str = "text", short_items: bool = False) -> DataFrame:
     """doc_id, item_id, start (word, from 0), n_words, similarity: the windows that repeat a benchmark item.
 
     An item's copy is found by several windows, those a few words beside it too.  In a document shorter than the item the
-    window is the whole document.  Null and empty texts, and items of fewer than five words, match nothing.  Repeated rows of
-    an id give their windows once; null ids are kept as null.  Other columns are not read.
+    window is the whole document.  An item of fewer than five words matches nothing, or with ``short_items`` the very same
+    words in the same order.  Null and empty texts match nothing, and an empty table gives no rows.  Repeated rows of an id give their windows once; null
+    ids are kept as null.  A very long text is cut into the blocks around its hits.  Other columns are not read.
     """
-    items = (items.select(F.col(item_col).cast("long").alias("item_id"), _words(F.col(item_text_col)).alias("w"))
-             .select("item_id", F.size("w").alias("m"), _shingles(F.col("w")).alias("item_s")).where(F.col("m") >= SHINGLE))
+    items = items.select(F.col(item_col).cast("long").alias("item_id"), _words(F.col(item_text_col)).alias("w"))
+    widths = [r["m"] for r in items.select(F.size("w").alias("m")).where(f"m between 1 and {SHINGLE - 1}").distinct().collect()] if short_items else []
+    worded_items = items
+    items = items.select("item_id", F.size("w").alias("m"), _shingles(F.col("w")).alias("item_s")).where(F.col("m") >= SHINGLE)
     places = items.select("m", F.explode_outer("item_s").alias("h")).distinct()
     few = places.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     small = F.broadcast if few else (lambda x: x)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), _words(F.col(text_col)).alias("w"))
-    d = d.select("doc_id", F.size("w").alias("n"), _shingles(F.col("w")).alias("s"))
+    worded = docs.select(F.col(id_col).cast("long").alias("doc_id"), _words(F.col(text_col)).alias("w"))
+    d = worded.select("doc_id", F.size("w").alias("n"), _shingles(F.col("w")).alias("s"))
     # The outer form: Spark would else infer filters that compute the arrays a second time.
     hits = d.select("doc_id", "n", "s", F.posexplode_outer("s").alias("pos", "h")).join(small(places), "h")
     w = _windows(hits, similarity).withColumn("f", _simhash(F.col("s")))
@@ -115,8 +132,9 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_
     # By the shingles too: an id can stand on several texts.  Dealt by number, for verification costs time and few bytes.
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = (pairs.select("doc_id", "item_id", "start", "n_words", "s", "item_s").repartition(tasks, "doc_id", "item_id", "start").distinct())
-    return (found.withColumn("similarity", _similarity(_numbered(F.col("s")), _numbered(F.col("item_s")))).where(F.col("similarity") >= similarity)
-            .select("doc_id", "item_id", "start", "n_words", "similarity").distinct())
+    found = (found.withColumn("similarity", _similarity(F.col("s"), F.col("item_s"))).where(F.col("similarity") >= similarity)
+             .select("doc_id", "item_id", "start", "n_words", "similarity").distinct())
+    return found.unionAll(_short(worded, worded_items, widths)) if widths else found
 
 
 def without_leaks(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -90,7 +90,7 @@ ORACLES["op3_mix_sources"] = mixing.oracle_sql()
 @query
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of all documents that repeat a benchmark item."""
-    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short_items=True)
 
 
 @query

@@ -151,6 +151,15 @@ def test_leaks_against_every_window(spark):
     assert {x.doc_id for x in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want} | {200, None}
 
 
+def test_leaks_of_short_items(spark):
+    """The very same words in the same order, in a text of any length."""
+    items = spark.createDataFrame([(1, "Paris"), (2, "two  words"), (3, "a b a b"), (4, ""), (5, None), (6, "no such thing")], "item_id long, text string")
+    rows = [(10, "two words, two; words"), (11, "a b a b a b"), (12, "paris" + " x" * 90_000 + " two words"), (13, None), (14, "words two"), (None, "PARIS")]
+    got = {(x.doc_id, x.item_id, x.start, x.n_words) for x in decontaminate.leaks(frame(spark, rows), items, short_items=True).collect()}
+    assert got == {(10, 2, 0, 2), (10, 2, 2, 2), (11, 3, 0, 4), (11, 3, 2, 4), (12, 1, 0, 1), (12, 2, 90_001, 2), (None, 1, 0, 1)}
+    assert decontaminate.leaks(frame(spark, rows), items).count() == 0
+
+
 def test_leaks_of_moved_text(spark):
     """All windows of all documents, also where the item's parts have changed places, and of two texts under one id."""
     r = random.Random(8)
