@@ -75,6 +75,15 @@ TOP_LEVEL = T.StructType(REPO_FIELDS + [
     _f("imports", T.ArrayType(S)), _f("code", T.ArrayType(S)),
 ])
 
+# One JSON document of a repo map, a file; the repository is in the folders.
+REPO_MAP = T.StructType([
+    _f("file_path", S), _f("file_extension", S),
+    _f("imports", T.ArrayType(S)), _f("code", T.ArrayType(S)),
+    _f("functions", T.ArrayType(T.StructType(
+        [f for f in FUNCTIONS.fields if f.name not in ("repo_owner", "repo_name", "file_path")]))),
+    _f("_corrupt_record", S),
+])
+
 COST_LOG = T.StructType([
     _f("date", S), _f("model", S), _f("input", L), _f("output", L), _f("cost", D),
 ])
