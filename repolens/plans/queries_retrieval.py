@@ -27,7 +27,7 @@ def _tmp(spark, tag):
 NEAREST_K = 5
 
 
-@query("nearest_centroids", f"""with dims as (
+_NEAREST_SQL = f"""with dims as (
   select label, pos, avg(cast(x as double)) as m
   from (select label, pos, embedding[pos] as x from (
           select label, embedding, unnest(range(1, len(embedding) + 1)) as pos from embeddings) u) t
@@ -39,7 +39,10 @@ sims as (
   from cent c, embeddings e)
 select query_id, rank, vec_id, cast(round(cast(sim as decimal(18,9)), 4) as decimal(18,4)) as sim from (
   select *, cast(row_number() over (partition by query_id order by sim desc, vec_id) as integer) as rank
-  from sims) t where rank <= {NEAREST_K}""")
+  from sims) t where rank <= {NEAREST_K}"""
+
+
+@query("nearest_centroids", _NEAREST_SQL)
 def q_nearest_centroids(spark, sf):
     # The nearest vectors to each label's mean vector
     emb = X.read_table(spark, sf, "embeddings")
@@ -49,6 +52,20 @@ def q_nearest_centroids(spark, sf):
                      F.round(F.col("sim").cast("decimal(18,9)"), 4).cast("decimal(18,4)").alias("sim"))
 
 
+@query("nearest_indexed", _NEAREST_SQL)
+def q_nearest_indexed(spark, sf):
+    # R5 over the stored index: the same neighbours, from the cells whose
+    # bounds allow them
+    from ..operators import vector_index as V
+    emb = X.read_table(spark, sf, "embeddings")
+    path = _tmp(spark, "vector-index")
+    V.write_vector_index(emb, path)
+    q = R.centroids(emb, "label").select(F.col("label").alias("query_id"), F.col("centroid").alias("query"))
+    nn = V.search_vector_index(spark, path, q, NEAREST_K)
+    return nn.select("query_id", "rank", "vec_id",
+                     F.round(F.col("sim").cast("decimal(18,9)"), 4).cast("decimal(18,4)").alias("sim"))
+
+
 @query("chunk_documents")
 def q_chunk_documents(spark, sf):
     """Sentence-packed chunks of every document (whole texts)."""
