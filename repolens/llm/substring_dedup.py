@@ -35,8 +35,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = written(repeats.runs(plain, Words), "word_runs")
     shared = found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
+    # Written before the join: of two bare shuffles Spark can split the rows of a frequent key.
+    shared = written(shared, "shared_keys")
     runs = written(found.join(shared, "key", "left_semi"), "shared_runs")
-    discard(docs.sparkSession, found)
+    discard(docs.sparkSession, found, shared)
     classes = runs.groupBy("key", "cls").agg(F.min(F.struct("doc_id", "tag", "at", "n")).alias("rep"))
     classes = written(classes.select("key", "cls", "rep.*"), "run_classes")
     many = classes.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1")

@@ -12,32 +12,34 @@ joins and merges go bucket by bucket, without a shuffle.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import discard, written
+from .common import bucketed, discard, written
 from .repeats import Bytes
 
-BATCHES = 4
+BATCH_RUNS = 1 << 22  # runs of a batch, about 600 MB of text, until the corpus has MOST_BATCHES of them; then batches grow
+MOST_BATCHES = 16
 
 
 class SuffixIndex:
     """The levels: ``levels[rank]`` holds (key, n) for about 2 ** rank batches, n the number of such suffixes."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.levels = spark, {}
+        self.spark, self.levels, self.tables = spark, {}, {}
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _table(self, df: DataFrame) -> str:
-        name = f"suffixes_{uuid.uuid4().hex}"
-        df.write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
-        return name
+        out = bucketed(df, "suffixes", "key", self.buckets)
+        self.tables[out.table] = out
+        return out.table
+
+    def _drop(self, name: str) -> None:
+        discard(self.spark, self.tables.pop(name))
 
     def append(self, suffixes: DataFrame) -> DataFrame:
-        """Add the batch's suffixes (key); returns the keys that occur twice in it or also in a level."""
+        """Add the batch's suffixes (key); returns the keys that occur twice in it or also in a level, each once at least."""
         new = self._table(suffixes.groupBy("key").agg(F.count("*").alias("n")))
         found = self.spark.table(new).where("n > 1").select("key")
         for level in self.levels.values():
@@ -49,14 +51,14 @@ class SuffixIndex:
             a, b = self.spark.table(old), self.spark.table(run).select("key", F.col("n").alias("m"))
             new = self._table(a.join(b, "key", "full").select("key", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n")))
             for gone in (old, run):
-                self.spark.sql(f"drop table {gone}")
+                self._drop(gone)
             rank += 1
         self.levels[rank] = new
         return found
 
     def drop(self) -> None:
-        for name in self.levels.values():
-            self.spark.sql(f"drop table {name}")
+        for name in [*self.tables]:
+            self._drop(name)
         self.levels = {}
 
 
@@ -76,28 +78,42 @@ def _apply_text(raw: bytes, spans: list[tuple[int, int]]) -> tuple:
     return out.decode("utf-8", "ignore").encode(), *numbers
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, as_text: bool = False) -> DataFrame:
+def _shared(found: DataFrame, batches: int | None) -> DataFrame:
+    """Written: the keys that occur twice in ``found``, which comes to the index in batches of neighbouring input partitions."""
+    spark = found.sparkSession
+    n, parts = found.agg(F.count("*"), F.max("part")).first()
+    batches = batches or min(MOST_BATCHES, -(-n // BATCH_RUNS))
+    edges = [i * ((parts or 0) + 1) // max(batches, 1) for i in range(max(batches, 1) + 1)]
+    index, matched = SuffixIndex(spark), []
+    try:
+        for lo, hi in zip(edges, edges[1:]):
+            matched.append(index.append(found.where((F.col("part") >= lo) & (F.col("part") < hi)).select("key")))
+    finally:
+        index.drop()
+    shared = matched[0]
+    for m in matched[1:]:
+        shared = shared.unionAll(m)
+    # Written before the join: of two bare shuffles Spark can split the rows of a frequent key.
+    out = written(shared.distinct(), "shared_keys") if batches > 1 else matched[0]
+    discard(spark, *(matched if batches > 1 else []))
+    return out
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int | None = None, as_text: bool = False) -> DataFrame:
     """row (the whole input row), kept (the bytes that stay), n_units (bytes), n_removed, n_spans (maximal removed runs).
     With ``as_text``, ``kept`` is a string, without the rest of a character that a span cuts through.
 
     A byte goes if a string of 200 bytes that covers it also starts anywhere else, in the same document or another; what
     is left of other documents doesn't matter.  Null, empty and short texts lose nothing; null gives an empty ``kept``.
     Rows with a null id lose nothing and make none lose any.  Rows that repeat an id and its text are other places each, so
-    they lose all that they share.  All columns stay in ``row``, whatever their names.
+    they lose all that they share.  A very long text is looked at in slices, whole.  An empty table gives no rows.  All
+    columns stay in ``row``, whatever their names.  ``batches`` fixes the number of batches, which else follows the input.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    index = SuffixIndex(docs.sparkSession)
-    arrived, matched = [], []
-    for i in range(batches):
-        batch = plain.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i)
-        arrived.append(written(repeats.runs(batch, Bytes), "byte_runs"))
-        matched.append(index.append(arrived[-1].select("key")))
-    index.drop()
-    found, shared = arrived[0], matched[0]
-    for f, m in zip(arrived[1:], matched[1:]):
-        found, shared = found.unionAll(f), shared.unionAll(m)
-    runs = written(found.join(shared.distinct(), "key", "left_semi"), "shared_runs")
-    discard(docs.sparkSession, *arrived, *matched)
+    found = written(repeats.runs(plain, Bytes).withColumn("part", F.spark_partition_id()), "byte_runs")
+    shared = _shared(found, batches)
+    runs = written(found.drop("part").join(shared, "key", "left_semi"), "shared_runs")
+    discard(docs.sparkSession, found, shared)
     classes = runs.groupBy("key", "cls").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "tag", "at", "n")).alias("rep"))
     classes = written(classes.select("key", "cls", "copies", "rep.*"), "run_classes")
     # A key's classes need a look at their bytes only if one of them has a single copy.
