@@ -92,7 +92,8 @@ class _Cells:
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """[query, cell]: no vector of the cell is nearer than this."""
-        far = np.sqrt(np.maximum(0.0, 2 - 2 * (q @ self.centroid.T)))
+        sims = np.zeros((len(q), len(self.id))) if self.zero.all() else q @ self.centroid.T
+        far = np.sqrt(np.maximum(0.0, 2 - 2 * sims))
         low = np.maximum(0.0, far - self.radius[None, :] - _MARGIN)
         flat = np.abs(q).sum(1) == 0  # a zero query has cosine 0 with all vectors
         return np.where(self.zero[None, :] | flat[:, None], np.sqrt(2.0) - _MARGIN, low)
@@ -143,7 +144,8 @@ def search_vector_index(spark: SparkSession, path: str, queries: DataFrame, k: i
                         report: dict | None = None) -> DataFrame:
     """Exact k nearest stored vectors by cosine per query: query_id, rank, vec_id, sim, as ``nearest`` gives them.
 
-    Ties go by vector id.  ``report`` gets the number of cells and of those read.  A cell of any size is dealt to blocks
+    Ties go by vector id.  ``report`` gets the number of cells, of those read, of the visits of queries to cells and of all
+    that there could be.  A cell of any size is dealt to blocks
     by a hash of the ids, and so are the queries, so that a task's matrices are bounded."""
     from ..session import cut_lineage
     cells = _Cells(spark.read.parquet(f"{path}/cells").collect())
@@ -153,12 +155,14 @@ def search_vector_index(spark: SparkSession, path: str, queries: DataFrame, k: i
     # The table of cells as literals: blocks per cell.
     blocks = F.create_map(*[F.lit(x) for c, n in zip(cells.id, cells.n) for x in (int(c), int(-(-n // VECTOR_BLOCK)))]) if len(cells.id) else F.create_map(F.lit(0), F.lit(1))
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), F.asc("vec_id"))
-    read = set()
+    read, visits, asked = set(), [], qs.count() if report is not None else 0
 
     def hits(asked: DataFrame, first: bool) -> DataFrame:
         plan = cut_lineage(asked.mapInPandas(_plan(cells, k, first), f"query_id {qkind}, q array<double>, cell int"))
         need = needed_cells(plan)
         read.update(need)
+        if report is not None:
+            visits.append(plan.count())
         left = (plan.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
                 .withColumn("block", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("cell")) - 1))))
         right = (cell_scan(spark, path, need).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.element_at(blocks, F.col("cell"))).cast("int"))
@@ -172,6 +176,6 @@ def search_vector_index(spark: SparkSession, path: str, queries: DataFrame, k: i
     reach = near.filter(F.col("rank") == k).select("query_id", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("sim"))).alias("reach"))
     rest = hits(qs.join(reach, "query_id"), False)
     if report is not None:
-        report.update(cells=len(cells.id), read=len(read))
+        report.update(cells=len(cells.id), read=len(read), visits=sum(visits), all_visits=len(cells.id) * asked)
     return (near.drop("rank").unionByName(rest.drop("rank")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "sim"))
