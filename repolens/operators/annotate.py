@@ -1,10 +1,10 @@
 """Batch model annotation.
 
 One operator, ``annotate``: render a prompt column, key it by a content
-hash of (model, prompt), anti-join the cache, call an injected completer on
+hash of (model, prompt), anti-join the store, call an injected completer on
 the missing prompts inside ``mapInPandas`` (Arrow batches; the number of
 concurrent callers is bounded by ``max_callers`` partitions), append the
-answers to the cache *before* joining back -- so every prompt is answered
+answers to the store *before* joining back -- so every prompt is answered
 once even when tasks are retried -- and join the answers onto the rows.
 
 A completer is a picklable callable ``list[str] -> list[str]`` (or
@@ -21,19 +21,18 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from .. import REPO
-
 from ..session import cut_lineage
+from .store import append, content_key, entries_of, missing, read_store
 
 # Answer length limit, shorten rounds, garbage marker.
 MAX_DESCRIPTION = 800
 SHORTEN_ROUNDS = 5
 GARBAGE_PREFIX = "@@@"
 
-CACHE_SCHEMA = ("key string, model string, prompt string, answer string, "
-                "prompt_tokens bigint, completion_tokens bigint")
+CALLED = ("key string, model string, prompt string, answer string, "
+          "prompt_tokens bigint, completion_tokens bigint")
 
 # Prompt templates (L1).  Variables in braces are columns.
 TEMPLATES = {
@@ -69,17 +68,7 @@ def estimate_tokens(c) -> Column:
 
 def prompt_key(model: str, prompt: Column) -> Column:
     """Cache key = sha256 of model and prompt."""
-    return F.sha2(F.concat(F.lit(model), F.lit("\u0001"), prompt), 256)
-
-
-def _read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache table as of now.  Read through a file glob: the scan is then
-    identified by its file set, so an older read of the same folder inside
-    the same plan (chained annotate calls) is never reused for a newer one."""
-    try:
-        return spark.read.schema(CACHE_SCHEMA).parquet(path.rstrip("/") + "/*.parquet")
-    except AnalysisException:
-        return spark.createDataFrame([], CACHE_SCHEMA)
+    return content_key(model, prompt)
 
 
 def _answers(completer, prompts: list[str]) -> list:
@@ -120,8 +109,8 @@ def annotate(df: DataFrame, prompt: Column, completer, cache_path: str, model: s
              out: str = "answer", max_callers: int | None = None) -> DataFrame:
     """Rows of ``df`` with the model's ``out`` answer to ``prompt``.
 
-    Work done: one call per distinct prompt not yet in the cache.  The cache
-    is a parquet table at ``cache_path`` (shared storage); answers are
+    Work done: one call per distinct prompt not yet in the cache, a store
+    (``operators.store``) at ``cache_path`` on shared storage; answers are
     appended before they are read back.  A garbage answer (L4) or a failed
     call costs its own row only: it is stored as a reject without an answer,
     the row's answer is NULL, and the next run asks again.
@@ -131,32 +120,26 @@ def annotate(df: DataFrame, prompt: Column, completer, cache_path: str, model: s
     # prompts, and the (possibly costly) upstream is not computed twice
     keyed = cut_lineage(df.withColumn("_prompt", prompt)
                         .withColumn("_key", prompt_key(model, F.col("_prompt"))))
-    cache = _read_cache(spark, cache_path)
-    todo = (keyed.select(F.col("_key").alias("key"), F.col("_prompt").alias("prompt"))
-            .dropDuplicates(["key"])
-            .join(cache.filter("answer is not null").select("key"), "key", "left_anti"))
+    wanted = keyed.select(F.col("_key").alias("key"), F.col("_prompt").alias("prompt")).dropDuplicates(["key"])
+    todo = missing(wanted, cache_path, F.col("answer").isNotNull())
     # max_callers bounds the concurrent calls to a rate-limited service;
     # by default the calls spread over the cluster's cores
     callers = max_callers or max(spark.sparkContext.defaultParallelism * 2, 1)
-    new = todo.repartition(callers, "key").mapInPandas(_call(completer, model), CACHE_SCHEMA)
-    new.write.mode("append").parquet(cache_path)
-    # only the answers that the input needs are read back
-    answers = (_read_cache(spark, cache_path).filter("answer is not null")
-               .join(keyed.select(F.col("_key").alias("key")), "key", "left_semi")
-               .groupBy("key").agg(F.min("answer").alias(out)))
-    return keyed.join(answers, keyed["_key"] == answers["key"], "left").drop("key", "_key", "_prompt")
+    append(todo.repartition(callers, "key").mapInPandas(_call(completer, model), CALLED), cache_path)
+    answers = entries_of(wanted, cache_path, "answer").select(F.col("key").alias("_answered"), F.col("answer").alias(out))
+    return keyed.join(answers, F.col("_key") == F.col("_answered"), "left").drop("_answered", "_key", "_prompt")
 
 
 def rejects(spark: SparkSession, cache_path: str) -> DataFrame:
     """Prompts that have got no usable answer yet (L4)."""
-    cache = _read_cache(spark, cache_path)
+    cache = read_store(spark, cache_path)
     good = cache.filter("answer is not null").select("key")
     return cache.filter("answer is null").join(good, "key", "left_anti").select("key", "model", "prompt").distinct()
 
 
 def cache_size(spark: SparkSession, cache_path: str) -> int:
     """Number of answers stored (each one model call)."""
-    return _read_cache(spark, cache_path).filter("answer is not null").count()
+    return read_store(spark, cache_path).filter("answer is not null").count()
 
 
 def shorten(df: DataFrame, text: str, completer, cache_path: str, filename: str = "filename",

@@ -14,6 +14,7 @@ from .. import REPO
 from ..plans.helpers import spread
 from ..session import cut_lineage
 from .annotate import annotate, render
+from .store import append, content_key, entries_of, missing
 
 # Chunk size in tokens and the overlap carried between chunks.
 CHUNK_SIZE = 1024
@@ -137,9 +138,22 @@ class HashingEmbedder:
         return (out / n).tolist()
 
 
-def embed(df: DataFrame, text_col: str, embedder, out: str = "embedding") -> DataFrame:
-    """Rows with a vector for ``text_col`` from an injected embedder."""
-    fields = df.schema.fields
+def embed(df: DataFrame, text_col: str, embedder, out: str = "embedding", store_path: str | None = None,
+          model: str = "offline-embedder") -> DataFrame:
+    """Rows with a vector for ``text_col`` from an injected embedder.
+
+    With ``store_path`` the vectors are kept in a store by the hash of model
+    and text (``operators.store``): a text that is there already is not
+    embedded again, and a text that many rows share is embedded once."""
+    from pyspark.sql import types as T
+    if store_path is not None:
+        keyed = cut_lineage(df.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+                            .withColumn("_key", content_key(model, F.col("_text"))))
+        wanted = keyed.select(F.col("_key").alias("key"), F.col("_text").alias("prompt")).dropDuplicates(["key"])
+        todo = missing(wanted, store_path, F.col("vector").isNotNull())
+        append(embed(todo, "prompt", embedder, "vector").withColumn("model", F.lit(model)), store_path)
+        vectors = entries_of(wanted, store_path, "vector").select(F.col("key").alias("_stored"), F.col("vector").alias(out))
+        return keyed.join(vectors, F.col("_key") == F.col("_stored"), "left").drop("_stored", "_key", "_text")
 
     def run(batches):
         for pdf in batches:
@@ -147,8 +161,7 @@ def embed(df: DataFrame, text_col: str, embedder, out: str = "embedding") -> Dat
             pdf[out] = embedder(list(pdf[text_col])) if len(pdf) else []
             yield pdf
 
-    from pyspark.sql import types as T
-    schema = T.StructType(list(fields) + [T.StructField(out, T.ArrayType(T.DoubleType()))])
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.ArrayType(T.DoubleType()))])
     return spread(df).mapInPandas(run, schema)
 
 

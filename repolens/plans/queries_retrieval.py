@@ -195,3 +195,26 @@ def q_summary_catalogue(spark, sf):
     b = K.summaries_by_model(s, "extractive").select(*REPO, F.lit("K14").alias("query"), "name")
     c = K.summaries_in_range(s, "1990-01-01", "2001-12-31").select(*REPO, F.lit("K15").alias("query"), "name")
     return a.unionByName(b).unionByName(c)
+
+
+@query("stored_answers", """with d as (select doc_id, coalesce(text, '') as text from documents),
+t as (select text, min(case when doc_id % 2 = 0 then 1 else 2 end) as run from d group by text)
+select run, cast(sum(case when r = run then 1 else 0 end) as bigint) as answers, cast(sum(case when r = run then 1 else 0 end) as bigint) as vectors,
+  (select count(*) from d where run >= 2 or doc_id % 2 = 0) as documents
+from (select t.run as r, runs.run from t, (values (1), (2), (3)) as runs(run)) x group by run""")
+def q_stored_answers(spark, sf):
+    # Half of the documents, all of them, and all of them again are
+    # answered and embedded through one store; each run's new entries, and
+    # the documents that have an answer and a vector afterwards
+    d = X.read_table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    path = _tmp(spark, "store")
+    from ..operators.store import read_store
+    out, before = None, (0, 0)
+    for run, docs in ((1, d.filter("doc_id % 2 = 0")), (2, d), (3, d)):
+        answered = L.annotate(docs, F.col("text"), L.ExtractiveCompleter(10), path, out="answer")
+        full = R.embed(answered, "text", R.HashingEmbedder(16), store_path=path).filter("answer is not null and embedding is not null")
+        now = read_store(spark, path).agg(F.count("answer"), F.count("vector")).first()
+        row = full.agg(F.lit(run).alias("run"), F.lit(now[0] - before[0]).cast("bigint").alias("answers"),
+                       F.lit(now[1] - before[1]).cast("bigint").alias("vectors"), F.count(F.lit(1)).alias("documents"))
+        out, before = row if out is None else out.unionByName(row), tuple(now)
+    return out
