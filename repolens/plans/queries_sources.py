@@ -10,13 +10,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import REPO
+from ..schemas import REJECTS
 from ..session import scratch_path
 from ..sources import commit_log as S1
 from ..sources import description_log as S4
 from ..sources import fixtures as X
 from ..sources import logs as L
 from ..sources import pull_requests as S3
-from ..streaming.ingest import ingest_stream
+from ..streaming.ingest import ingest_stream, read_target
 from .registry import query
 
 LONG = X.sql_with(X.SQL_CHANGES_LONG)
@@ -91,10 +92,32 @@ def q_stream_ingest(spark, sf):
     ingest_stream(spark, src, target, ckpt)
     S1.write_commit_log(ch, src, mode="append")
     ingest_stream(spark, src, target, ckpt)
-    return (spark.read.parquet(target)
+    return (read_target(spark, target)
             .select(*REPO, "commit_hash", "committed_at", "author", "filename", "churn_count"))
 
 
+@query("stream_rejects", LONG + """, c as (select *, substr(commit_hash, 1, 1) as h from changes_long)
+select repo_owner, repo_name, 'record' as kind, count(distinct commit_hash) as n, 0 as named from c where h in ('a', 'b') group by 1, 2
+union all select repo_owner, repo_name, 'line', count(*), count(*) from c where h = 'c' group by 1, 2
+union all select repo_owner, repo_name, 'inserted', count(*), count(*) from c where h not in ('a', 'b', 'c') group by 1, 2""")
+def q_stream_rejects(spark, sf):
+    # Logs with records of too few header fields (hash a...), bad
+    # times (b...) and file lines of too few fields (c...); the rejects are
+    # stored by the intake
+    log = S1.render_commit_log(X.changes_long(spark, sf))
+    first = F.substring("value", 3, 1)
+    broken = (F.when(first == "a", F.regexp_replace("value", "--", "-"))
+              .when(first == "b", F.regexp_replace("value", r"--(\d{4})-", "--$1/"))
+              .when(first == "c", F.regexp_replace("value", r"\t(\d+)\t", " $1\t")).otherwise(F.col("value")))
+    src, target, ckpt = _tmp(spark, "inbox"), _tmp(spark, "changes"), _tmp(spark, "stream-ckpt")
+    log.select(*REPO, broken.alias("value")).write.partitionBy(*REPO).text(src)
+    ingest_stream(spark, src, target, ckpt)
+    named = lambda kind, rows: rows.groupBy(*REPO, kind.alias("kind")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("commit_hash").cast("bigint").alias("named"))
+    rejects = spark.read.schema(REJECTS).parquet(target + "-rejects")
+    return named(F.col("kind"), rejects).unionByName(named(F.lit("inserted"), read_target(spark, target)))
+
+
 # USD per 1M tokens of the default model (input, output).
 DEFAULT_SERVICE, DEFAULT_MODEL = "openai", "gpt-4o-mini"
 PRICES = {

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .. import REPO
 from ..functions.text import (clean_message, exclude, parse_churn, strip_offset,
                               unknown_author)
-from ..schemas import CHANGES
+from ..schemas import CHANGES, REJECTS
 
 # Fixed values of the log grammar.
 RECORD_SEP = "^^"
@@ -36,16 +36,22 @@ def _strip(c):
 def read_log_records(spark: SparkSession, path: str, repo_owner: str | None = None,
                      repo_name: str | None = None) -> DataFrame:
     """Raw records (text between ``^^`` markers) with repository and position."""
-    string_keys(spark)
-    raw = spark.read.option("lineSep", RECORD_SEP).text(path)
+    raw = text_reader(spark.read, repo_owner, repo_name).option("lineSep", RECORD_SEP).text(path)
     return with_repo(raw, repo_owner, repo_name).select(
         *REPO, F.input_file_name().alias("source_file"),
         F.monotonically_increasing_id().alias("record_pos"), "value")
 
 
-def string_keys(spark: SparkSession) -> None:
-    """Folder names stay text: a repository ``007`` is not the number 7."""
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+def folder_keys(repo_owner: str | None = None, repo_name: str | None = None) -> list[str]:
+    """DDL of the repository keys that come from the folders.  They stay text:
+    a repository ``007`` is not the number 7."""
+    return [f"{c} string" for c, given in zip(REPO, (repo_owner, repo_name)) if given is None]
+
+
+def text_reader(reader, repo_owner: str | None = None, repo_name: str | None = None):
+    """The reader (batch or stream) of text files whose folders name the repository."""
+    keys = folder_keys(repo_owner, repo_name)
+    return reader.schema(", ".join(["value string", *keys])) if keys else reader
 
 
 def with_repo(df: DataFrame, repo_owner: str | None, repo_name: str | None) -> DataFrame:
@@ -59,46 +65,51 @@ def with_repo(df: DataFrame, repo_owner: str | None, repo_name: str | None) -> D
     return df
 
 
-def parse_commit_records(records: DataFrame, exclude_files: str = "",
-                         exclude_authors: str = "") -> tuple[DataFrame, DataFrame]:
-    """Records (repo, source_file, record_pos, value) -> (changes, rejects).
+def parse_commit_lines(records: DataFrame, exclude_files: str = "",
+                       exclude_authors: str = "") -> DataFrame:
+    """Records (repo, source_file, record_pos, value) -> one row per file
+    line, and per record or line that breaks the grammar, in one pass.
 
-    changes carries ``source_file, record_pos, line_no`` after the table
-    columns: the input order that insert-if-absent needs.
+    Columns: those of ``changes``, then ``source_file, record_pos, line_no``
+    (the input order that insert-if-absent needs), ``kind`` (NULL for a good
+    line, else 'record' or 'line') and ``text`` of what was rejected.
     """
     r = (records.withColumn("_rec", _strip(F.col("value"))).filter(F.col("_rec") != "")
          .withColumn("_lines", F.split("_rec", "\n"))
          .withColumn("_info", F.split(F.element_at("_lines", 1), FIELD_SEP)))
-    ok = F.size("_info") >= MIN_HEADER_FIELDS
     when = strip_offset(F.get("_info", F.lit(2))).try_cast("timestamp_ntz")
-    ok = ok & when.isNotNull()                 # a bad time is a reject, too
-    bad_records = r.filter(~F.coalesce(ok, F.lit(False))).select(
-        *REPO, F.lit("record").alias("kind"), F.lit(None).cast("string").alias("commit_hash"),
-        F.col("_rec").alias("text"))
-    head = r.filter(ok).select(
-        *REPO, "source_file", "record_pos",
-        F.element_at("_info", 1).alias("commit_hash"),
-        F.element_at("_info", 2).try_cast("double").alias("epoch"),
-        when.alias("committed_at"),
-        unknown_author(F.element_at("_info", 4)).alias("author"),
-        F.element_at("_info", 5).alias("email"),
-        F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(0))).alias("_files"))
-    head = head.filter(exclude("author", exclude_authors))
-    lines = head.select(*[c for c in head.columns if c != "_files"],
-                        F.posexplode("_files").alias("line_no", "_line"))
-    lines = lines.filter(F.col("_line") != "").withColumn("_f", F.split("_line", "\t"))
-    good = F.size("_f") >= MIN_FILE_FIELDS
-    bad_lines = lines.filter(~good).select(
-        *REPO, F.lit("line").alias("kind"), "commit_hash", F.col("_line").alias("text"))
-    files = lines.filter(good).select(
-        *REPO, "source_file", "record_pos", "line_no", "commit_hash", "epoch", "committed_at",
-        "author", "email", F.element_at("_f", 3).alias("filename"),
-        (parse_churn(F.element_at("_f", 1)) + parse_churn(F.element_at("_f", 2))).alias("churn_count"))
-    files = files.filter(exclude("filename", exclude_files))
-    changes = files.select(*[F.col(f.name) if f.name != "description"
-                             else F.lit(None).cast("string").alias("description")
-                             for f in CHANGES.fields], "source_file", "record_pos", "line_no")
-    return changes, bad_records.unionByName(bad_lines)
+    # a bad time is a reject, too
+    ok = F.coalesce((F.size("_info") >= MIN_HEADER_FIELDS) & when.isNotNull(), F.lit(False))
+    field = lambda i: F.when(F.col("_ok"), F.get("_info", F.lit(i)))
+    files = F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(0)))
+    head = r.withColumn("_ok", ok).select(
+        *REPO, "source_file", "record_pos", "_ok",
+        field(0).alias("commit_hash"), field(1).try_cast("double").alias("epoch"),
+        F.when(F.col("_ok"), when).alias("committed_at"),
+        F.when(F.col("_ok"), unknown_author(F.get("_info", F.lit(3)))).alias("author"), field(4).alias("email"),
+        F.when(F.col("_ok"), files).otherwise(F.array("_rec")).alias("_files"))
+    head = head.filter(~F.col("_ok") | exclude("author", exclude_authors))
+    lines = (head.select(*[c for c in head.columns if c != "_files"], F.posexplode("_files").alias("line_no", "_line"))
+             .filter(~F.col("_ok") | (F.col("_line") != "")).withColumn("_f", F.split("_line", "\t")))
+    kind = F.when(~F.col("_ok"), "record").when(F.size("_f") < MIN_FILE_FIELDS, "line")
+    lines = lines.withColumn("kind", kind).withColumn("filename", F.when(F.col("kind").isNull(), F.get("_f", F.lit(2))))
+    lines = lines.filter(F.col("kind").isNotNull() | exclude("filename", exclude_files))
+    churn = parse_churn(F.get("_f", F.lit(0))) + parse_churn(F.get("_f", F.lit(1)))
+    made = {"churn_count": F.when(F.col("kind").isNull(), churn), "description": F.lit(None).cast("string")}
+    return lines.select(*[made.get(f.name, F.col(f.name)).alias(f.name) for f in CHANGES.fields], "source_file", "record_pos", "line_no",
+                        "kind", F.when(F.col("kind").isNotNull(), F.col("_line")).alias("text"))
+
+
+def split_rejects(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parsed lines -> (changes with their input order, rejects)."""
+    return (lines.filter("kind is null").drop("kind", "text"),
+            lines.filter("kind is not null").select(*[f.name for f in REJECTS.fields]))
+
+
+def parse_commit_records(records: DataFrame, exclude_files: str = "",
+                         exclude_authors: str = "") -> tuple[DataFrame, DataFrame]:
+    """Records (repo, source_file, record_pos, value) -> (changes, rejects)."""
+    return split_rejects(parse_commit_lines(records, exclude_files, exclude_authors))
 
 
 def read_commit_log(spark: SparkSession, path: str, repo_owner: str | None = None,
@@ -113,7 +124,9 @@ def render_commit_log(changes: DataFrame, message: str = "message") -> DataFrame
     """Inverse of S1: one text row per commit in the log grammar (used to
     write logs; a commit's row holds its own file lines only)."""
     ts = F.date_format("committed_at", "yyyy-MM-dd'T'HH:mm:ss")
-    line = F.concat(F.col("churn_count").cast("string"), F.lit("\t0\t"), F.col("filename"))
+    # both numbers of a line are in use: a third of the churn is deletions
+    deleted = F.floor(F.col("churn_count") / 3)
+    line = F.concat_ws("\t", (F.col("churn_count") - deleted).cast("string"), deleted.cast("string"), "filename")
     per = (changes.groupBy(*REPO, "commit_hash", "epoch", "committed_at", "author", "email")
            .agg(F.array_sort(F.collect_list(F.struct("filename", line.alias("l")))).alias("_ls")))
     return per.select(*REPO, F.concat(

@@ -1,7 +1,8 @@
 """Description log (S4, S5): ``time<TAB>file<TAB>hash<TAB>text`` where the
 text may span lines.  A line starting with ``YYYY-MM-DD HH:MM:SS<TAB>``
 starts a record; other lines continue the current one; text before the
-first record is dropped.
+first record is dropped.  Appends are numbered by their folder
+(``append=<n>``); files outside of one are ordered by their file time.
 
 Scale: lines are read with the splittable line reader.  Each line is
 assigned to the last record start at or before it *within its file split*
@@ -16,17 +17,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import REPO
-from .commit_log import string_keys, with_repo
+from ..session import child_names
+from .commit_log import text_reader, with_repo
 
 START = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\t"
 
 
 def read_description_log(spark: SparkSession, path: str, repo_owner: str | None = None,
                          repo_name: str | None = None) -> DataFrame:
-    string_keys(spark)
-    lines = with_repo(spark.read.text(path), repo_owner, repo_name).select(
+    number = F.regexp_extract("_metadata.file_path", "/append=(\\d+)/", 1)
+    lines = with_repo(text_reader(spark.read, repo_owner, repo_name).text(path), repo_owner, repo_name).select(
         *REPO, F.col("_metadata.file_path").alias("source_file"),
-        F.unix_micros(F.col("_metadata.file_modification_time")).alias("appended_at"),
+        F.when(number != "", number.try_cast("bigint"))
+         .otherwise(F.unix_micros(F.col("_metadata.file_modification_time"))).alias("appended_at"),
         F.monotonically_increasing_id().alias("pos"), "value")
     # split id = partition index carried in the upper bits of the id
     lines = lines.withColumn("split", F.shiftright("pos", 33)).withColumn(
@@ -63,5 +66,11 @@ def render_descriptions(df: DataFrame) -> DataFrame:
 
 
 def append_descriptions(df: DataFrame, path: str) -> None:
-    """Append records to the log folders."""
+    """Append records to the log (S5).  Each append is a numbered folder, so
+    that its order does not hang on file times, which copying or restoring a
+    log changes; a log that was begun without numbers goes on without."""
+    names = child_names(df.sparkSession, path)
+    if not any(n.startswith("repo_owner=") for n in names):
+        done = [int(n.removeprefix("append=")) for n in names if n.startswith("append=")]
+        path = f"{path}/append={max(done, default=0) + 1:08d}"
     render_descriptions(df).write.mode("append").partitionBy(*REPO).text(path)

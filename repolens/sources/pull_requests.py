@@ -5,15 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import REPO
 from ..functions.text import clean_title, strip_offset
 from ..schemas import PR_DUMP_COLUMNS, PULL_REQUESTS
-from .commit_log import string_keys, with_repo
-
-_RAW = T.StructType([T.StructField(c, T.StringType()) for c in PR_DUMP_COLUMNS])
-
+from .commit_log import folder_keys, with_repo
 
 def _ts(c):
     return strip_offset(F.col(c)).try_cast("timestamp_ntz")
@@ -21,8 +17,8 @@ def _ts(c):
 
 def read_pull_requests(spark: SparkSession, path: str, repo_owner: str | None = None,
                        repo_name: str | None = None) -> DataFrame:
-    string_keys(spark)
-    raw = (spark.read.schema(_RAW).option("sep", "\t").option("header", True)
+    schema = ", ".join([*(f"{c} string" for c in PR_DUMP_COLUMNS), *folder_keys(repo_owner, repo_name)])
+    raw = (spark.read.schema(schema).option("sep", "\t").option("header", True)
            .option("nullValue", "None").option("quote", "").option("mode", "PERMISSIVE").csv(path))
     raw = with_repo(raw, repo_owner, repo_name)
     conv = {

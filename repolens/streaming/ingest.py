@@ -2,59 +2,93 @@
 parsed by S1 and inserted by U1 into a parquet ``changes`` table.
 
 ``readStream`` text source with ``lineSep='^^'`` + ``foreachBatch`` +
-``trigger(availableNow=True)``.  The file source's checkpoint remembers the
-files already read; the insert is an anti join against the target, so a
-replayed batch (after a failure between write and commit) adds nothing.
+``trigger(availableNow=True)``.  An epoch parses its files once; what it
+inserts and what it rejects are written to folders of their own, named after
+the stream and the epoch::
+
+    <target>/epoch=<stream>-<n>/repo_owner=<o>/repo_name=<n>/...
+    <rejects>/epoch=<stream>-<n>/...
+
+A replayed epoch (after a failure between write and commit) overwrites its own
+folders and does not take their old content for rows that are there already,
+so it leaves the same rows and rejects, however often it runs.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import types as T
 
 from .. import REPO
 from ..operators.load import insert_new
 from ..schemas import CHANGES
-from ..sources.commit_log import RECORD_SEP, parse_commit_records, with_repo
+from ..session import child_names, cut_lineage
+from ..sources.commit_log import RECORD_SEP, parse_commit_lines, split_rejects, text_reader, with_repo
 
 KEYS = [*REPO, "commit_hash", "filename"]
 ORDER = ["source_file", "record_pos", "line_no"]
+TARGET = T.StructType([*CHANGES.fields, T.StructField("epoch_id", T.StringType())])
+# Repositories of a batch up to this number prune the target by a list.
+MOST_LISTED = 1000
+
+
+def read_target(spark: SparkSession, path: str, without_epoch: str | None = None, repos: list | None = None) -> DataFrame:
+    """The inserted rows, by epochs and repositories that the scan prunes."""
+    if not child_names(spark, path):
+        return spark.createDataFrame([], TARGET)
+    rows = spark.read.schema(TARGET).parquet(path)
+    if without_epoch is not None:
+        rows = rows.filter(F.col("epoch_id") != without_epoch)
+    if repos is not None:
+        rows = rows.filter(F.col("repo_owner").isin([r[0] for r in repos]) & F.col("repo_name").isin([r[1] for r in repos]))
+    return rows
 
 
-def _target(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(CHANGES).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], CHANGES)
+def _after_write(epoch: str) -> None:
+    """Called when an epoch is written and not committed yet (tests end the run here)."""
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, target_path: str, checkpoint: str,
                   repo_owner: str | None = None, repo_name: str | None = None,
                   exclude_files: str = "", exclude_authors: str = "",
-                  max_files_per_trigger: int | None = None) -> dict:
-    """Run the intake until every file present now is processed; returns
-    counts of rows inserted and rejected per batch."""
-    stats = {"inserted": 0, "rejected": 0, "batches": 0}
-    reader = spark.readStream.option("lineSep", RECORD_SEP)
+                  max_files_per_trigger: int | None = None, rejects_path: str | None = None) -> dict:
+    """Run the intake until every file present now is processed; returns the
+    numbers of rows inserted, skipped (there already) and rejected, and of
+    batches.  Rejects go to ``rejects_path`` (default: ``<target>-rejects``)."""
+    stats = {"inserted": 0, "skipped": 0, "rejected": 0, "batches": 0}
+    rejects_path = rejects_path or target_path.rstrip("/") + "-rejects"
+    reader = text_reader(spark.readStream, repo_owner, repo_name).option("lineSep", RECORD_SEP)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.text(source_dir)
 
-    def batch(df: DataFrame, epoch_id: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
+        session = df.sparkSession
+        # the stream's own id: another checkpoint is another stream
+        stream_id = json.loads(session.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+        epoch = f"{stream_id}-{number}"
         recs = with_repo(df, repo_owner, repo_name).select(
             *REPO, F.input_file_name().alias("source_file"),
             F.monotonically_increasing_id().alias("record_pos"), "value")
-        changes, rejects = parse_commit_records(recs, exclude_files, exclude_authors)
-        new = insert_new(_target(df.sparkSession, target_path), changes, KEYS, ORDER)
-        obs = Observation(f"ingest_{epoch_id}")
-        out = new.select(*[f.name for f in CHANGES.fields]).observe(
-            obs, F.count(F.lit(1)).alias("n"))
-        # one folder per repository: readers of one repository prune the rest
-        out.write.mode("append").partitionBy(*REPO).parquet(target_path)
+        # the batch is parsed once, here
+        lines = cut_lineage(parse_commit_lines(recs, exclude_files, exclude_authors))
+        changes, rejects = split_rejects(lines)
+        repos = [tuple(r) for r in lines.select(*REPO).distinct().limit(MOST_LISTED + 1).collect()]
+        target = read_target(session, target_path, epoch, repos if len(repos) <= MOST_LISTED else None)
+        new = insert_new(target, changes, KEYS, ORDER)
+        counts = {name: Observation(f"{name}-{epoch}") for name in ("inserted", "rejected")}
+        (new.select(*[f.name for f in CHANGES.fields]).observe(counts["inserted"], F.count(F.lit(1)).alias("n"))
+         .write.mode("overwrite").partitionBy(*REPO).parquet(f"{target_path}/epoch_id={epoch}"))
+        (rejects.observe(counts["rejected"], F.count(F.lit(1)).alias("n"))
+         .write.mode("overwrite").parquet(f"{rejects_path}/epoch_id={epoch}"))
+        _after_write(epoch)
         stats["batches"] += 1
-        stats["inserted"] += obs.get["n"]
-        stats["rejected"] += rejects.count()
+        for name, seen in counts.items():
+            stats[name] += seen.get["n"]
+        stats["skipped"] += changes.count() - counts["inserted"].get["n"]
 
     q = (stream.writeStream.foreachBatch(batch)
          .option("checkpointLocation", checkpoint)

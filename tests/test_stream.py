@@ -3,6 +3,9 @@ records."""
 
 import os
 
+import pytest
+
+from repolens.streaming import ingest
 from repolens.streaming.ingest import ingest_stream
 
 A = ("^^a1--1.0--2024-07-29T12:00:00+00:00--Ann--a@x--m\n1\t1\tx.py\n2\t0\ty.py\n\n"
@@ -27,3 +30,63 @@ def test_ingest_idempotent_and_incremental(spark, tmp):
     # a fresh checkpoint re-reads every file; the anti join still adds nothing
     s4 = ingest_stream(spark, src, tgt, os.path.join(tmp, "ck2"), "o", "r")
     assert s4["inserted"] == 0
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_killed_and_replayed_epoch_leaves_the_same(spark, tmp, monkeypatch):
+    src, tgt, ck = (os.path.join(tmp, n) for n in ("in", "tgt", "ck"))
+    os.makedirs(src)
+    open(os.path.join(src, "a.txt"), "w").write(A)
+    ingest_stream(spark, src, tgt, ck, "o", "r")
+    open(os.path.join(src, "b.txt"), "w").write(B + "^^no header\n")
+    ends = []
+
+    def end(epoch):
+        ends.append(epoch)
+        if len(ends) < 3:
+            raise RuntimeError("killed")
+    monkeypatch.setattr(ingest, "_after_write", end)
+    seen = []
+    for _ in range(2):
+        with pytest.raises(Exception, match="killed"):
+            ingest_stream(spark, src, tgt, ck, "o", "r")
+        seen.append((rows(spark.read.parquet(tgt)), rows(spark.read.parquet(tgt + "-rejects"))))
+    stats = ingest_stream(spark, src, tgt, ck, "o", "r")
+    assert stats == {"inserted": 1, "skipped": 1, "rejected": 2, "batches": 1}
+    assert len(set(ends)) == 1
+    assert seen[0] == seen[1] == (rows(spark.read.parquet(tgt)), rows(spark.read.parquet(tgt + "-rejects")))
+    assert {(r.kind, r.text) for r in spark.read.parquet(tgt + "-rejects").collect()} == {("line", "bad line"), ("record", "no header")}
+    assert spark.read.parquet(tgt).count() == 4
+
+
+def test_target_is_pruned_and_the_batch_parsed_once(spark, tmp, monkeypatch):
+    src, tgt, ck = (os.path.join(tmp, n) for n in ("in", "tgt", "ck"))
+    for repo, text in (("007", A), ("x", A)):
+        os.makedirs(os.path.join(src, "repo_owner=o", f"repo_name={repo}"))
+        open(os.path.join(src, "repo_owner=o", f"repo_name={repo}", "a.txt"), "w").write(text)
+    ingest_stream(spark, src, tgt, ck)
+    open(os.path.join(src, "repo_owner=o", "repo_name=007", "b.txt"), "w").write(B)
+    plans = []
+    plain = ingest.insert_new
+
+    def spy(*args):
+        plans.append(plain(*args))
+        return plans[-1]
+    monkeypatch.setattr(ingest, "insert_new", spy)
+    ingest_stream(spark, src, tgt, ck)
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert "repo_name#" in plan.split("PartitionFilters:")[1].split("]")[0] and "FileScan text" not in plan
+    assert rows(ingest.read_target(spark, tgt).groupBy("repo_name").count()) == [("007", 4), ("x", 3)]
+
+
+def test_a_broken_target_is_not_taken_for_an_empty_one(spark, tmp):
+    src, tgt = os.path.join(tmp, "in"), os.path.join(tmp, "tgt")
+    os.makedirs(src)
+    os.makedirs(os.path.join(tgt, "epoch_id=x", "repo_owner=o", "repo_name=r"))
+    open(os.path.join(src, "a.txt"), "w").write(A)
+    open(os.path.join(tgt, "epoch_id=x", "repo_owner=o", "repo_name=r", "part-0.parquet"), "w").write("no parquet")
+    with pytest.raises(Exception):
+        ingest_stream(spark, src, tgt, os.path.join(tmp, "ck"), "o", "r")
