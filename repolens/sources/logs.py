@@ -53,11 +53,15 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
         "pos", *[F.trim(F.element_at("_c", i + 1)).alias(f.name) for i, f in enumerate(RUN_LOG.fields)])
 
 
+def append_runs(runs: DataFrame, path: str) -> None:
+    """Log lines of finished runs: repo, key, value."""
+    (runs.select(F.concat_ws("\t", *[f.name for f in RUN_LOG.fields]).alias("value"))
+     .coalesce(1).write.mode("append").text(path))
+
+
 def append_run(spark: SparkSession, path: str, repo_owner: str, repo_name: str, key: str,
                when_iso: str) -> None:
-    spark.createDataFrame([(repo_owner, repo_name, key, when_iso)], RUN_LOG) \
-        .select(F.concat_ws("\t", *[f.name for f in RUN_LOG.fields]).alias("value")) \
-        .write.mode("append").text(path)
+    append_runs(spark.createDataFrame([(repo_owner, repo_name, key, when_iso)], RUN_LOG), path)
 
 
 def last_run(runs: DataFrame) -> DataFrame:
