@@ -135,6 +135,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return roots.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` with a key made from id and whole text, and the name of its column.  It tells apart rows that share an id but
+    not their text, and rows without an id; decisions about rows travel by it."""
+    name = "row_key"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    return docs.withColumn(name, F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))), name
+
+
 #: Ids up to this number are broadcast, 16 bytes each; a longer list is joined by a shuffle.
 MOST_IDS = 2_000_000
 

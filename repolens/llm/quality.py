@@ -5,8 +5,8 @@ of its words and of its words' shapes (first and last character, length), and of
 weighs the passages: a_i ~ exp(w . (tanh(V h_i) * sigmoid(U h_i))), and the score is the logistic function of the weighted
 sum of the h_i.  Only document labels are known, so encoder, gate and output are learned together from them.
 
-Learning takes a bounded sample (``most_rows`` labelled rows, the first by a hash of their id, none of more than
-``most_passages`` passages); encoding and scoring run where the rows lie, without a shuffle.
+Learning takes a bounded sample (``most_rows`` labelled documents, the first by a hash of their id, none of more than
+``most_passages`` passages, ``most_total`` passages in all); encoding and scoring run where the rows lie, without a shuffle.
 """
 
 from __future__ import annotations
@@ -125,12 +125,25 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        most_rows: int = 4096, most_passages: int = 512, hash_seed: str = "quality") -> Model:
-    """Learn from at most ``most_rows`` labelled rows; a null label or id teaches nothing."""
+        most_rows: int = 4096, most_passages: int = 512, most_total: int = 1 << 18, hash_seed: str = "quality") -> Model:
+    """Learn from at most ``most_rows`` labelled documents, the first by a hash of their id, of at most ``most_passages``
+    passages each and ``most_total`` together; a longer document is left out whole.  A null label or id teaches nothing;
+    rows that repeat id and text are one document, and several texts of an id are documents each."""
+    rank = [F.xxhash64("doc_id", F.lit(hash_seed)), "doc_id", "y"]
     chosen = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
-              .where("doc_id is not null and y in (0, 1)").orderBy(F.xxhash64("doc_id", F.lit(hash_seed)), "doc_id", "y").limit(most_rows))
-    rows = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-            .join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text"))  # most_rows rows of two numbers
+              .where("doc_id is not null and y in (0, 1)").orderBy(*rank).limit(most_rows))
+    text = F.col(text_col).cast("string")
+    rows = (docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+            .join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text", F.xxhash64("text").alias("key")))  # most_rows rows of two numbers
+    # The bound holds for the documents that are found: an id can stand on any number of texts.
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+    sizes = (rows.select("doc_id", "y", "key", F.ceil(F.greatest(words, F.lit(1)) / PASSAGE).alias("n")).where(F.col("n") <= most_passages)
+             .distinct().orderBy(*rank, "key").limit(most_rows).collect())
+    total = np.cumsum([r["n"] for r in sizes])
+    within = [(r["doc_id"], r["y"], r["key"]) for r, n in zip(sizes, total) if n <= most_total]
+    wanted = docs.sparkSession.createDataFrame(within, "doc_id long, y int, key long")
+    rows = (rows.join(F.broadcast(wanted), ["doc_id", "y", "key"]).groupBy("doc_id", "y", "key").agg(F.first("text").alias("text"))
+            .select("doc_id", "y", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                                                   "x": [counts[i:j].tobytes() for i, j in zip(edges, edges[1:])]},
                                                  schema=arrow_schema("doc_id long, y int, n int, x binary"))
 
-    bags = scan(rows, run, "doc_id long, y int, n int, x binary").where(F.col("n") <= most_passages)
+    bags = scan(rows, run, "doc_id long, y int, n int, x binary")
     found = sorted(bags.collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
     y = np.array([r["y"] for r in found], np.float32)
     bag = np.repeat(np.arange(len(found)), [r["n"] for r in found])

@@ -4,6 +4,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
+from repolens.llm import language_id
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `row` string, `score` double, `KEY` int, `copy` string, `cls` int"
 
 
@@ -102,6 +106,38 @@ def word_cut(rows, width=50):
     return out
 
 
+def plain_language(rows, learned):
+    """Letter by letter: (language, cosine) of each text."""
+    letters, seen = language_id._Letters(), {}
+
+    def vector(c):
+        if c not in seen:
+            at = letters.index(np.array([ord(c)]))[0]
+            seen[c] = np.ones(language_id.DIM) if c == " " else letters.rows[at].astype(float)
+        return seen[c]
+
+    def bundle(t):
+        s = "".join(c if c.isalpha() else " " for c in t.lower())
+        s = " " + " ".join(s.split()) + " "
+        out = np.zeros(language_id.DIM)
+        for tri, n in Counter(zip(s, s[1:], s[2:])).items():
+            out += n * np.roll(vector(tri[0]), 2) * np.roll(vector(tri[1]), 1) * vector(tri[2])
+        return out
+    profile = {}
+    for t, lang in learned:
+        profile[lang] = profile.get(lang, 0) + bundle(t)
+    out = []
+    for t in rows:
+        b = bundle(t or "")
+        if not any(c.isalpha() for c in t or ""):
+            out.append(("und", 0.0))
+        else:
+            score = {k: float(b @ v / np.linalg.norm(b) / np.linalg.norm(v)) for k, v in profile.items()}
+            best = min(score, key=lambda k: (-round(score[k], 12), k))
+            out.append((best, min(1.0, max(0.0, score[best]))))
+    return out
+
+
 def key(x):
     return tuple((v is None, str(type(v)), v if v is not None else 0) for v in x)
 
