@@ -316,3 +316,52 @@ def route(questions: DataFrame, text: str, completer, cache_path: str,
     first = next(iter(tools))
     return ans.withColumn("index_name", F.when(F.col("_tool").isin(*tools), F.col("_tool"))
                           .otherwise(F.lit(first))).drop("_tool")
+
+
+def search_routed(questions: DataFrame, index: DataFrame, k: int, q_id: str = "query_id", q_vec: str = "query",
+                  v_id: str = "vec_id", v_vec: str = "embedding") -> DataFrame:
+    """Exact k nearest chunks per question by cosine, each question in the
+    index that it was routed to (R7 into S14): query_id, index_name, rank,
+    vec_id, sim.
+
+    ``questions`` and ``index`` have ``index_name``; the stored index is
+    partitioned by it (``write_index``), and the scan opens only the
+    partitions that some question was routed to, which it learns while the
+    query runs (dynamic partition pruning).  Questions and chunks are dealt
+    to blocks, as in ``nearest``.
+    """
+    def blocks(df, size):
+        return max(1, -(-df.count() // size))
+
+    asked = cut_lineage(questions.filter(F.col("index_name").isin(*TOOLS)).select(
+        "index_name", F.col(q_id).alias("query_id"), F.col(q_vec).cast("array<double>").alias("q")))
+    # At most one row per index.  The comparison holds for every name; Spark prunes partitions only by a filtered side.
+    routed = asked.filter(F.length("index_name") > 0).select("index_name").distinct()
+    held = index.join(F.broadcast(routed), "index_name", "left_semi").select(
+        "index_name", F.col(v_id).alias("vec_id"), F.col(v_vec).cast("array<double>").alias("v"))
+    nq, nv = blocks(asked, QUERY_BLOCK), blocks(held, VECTOR_BLOCK)
+    deal = lambda df, c, n, to: df.withColumn(to, F.pmod(F.xxhash64(c), F.lit(n)).cast("int"))
+    copy = lambda df, n, to: df.withColumn(to, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    qs = copy(deal(asked, "query_id", nq, "qb"), nv, "vb")
+    vs = copy(deal(held, "vec_id", nv, "vb"), nq, "qb")
+
+    def top(q, v):
+        out = {"query_id": [], "index_name": [], "vec_id": [], "sim": []}
+        if len(q) and len(v):
+            sims, ids = _unit(q["q"]) @ _unit(v["v"]).T, v["vec_id"].to_numpy()
+            for qid, row in zip(q["query_id"], sims):
+                least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                at = np.flatnonzero(row >= least)
+                at = at[np.lexsort((ids[at], -row[at]))][:k]
+                out["query_id"] += [qid] * len(at)
+                out["index_name"] += [q["index_name"].iloc[0]] * len(at)
+                out["vec_id"] += ids[at].tolist()
+                out["sim"] += row[at].tolist()
+        return pd.DataFrame(out)
+
+    schema = f"query_id {dict(asked.dtypes)['query_id']}, index_name string, vec_id {dict(held.dtypes)['vec_id']}, sim double"
+    key = ["index_name", "qb", "vb"]
+    found = qs.groupBy(*key).cogroup(vs.groupBy(*key)).applyInPandas(top, schema)
+    w = Window.partitionBy("query_id", "index_name").orderBy(F.desc("sim"), F.asc("vec_id"))
+    return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .select("query_id", "index_name", "rank", "vec_id", "sim"))

@@ -218,3 +218,45 @@ def q_stored_answers(spark, sf):
                        F.lit(now[1] - before[1]).cast("bigint").alias("vectors"), F.count(F.lit(1)).alias("documents"))
         out, before = row if out is None else out.unionByName(row), tuple(now)
     return out
+
+
+@query("routed_search", f"""with e as (
+  select vec_id, case label % 3 when 0 then 'summary' when 1 then 'vector' else 'code_vector' end as index_name,
+    cast(embedding as double[]) as v from embeddings),
+q as (select vec_id as query_id, case when vec_id % 2 = 0 then 'vector' else 'summary' end as index_name, v from e where vec_id % 25 = 0),
+s as (select q.query_id, e.index_name, e.vec_id, list_cosine_similarity(q.v, e.v) as sim from q join e using (index_name))
+select query_id, index_name, rank, vec_id, cast(round(cast(sim as decimal(18,9)), 4) as decimal(18,4)) as sim from (
+  select *, cast(row_number() over (partition by query_id order by sim desc, vec_id) as integer) as rank from s) t where rank <= {NEAREST_K}""")
+def q_routed_search(spark, sf):
+    # Vectors stored as three indexes, by their label; questions
+    # routed to two of them are answered from their own index, and the third
+    # is never opened
+    from ..sources import source_files as SF
+    emb = X.read_table(spark, sf, "embeddings")
+    name = lambda n: F.element_at(F.array(*[F.lit(t) for t in ("summary", "vector", "code_vector")]), n + 1)
+    path = _tmp(spark, "indexes")
+    SF.write_index(emb.select("vec_id", "embedding", name((F.col("label") % 3).cast("int")).alias("index_name")), path)
+    asked = emb.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"),
+                                                 name(F.when(F.col("vec_id") % 2 == 0, 1).otherwise(0)).alias("index_name"))
+    return R.search_routed(asked, SF.read_index(spark, path), NEAREST_K).withColumn(
+        "sim", F.round(F.col("sim").cast("decimal(18,9)"), 4).cast("decimal(18,4)"))
+
+
+@query("ask_questions")
+def q_ask_questions(spark, sf):
+    """R7 -> R4 -> S14 -> R5: benchmark passages as questions, routed, then
+    answered from their own index: document chunks (summary), chunk heads
+    (vector) or the chunks' first sentences (code_vector)."""
+    from ..sources import source_files as SF
+    ch = R.chunk(X.read_table(spark, sf, "documents"), "doc_id", "text", overlap=0)
+    chunk_id = F.concat_ws(":", "doc_id", F.col("chunk_no").cast("string")).alias("vec_id")
+    texts = {"summary": F.col("text"), "vector": F.substring("text", 1, 200), "code_vector": F.element_at(F.split("text", r"(?<=[.!?])\\s+"), 1)}
+    rows = None
+    for name, text in texts.items():
+        part = ch.select(chunk_id, text.alias("text"), F.lit(name).alias("index_name"))
+        rows = part if rows is None else rows.unionByName(part)
+    path, store = _tmp(spark, "indexes"), _tmp(spark, "store")
+    SF.write_index(R.embed(rows, "text", R.HashingEmbedder(64), store_path=store), path)
+    b = R.route(X.read_table(spark, sf, "benchmark"), "text", L.Router(R.TOOLS), _tmp(spark, "cache"))
+    qs = R.embed(b.select("item_id", "text", "index_name"), "text", R.HashingEmbedder(64), "query", store_path=store)
+    return R.search_routed(qs, SF.read_index(spark, path), 3, q_id="item_id").select(F.col("query_id").alias("item_id"), "index_name", "rank", "vec_id")

@@ -60,3 +60,28 @@ def test_route(spark, tmp):
                                 (2, "show me the source code itself")], "id int, q string")
     got = {r.id: r.index_name for r in R.route(qs, "q", L.Router(R.TOOLS), tmp + "/c").collect()}
     assert got == {1: "summary", 2: "code_vector"}
+
+
+def test_routed_search_opens_its_own_indexes_only(spark, tmp):
+    import os
+    import numpy as np
+    from repolens.operators import retrieve as R
+    from repolens.sources import source_files as SF
+    rng = np.random.default_rng(1)
+    names = ["summary", "vector", "code_vector"]
+    rows = [(i, names[i % 3], rng.normal(size=5).tolist()) for i in range(90)]
+    path = os.path.join(tmp, "indexes")
+    SF.write_index(spark.createDataFrame(rows, "vec_id long, index_name string, embedding array<double>"), path)
+    asked = [(100 + i, names[i % 2], rng.normal(size=5).tolist()) for i in range(8)] + [(200, "no such index", [1.0] * 5)]
+    got = R.search_routed(spark.createDataFrame(asked, "query_id long, index_name string, query array<double>"), SF.read_index(spark, path), 4)
+    found = got.collect()
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    for q, name, v in asked[:8]:
+        want = sorted(((-float(unit(v) @ unit(x)), i) for i, n, x in rows if n == name))[:4]
+        assert [r.vec_id for r in sorted(found, key=lambda r: r.rank) if r.query_id == q] == [i for _, i in want]
+    assert {r.query_id for r in found} == set(range(100, 108))
+    # the scan learns the routed indexes from the other side of the join while the query runs
+    ran = got._jdf.queryExecution()
+    assert "dynamicpruning#" in ran.optimizedPlan().toString()
+    scans = [x for x in ran.executedPlan().toString().splitlines() if "dynamicpruning#" in x]
+    assert any("SubqueryBroadcast" in x or "ReusedSubquery" in x or "SubqueryAdaptiveBroadcast" in x for x in scans)
