@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import REPO
 from ..plans.helpers import top_n
-from ..schemas import CHANGES, COMMIT_TAGS, PULL_REQUESTS, SUMMARIES, TAGS
+from ..schemas import FILES, TABLES
 from . import pulls as P
 
 
@@ -72,20 +72,20 @@ def catalogue(name: str, *tables: DataFrame, **params) -> DataFrame:
     return CATALOGUE[name](*tables, **params)
 
 
-# Meaning of the tables (R9); columns come from the fixed schemas.
-TABLE_DOCS = {
-    "changes": (CHANGES, "One row per commit and file: who changed what, when, how much, and the "
-                         "generated description of the change."),
-    "tags": (TAGS, "Work-type tags of a repository."),
-    "commit_tags": (COMMIT_TAGS, "Share of a change's work per tag; shares of one change sum to 1."),
-    "pull_requests": (PULL_REQUESTS, "Pull requests with state, times, merge commit and description."),
-    "summaries": (SUMMARIES, "Generated paragraphs per data set with the data's content key."),
-}
-
-
 def describe_schema(spark: SparkSession) -> DataFrame:
-    """Tables, columns, types and meaning as a table."""
-    rows = [(t, f.name, f.dataType.simpleString(), f.nullable, doc)
-            for t, (schema, doc) in TABLE_DOCS.items() for f in schema.fields]
-    return spark.createDataFrame(rows, "table string, column string, type string, "
-                                       "nullable boolean, table_description string")
+    """Tables, columns, types and meaning as a table (R9), from the schemas themselves."""
+    rows = [(t, f.name, f.dataType.simpleString(), f.nullable, f.metadata["meaning"], doc)
+            for t, (schema, doc) in TABLES.items() for f in schema.fields]
+    return spark.createDataFrame(rows, "table string, column string, type string, nullable boolean, "
+                                       "meaning string, table_description string")
+
+
+def profile(table: str, rows: DataFrame) -> DataFrame:
+    """Columns of a table with type and meaning, and what its rows hold of
+    them: rows and non-null values (R9).  One pass, one row per column."""
+    schema, _ = (TABLES | FILES)[table]
+    counts = [F.count(F.col(f.name)).alias(f.name) for f in schema.fields]
+    one = rows.agg(F.count(F.lit(1)).alias("_rows"), *counts)
+    columns = F.array(*[F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
+                                 F.lit(f.metadata["meaning"]).alias("meaning"), F.col(f.name).alias("filled")) for f in schema.fields])
+    return one.select(F.lit(table).alias("table"), F.col("_rows").alias("rows"), F.inline(columns))

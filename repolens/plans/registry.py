@@ -33,4 +33,4 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from . import (queries_activity, queries_code, queries_pulls,  # noqa: F401
                    queries_more, queries_retrieval, queries_sources, queries_tags,
-                   queries_runs, queries_trees)
+                   queries_rollup, queries_runs, queries_trees)

@@ -1,4 +1,9 @@
-"""Fixed schemas of the tables the operators read and write (no inference)."""
+"""Fixed schemas of the tables the operators read and write (no inference).
+
+Every table and column carries its meaning: a column's in the metadata of its
+``StructField``, a table's in ``TABLES``.  ``describe`` and the catalogue (R9)
+read them from here and nowhere else.
+"""
 
 from pyspark.sql import types as T
 
@@ -6,8 +11,36 @@ S, L, I, D = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType()
 TS = T.TimestampNTZType()
 
 
+# Meaning of the columns; a column that several tables have means the same in all of them.
+MEANING = {
+    "repo_owner": "account that owns the repository", "repo_name": "name of the repository",
+    "commit_hash": "hash of the commit", "epoch": "time of the commit in seconds since 1970 (UTC)",
+    "committed_at": "author's wall time of the commit, without its UTC offset", "author": "name of the author",
+    "email": "mail address of the author", "filename": "path of the changed file in the repository",
+    "churn_count": "lines added plus lines deleted", "description": "generated or given text about the change or pull request",
+    "kind": "what was rejected: a whole record or one file line", "text": "the text itself",
+    "number": "number of the pull request in its repository", "title": "title of the pull request", "user_login": "account that opened it",
+    "state": "open or closed", "created_at": "time of creation", "merged": "whether it was merged", "merged_at": "time of the merge",
+    "merge_commit_sha": "hash of the merge commit", "mergeable": "whether it could be merged when it was read",
+    "mergeable_state": "why it could or could not", "comments": "number of comments", "review_comments": "number of review comments",
+    "closed_at": "time when it was closed", "html_url": "address of its page",
+    "tag_id": "number of the tag in its repository", "name": "name of the tag, data set or definition", "tag": "name of the tag",
+    "value": "share of the change's work, or the value of a log entry", "hash": "key of the data's content", "summary": "generated paragraph",
+    "ai_service": "service that wrote it", "ai_model": "model that wrote it", "start_date": "first commit of the data", "end_date": "last commit of the data",
+    "line": "line, from 0", "character": "column, from 0", "start": "first position", "end": "position after the last",
+    "file_path": "path of the file", "type": "function or class", "code": "source text", "lines_of_code": "lines of the definition",
+    "cyclomatic_complexity": "independent paths through it", "nesting_depth": "deepest nesting of its syntax tree", "control_depth": "deepest nesting of control statements",
+    "number_of_variables": "distinct names assigned", "number_of_function_calls": "calls in it", "calls": "names that are called", "imports": "imported modules",
+    "docstring": "its documentation string", "location": "where it stands in the file", "file_extension": "extension of the file",
+    "functions": "definitions of the file", "_corrupt_record": "line that is no document", "date": "day of the call", "model": "service and model",
+    "input": "tokens sent", "output": "tokens received", "cost": "price in USD", "key": "name of the log entry", "logged_at": "time of the log record",
+    "source_file": "file that was read", "position": "order in that file", "index_name": "retrieval index", "doc_id": "document of the chunk",
+    "chunk_no": "number of the chunk in its document, from 0", "metadata": "origin of the chunk",
+}
+
+
 def _f(name, t, nullable=True):
-    return T.StructField(name, t, nullable)
+    return T.StructField(name, t, nullable, {"meaning": MEANING[name]})
 
 
 REPO_FIELDS = [_f("repo_owner", S, False), _f("repo_name", S, False)]
@@ -101,3 +134,22 @@ CHUNKS = T.StructType([
     _f("index_name", S), _f("doc_id", S), _f("chunk_no", I), _f("text", S),
     _f("metadata", T.MapType(S, S)),
 ])
+
+# Meaning of the tables: those of the database, and those of files.
+TABLES = {
+    "changes": (CHANGES, "One row per commit and file: who changed what, when, how much, and the "
+                         "generated description of the change."),
+    "tags": (TAGS, "Work-type tags of a repository."),
+    "commit_tags": (COMMIT_TAGS, "Share of a change's work per tag; shares of one change sum to 1."),
+    "pull_requests": (PULL_REQUESTS, "Pull requests with state, times, merge commit and description."),
+    "summaries": (SUMMARIES, "Generated paragraphs per data set with the data's content key."),
+}
+FILES = {
+    "rejects": (REJECTS, "Commit-log input that breaks the grammar."),
+    "functions": (FUNCTIONS, "Definitions found in source files, with their metrics."),
+    "top_level": (TOP_LEVEL, "Statements and imports of a file outside of its definitions."),
+    "cost_log": (COST_LOG, "One row per model call with its tokens and price."),
+    "run_log": (RUN_LOG, "What a run has finished, and when."),
+    "description_log": (DESCRIPTION_LOG, "Descriptions in the order in which they were written."),
+    "chunks": (CHUNKS, "Texts of the retrieval indexes."),
+}

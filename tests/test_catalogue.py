@@ -16,6 +16,24 @@ def test_describe_schema(spark):
     assert ("changes", "churn_count") in cols and ("commit_tags", "value") in cols
 
 
+def test_every_column_has_a_meaning(spark):
+    from pyspark.sql import types as T
+    from repolens import schemas
+
+    def fields(t):
+        for f in t.fields:
+            yield f
+            inner = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else f.dataType
+            if isinstance(inner, T.StructType):
+                yield from fields(inner)
+    for name, (schema, meaning) in (schemas.TABLES | schemas.FILES).items():
+        assert meaning and all(f.metadata["meaning"] for f in fields(schema)), name
+    assert all(r.meaning for r in K.describe_schema(spark).collect())
+    rows = spark.createDataFrame([("o", "r", 1, "x"), ("o", "r", 2, "y")], schemas.TAGS)
+    got = {r.column: (r.rows, r.filled) for r in K.profile("tags", rows.withColumn("name", rows["name"])).collect()}
+    assert got == {c: (2, 2) for c in ("repo_owner", "repo_name", "tag_id", "name")}
+
+
 def test_catalogue_dispatch(spark):
     s = spark.createDataFrame(
         [("o", "r", "a", "m1", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 31)),
