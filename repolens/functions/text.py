@@ -145,11 +145,12 @@ def path_parts(c) -> tuple[Column, Column]:
 
 
 def resolve_rename(c) -> Column:
-    """The old path of git's rename notation ``dir/{old => new}/file``,
-    either part of which may be empty (P19)."""
+    """The old path of git's rename notation (P19): ``dir/{old => new}/file``,
+    either part of which may be empty, or the whole ``old => new``."""
     c = _c(c)
-    old = F.regexp_replace(c, "[{](.*?) => .*?[}]", "$1")
-    return F.when(c.contains(" => "), F.regexp_replace(old, "/{2,}", "/")).otherwise(c)
+    part = F.regexp_replace(F.regexp_replace(c, "[{](.*?) => .*?[}]", "$1"), "/{2,}", "/")
+    whole = F.substring_index(c, " => ", 1)
+    return F.when(c.rlike("[{].* => .*[}]"), part).when(c.contains(" => "), whole).otherwise(c)
 
 
 # Chart colours cycled by tree depth.

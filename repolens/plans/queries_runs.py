@@ -75,8 +75,8 @@ MAX_LEN = 40
 
 
 class LineModel:
-    """A stand-in model whose answers SQL can state: garbage about lavender,
-    the text four times over about steel and forty times about copper, else
+    """A stand-in model whose answers SQL can state: garbage about anvils, the
+    text four times over about rings and eighty times about widgets, else
     the text itself; asked to shorten a text, it gives back the first half."""
 
     def __call__(self, prompts):
@@ -85,10 +85,10 @@ class LineModel:
             _, kind, text = p.split("\n", 2)
             if kind.startswith("Shorten"):
                 out.append(text[:len(text) // 2])
-            elif "lavender" in text:
+            elif "anvil" in text:
                 out.append("@@@ " + text)
             else:
-                out.append(text * (40 if "copper" in text else 4 if "steel" in text else 1))
+                out.append(text * (80 if "widget" in text else 4 if "ring" in text else 1))
         return out
 
 
@@ -97,16 +97,16 @@ class LineModel:
     case when churn_count % 3 = 0 then replace(filename, ' ', '.') else '+' || replace(filename, ' ', '_') end as data
   from changes_long where description is null),
 l as (
-  select *, (case when data like '%copper%' then 40 when data like '%steel%' then 4 else 1 end) as k,
-    length(data) * (case when data like '%copper%' then 40 when data like '%steel%' then 4 else 1 end) as n from t),
+  select *, (case when data like '%widget%' then 80 when data like '%ring%' then 4 else 1 end) as k,
+    length(data) * (case when data like '%widget%' then 80 when data like '%ring%' then 4 else 1 end) as n from t),
 h as (
   select *, case when n <= {MAX_LEN} then 0 when n // 2 <= {MAX_LEN} then 1 when n // 4 <= {MAX_LEN} then 2 when n // 8 <= {MAX_LEN} then 3
     when n // 16 <= {MAX_LEN} then 4 when n // 32 <= {MAX_LEN} then 5 end as h from l)
 select repo_owner, repo_name, commit_hash, filename, source,
-  case when source is null or data like '%lavender%' or h is null then 'rejected' else 'described' end as state,
-  case when source is null then 'no diff and no content' when data like '%lavender%' then 'no usable answer'
+  case when source is null or data like '%anvil%' or h is null then 'rejected' else 'described' end as state,
+  case when source is null then 'no diff and no content' when data like '%anvil%' then 'no usable answer'
     when h is null then 'never short enough' end as reason,
-  case when source is not null and data not like '%lavender%' then substr(repeat(data, cast(k as bigint)), 1, cast(n // (1 << h) as bigint)) end as description
+  case when source is not null and data not like '%anvil%' then substr(repeat(data, cast(k as bigint)), 1, cast(n // (1 << h) as bigint)) end as description
 from h""")
 def q_describe_changes(spark, sf):
     # The undescribed changes of code files with their diffs or

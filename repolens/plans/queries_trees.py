@@ -56,9 +56,9 @@ def q_source_tree(spark, sf):
 
 # Ignore files of two repositories: (repo_name, folder, lines).
 IGNORE_FILES = [
-    ("asia", "", ["# generated", "promo*/", "*azure*", "", "!*azure*rose*", "/economy anodized steel/brand_5?/"]),
-    ("asia", "economy anodized steel", ["brand_1*/", "!brand_13/", "brand_2[1-3]/*_m*.py"]),
-    ("europe", "", ["*.py", "!small*/", "**/brand_3?/*green*"]),
+    ("asia", "", ["# generated", "promo*/", "*_anvil.py", "", "!*red_anvil.py", "/economy/brand_1?/"]),
+    ("asia", "economy", ["brand_2*/", "!brand_23/", "brand_[4-6]/*_r*.py"]),
+    ("europe", "", ["*.py", "!small*/", "**/brand_1?/*gear*"]),
 ]
 
 
@@ -69,15 +69,15 @@ IGNORE_FILES = [
 select repo_owner, repo_name, filename from f
 where not case repo_name
   when 'asia' then case
-    when dir = 'economy anodized steel' and regexp_matches(brand, '^brand_2[1-3]$') and regexp_matches(base, '_m.*\.py$') then true
-    when dir = 'economy anodized steel' and brand = 'brand_13' then false
-    when dir = 'economy anodized steel' and brand like 'brand\_1%' escape '\' then true
-    when dir = 'economy anodized steel' and regexp_matches(brand, '^brand_5.$') then true
-    when base like '%azure%rose%' then false
-    when base like '%azure%' then true
+    when dir = 'economy' and regexp_matches(brand, '^brand_[4-6]$') and regexp_matches(base, '_r.*\.py$') then true
+    when dir = 'economy' and brand = 'brand_23' then false
+    when dir = 'economy' and regexp_matches(brand, '^brand_2') then true
+    when dir = 'economy' and regexp_matches(brand, '^brand_1.$') then true
+    when regexp_matches(base, 'red_anvil\.py$') then false
+    when regexp_matches(base, '_anvil\.py$') then true
     else dir like 'promo%' end
   when 'europe' then case
-    when regexp_matches(brand, '^brand_3.$') and base like '%green%' then true
+    when regexp_matches(brand, '^brand_1.$') and base like '%gear%' then true
     else not dir like 'small%' end
   else false end""")
 def q_source_tree_ignored(spark, sf):
