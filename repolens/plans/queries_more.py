@@ -114,7 +114,18 @@ def q_pr_descriptions(spark, sf):
     return out.select(*REPO, "number", "description")
 
 
-@query("classify_changes")
+_CLASSES = ["Small", "Large", "Medium", "Brass", "Steel", "Copper"]
+
+
+@query("classify_changes", LONG + f""", d as (
+  select repo_owner, repo_name, commit_hash, filename, lower(concat(filename, ' ', description)) as t
+  from changes_long where trim(coalesce(description, '')) <> ''),
+w as (
+  select d.*, g.tag_id, cast((length(t) - length(replace(t, g.name, ''))) // length(g.name) as bigint) as n
+  from d, (values {', '.join(f"({i}, '{n.lower()}')" for i, n in enumerate(_CLASSES, 1))}) as g(tag_id, name))
+select repo_owner, repo_name, commit_hash, filename, cast(tag_id as int) as tag_id,
+  cast(n as double) / cast(sum(n) over (partition by repo_owner, repo_name, commit_hash, filename) as double) as value
+from w where n > 0""")
 def q_classify_changes(spark, sf):
     """L5 -> G1 -> G2 -> G3: described code changes classified by the
     offline keyword tagger, parsed, normalised and written as tag rows."""
@@ -151,7 +162,10 @@ def q_rate_functions(spark, sf):
                          "composite_complexity")
 
 
-@query("repo_map_roundtrip")
+@query("repo_map_roundtrip", f"""with p as (
+  select concat('mfgr', substr(p_brand, 7, 1)) as repo_name, concat('src/', replace(lower(p_brand), '#', '_'), '/mod_',
+    cast(p_partkey // {X.FUNCTIONS_PER_FILE} as varchar), '.py') as file_path, case when p_partkey % 2 = 0 then 9 else 6 end as n from part)
+select 'tpch' as repo_owner, repo_name, file_path, count(*) as definitions, cast(sum(n) as bigint) as lines from p group by 2, 3""")
 def q_repo_map_roundtrip(spark, sf):
     """Parsed definitions and top-level code written as one JSON
     document per file, read back flat."""

@@ -26,6 +26,24 @@ def _tmp(spark, tag):
 
 NEAREST_K = 5
 
+# What Python's str.split() takes for words, as a pattern of the oracle's engine.
+_WORD = r"[^\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def _extract_sql(prompt: str, n: int) -> str:
+    """The offline completer in SQL: ``n`` words of the prompt, evenly spread."""
+    return (f"(select array_to_string(list_transform(range(0, least({n}, len(w))), lambda i: w[(i * len(w)) // least({n}, len(w)) + 1]), ' ') "
+            f"from (select regexp_extract_all({prompt}, '{_WORD}') as w))")
+
+
+def _route_sql(text: str) -> str:
+    """The offline router in SQL: shared words of four letters and more, ties to the earlier tool."""
+    router = L.Router(R.TOOLS)
+    words = f"list_distinct(list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) >= 4))"
+    score = {t: f"len(list_intersect({words}, [{', '.join(repr(x) for x in sorted(router._words(d)))}]))" for t, d in R.TOOLS.items()}
+    best = "greatest(" + ", ".join(score.values()) + ")"
+    return "case " + " ".join(f"when {x} = {best} then '{t}'" for t, x in score.items()) + " end"
+
 
 _NEAREST_SQL = f"""with dims as (
   select label, pos, avg(cast(x as double)) as m
@@ -91,7 +109,8 @@ def q_chunk_coverage(spark, sf):
         (F.sum(F.length("text")) - F.sum(F.coalesce("nb", F.lit(0)))).cast("bigint").alias("blanks")))
 
 
-@query("describe_documents")
+@query("describe_documents", f"""select doc_id, {_extract_sql("concat('Filename: ', doc_id, chr(10), 'File Content:', chr(10), coalesce(text, ''))", 30)} as description
+from documents""")
 def q_describe_documents(spark, sf):
     """One described row per document through the cached
     annotate operator (offline extractive completer)."""
@@ -123,7 +142,7 @@ def q_tree_summary(spark, sf):
     return R.tree_summarise(ch, ["lang"], "_o", "text", L.ExtractiveCompleter(60), _tmp(spark, "cache"))
 
 
-@query("route_questions")
+@query("route_questions", f"""select item_id, {_route_sql("coalesce(text, '')")} as index_name from benchmark""")
 def q_route_questions(spark, sf):
     """Each benchmark passage as a question, routed to one index."""
     b = X.read_table(spark, sf, "benchmark")
@@ -142,7 +161,12 @@ def q_function_source_docs(spark, sf):
     return a.unionByName(b)
 
 
-@query("pr_summaries")
+@query("pr_summaries", X.sql_with(X.SQL_CHANGES_LONG, X.SQL_PULL_REQUESTS) + f""", t as (
+  select p.repo_owner, p.repo_name, p.number,
+    coalesce(string_agg(d.description, chr(10) || '--' || chr(10) order by d.filename), '') as text
+  from pulls p left join changes_long d on p.repo_owner = d.repo_owner and p.repo_name = d.repo_name
+    and p.merge_commit_sha = d.commit_hash and d.description is not null where p.description is null group by 1, 2, 3)
+select repo_owner, repo_name, number, {_extract_sql("concat('Summarize these change descriptions:', chr(10), text)", 25)} as summary from t""")
 def q_pr_summaries(spark, sf):
     """PR text (A17) summarised through annotate."""
     t = P.pr_text(X.pull_requests(spark, sf), X.changes_long(spark, sf))
