@@ -138,30 +138,36 @@ def tag_totals(ctags: DataFrame, tags: DataFrame, changes: DataFrame | None = No
             .agg(F.sum("total_value").cast("decimal(18,2)").alias("total_value")))
 
 
-def _week_spine(first: DataFrame, as_of: str | None) -> DataFrame:
-    """Monday spine per repository from the week of ``lo`` through the week
-    of ``hi`` (or ``as_of``), one row per week (T5, D8)."""
-    hi = F.to_date(F.lit(as_of)) if as_of else F.col("hi")
-    return first.select(*REPO, F.explode(F.sequence(
-        week_start("lo"), week_start(hi), F.expr("interval 7 days"))).alias("week_starting"))
-
-
 def tags_by_week(ctags: DataFrame, tags: DataFrame, changes: DataFrame, key: list[str],
                  since_mdy: str | None = None, as_of: str | None = None) -> DataFrame:
     """Per ISO week and tag: sum of shares rounded to 2 (A9).  Every week
     from the first (or ``since``) through ``as_of`` is present; a week
-    without tags has one row with NULL tag and total."""
+    without tags has one row with NULL tag and total (T5, D8).
+
+    One pass over the joined rows: the weekly table, one row per week and
+    tag, knows its repository's first and last week by a window, its first
+    row brings in the Monday spine, and each week then lists its tags.
+    """
     rows = since(tagged_changes(ctags, tags, changes, key), since_mdy)
-    rows = rows.withColumn("week_starting", week_start("committed_at"))
-    weekly = rows.groupBy(*REPO, "week_starting", "name").agg(
-        _r2(_dec_sum("value")).alias("total"))
-    lo = (F.to_date(F.to_timestamp(F.lit(since_mdy), "MM/dd/yyyy")) if since_mdy
-          else F.min("committed_at"))
-    bounds = rows.groupBy(*REPO).agg(lo.alias("lo"), F.max("committed_at").alias("hi"))
-    spine = _week_spine(bounds, as_of)
-    return (spine.join(weekly, [*REPO, "week_starting"], "left")
-            .select(*REPO, iso_week("week_starting").alias("week"), "week_starting",
-                    F.col("name").alias("tag"), "total"))
+    weekly = (rows.groupBy(*REPO, week_start("committed_at").alias("week_starting"), "name")
+              .agg(_r2(_dec_sum("value")).alias("total")))
+    w = Window.partitionBy(*REPO)
+    mine = F.struct("week_starting", "name")
+    weekly = (weekly.withColumn("_lo", F.min("week_starting").over(w)).withColumn("_hi", F.max("week_starting").over(w))
+              .withColumn("_first", F.min(mine).over(w) == mine))
+    lo = week_start(F.to_date(F.to_timestamp(F.lit(since_mdy), "MM/dd/yyyy"))) if since_mdy else F.col("_lo")
+    hi = week_start(F.to_date(F.lit(as_of))) if as_of else F.col("_hi")
+    own = F.array(F.struct("week_starting", "name", "total"))
+    empty = [F.lit(None).cast("string").alias("name"), F.lit(None).cast("decimal(18,2)").alias("total")]
+    spine = F.transform(F.sequence(lo, hi, F.expr("interval 7 days")), lambda x: F.struct(x.alias("week_starting"), *empty))
+    entries = F.when(F.col("_first"), F.concat(own, spine)).otherwise(own)
+    # a week's list is bounded by the tags; without any it gives one row of NULLs
+    listed = (weekly.select(*REPO, F.inline(entries)).groupBy(*REPO, "week_starting")
+              .agg(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "total"))).alias("_tags")))
+    if as_of:
+        listed = listed.filter(F.col("week_starting") <= hi)
+    return (listed.select(*REPO, "week_starting", F.inline_outer("_tags").alias("tag", "total"))
+            .select(*REPO, iso_week("week_starting").alias("week"), "week_starting", "tag", "total"))
 
 
 def tag_share_by_week(ctags: DataFrame, tags: DataFrame, changes: DataFrame,
@@ -186,17 +192,14 @@ def tag_share_matrix(ctags: DataFrame, tags: DataFrame, changes: DataFrame,
     """Per tag, the weekly percentages over the whole week spine (0 where the
     tag is absent), ordered by week (A10).  Arrays are as long as the
     spine, i.e. bounded by the time span, not by the rows."""
-    share = tag_share_by_week(ctags, tags, changes, key)
-    rows = tagged_changes(ctags, tags, changes, key)
-    hi = F.to_date(F.lit(as_of)) if as_of else F.max("committed_at")
-    weeks = (rows.groupBy(*REPO).agg(F.min("committed_at").alias("lo"), hi.alias("hi"))
-             .select(*REPO, F.sequence(week_start("lo"), week_start("hi"),
-                                       F.expr("interval 7 days")).alias("weeks")))
+    w = Window.partitionBy(*REPO)
+    share = (tag_share_by_week(ctags, tags, changes, key)
+             .withColumn("_lo", F.min("week_starting").over(w)).withColumn("_hi", F.max("week_starting").over(w)))
     per_tag = (share.groupBy(*REPO, "tag")
-               .agg(F.map_from_entries(F.collect_list(F.struct("week_starting", "percentage")))
-                    .alias("_m")))
+               .agg(F.map_from_entries(F.collect_list(F.struct("week_starting", "percentage"))).alias("_m"),
+                    F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")))
+    hi = week_start(F.to_date(F.lit(as_of))) if as_of else F.col("_hi")
     zero = F.lit(0).cast("decimal(18,2)")
-    return (per_tag.join(weeks, list(REPO))
-            .select(*REPO, "tag", F.transform(
-                "weeks", lambda w: F.coalesce(F.try_element_at("_m", w), zero))
-                .alias("weekly_percentage")))
+    return per_tag.select(*REPO, "tag", F.transform(
+        F.sequence("_lo", hi, F.expr("interval 7 days")), lambda x: F.coalesce(F.try_element_at("_m", x), zero))
+        .alias("weekly_percentage"))
