@@ -1,10 +1,8 @@
 """Commit activity: by author, by file, by day/week, date span.
 
-``changes`` is unique on (repo, commit_hash, filename) -- the key the load
-(``insert_new``) enforces -- so "distinct commits of a file" and "distinct
-files of a commit" are plain row counts: no distinct-aggregate expansion
-and one shuffle less.  Distinct counts over other keys (commits per author,
-per day) stay distinct counts.
+Counts of commits and files are true distinct counts, so they hold for any
+table of changes, also one with a key twice; Spark aggregates them partially
+before the shuffle.
 """
 
 from __future__ import annotations

@@ -50,29 +50,38 @@ def split_chunks(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
             continue
         if counter(s) <= size:
             sents.append(s)
-            continue
-        cur = []
-        for w in (x for w in s.split(" ") for x in _halves(w, size, counter)):
-            if cur and counter(" ".join(cur + [w])) > size:
-                sents.append(" ".join(cur))
-                cur = []
-            cur.append(w)
-        if cur:
-            sents.append(" ".join(cur))
-    chunks, cur = [], []
-    for s in sents:
-        if cur and counter(" ".join(cur + [s])) > size:
-            chunks.append(" ".join(cur))
-            keep = []
-            for t in reversed(cur):
-                if counter(" ".join([t] + keep)) > overlap:
+        else:
+            sents += _packed([x for w in s.split(" ") for x in _halves(w, size, counter)], size, 0, counter)
+    return _packed(sents, size, overlap, counter)
+
+
+def _packed(parts: list[str], size: int, overlap: int, counter) -> list[str]:
+    """Consecutive parts joined by a space while they stay within ``size``
+    tokens; each text begins with the last parts of the one before, up to
+    ``overlap`` tokens.  ``_tokens`` needs the length only, which is kept as
+    it grows; another counter sees the joined text."""
+    def count(own: list[str], chars: int) -> int:
+        return -(-chars // 4) if counter is _tokens else counter(" ".join(own))
+
+    out, cur, chars = [], [], 0
+    for s in parts:
+        grown = chars + len(s) + (1 if cur else 0)
+        if cur and count([*cur, s] if counter is not _tokens else cur, grown) > size:
+            out.append(" ".join(cur))
+            keep, kept = [], 0
+            for t in reversed(cur if overlap else []):
+                more = kept + len(t) + (1 if keep else 0)
+                if count([t] + keep if counter is not _tokens else keep, more) > overlap:
                     break
-                keep.insert(0, t)
-            cur = keep if counter(" ".join(keep + [s])) <= size else []
+                keep, kept = [t] + keep, more
+            more = kept + len(s) + (1 if keep else 0)
+            fits = count([*keep, s] if counter is not _tokens else keep, more) <= size
+            cur, grown = (keep, more) if fits else ([], len(s))
         cur.append(s)
+        chars = grown
     if cur:
-        chunks.append(" ".join(cur))
-    return chunks
+        out.append(" ".join(cur))
+    return out
 
 
 def chunk(df: DataFrame, id_col: str, text_col: str, index_name: str = "summary",

@@ -80,17 +80,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Read from ``spark.checkpoint.dir`` as the cluster names it.  Only when
     it is unset (tests, local bench) a scratch folder is created and set.
     """
+    sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        if not spark.sparkContext.master.startswith("local"):
+    if sc.getCheckpointDir() is None:
+        if not d and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        d = tempfile.mkdtemp(prefix="repolens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+        sc.setCheckpointDir(d or tempfile.mkdtemp(prefix="repolens-ckpt-"))
+    # Spark makes a folder of its own below the one that is set
+    return d or sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

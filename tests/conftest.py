@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -12,8 +11,6 @@ from repolens.session import get_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     s = get_session("local[4]", 4, app="repolens-tests")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="repolens-test-ckpt-"))
     yield s
 
 
