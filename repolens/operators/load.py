@@ -43,6 +43,23 @@ def insert_new(target: DataFrame, batch: DataFrame, keys: list[str],
     return first.join(hits, keys, "left_anti")
 
 
+def insert_counted(target: DataFrame, batch: DataFrame, keys: list[str],
+                   order: list[str | Column]) -> tuple[DataFrame, DataFrame]:
+    """``insert_new`` with its report (U1): (rows to append, counts per
+    repository: ``read``, ``inserted``, ``skipped``).  The batch is computed
+    once, for the rows and for the report."""
+    from ..session import cut_lineage
+    ordk = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    first = cut_lineage(batch.groupBy(*keys).agg(F.min_by(F.struct(*batch.columns), ordk).alias("_r"),
+                                                 F.count(F.lit(1)).alias("_n")))
+    hits = target.select(*keys).join(first.select(*keys), keys, "left_semi").withColumn("_hit", F.lit(True))
+    flagged = cut_lineage(first.join(hits, keys, "left"))
+    new = F.col("_hit").isNull()
+    counts = flagged.groupBy(*REPO).agg(F.sum("_n").alias("read"), F.count(F.when(new, 1)).alias("inserted"))
+    return (flagged.filter(new).select("_r.*"),
+            counts.withColumn("skipped", F.col("read") - F.col("inserted")))
+
+
 def todo(left: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``left`` without a match in ``done``."""
     return left.join(done.select(*keys), keys, "left_anti")

@@ -31,6 +31,6 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import (queries_activity, queries_code, queries_pulls,  # noqa: F401
+    from . import (queries_activity, queries_code, queries_load, queries_pulls,  # noqa: F401
                    queries_more, queries_retrieval, queries_sources, queries_tags, queries_text,
                    queries_rollup, queries_runs, queries_trees)
