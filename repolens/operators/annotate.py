@@ -45,6 +45,26 @@ TEMPLATES = {
 }
 
 
+# What the model is told about its task before each prompt (L1): one text per
+# stem, those of the data sets (L8) included.
+SYSTEM = {
+    "summarize_diff": "You explain changes to source files. Say in a few sentences what the change does and why it may matter. "
+                      "The input is a unified diff or, without one, the whole file.",
+    "shorter_summarize_diff": "You shorten summaries of changes. Keep what matters most and drop the rest.",
+    "classify_description": "You sort changes into kinds of work. Answer with tag names from the given list, each followed by a whole "
+                            "number for its weight, all separated by commas, and nothing else.",
+    "summarize_pr": "You sum up pull requests. From the descriptions of their changes, tell a reviewer what the whole does.",
+    "describe_code": "You document functions. Say in a few sentences what the function is for and how it works.",
+    "rate_code": "You judge how readable code is. Answer with one number from 0 (unreadable) to 1 (very clear), and nothing else.",
+    "author-commits-summary": "You report on teams. Describe how the work is spread and who knows which part, without praise or blame.",
+    "file-commit-count-summary": "You report on code bases. Point out the files that change most and what that may mean.",
+    "commit-count-by-date-summary": "You report on projects over time. Describe busy and quiet times and any trend.",
+    "churn-summary": "You report on code bases. Describe where code is rewritten again and again.",
+    "overall-tags-summary": "You report on projects. Describe what kinds of work are done, and in what shares.",
+    "tags-by-week-summary": "You report on projects over time. Describe how the kinds of work shift from week to week.",
+}
+
+
 def render(template: str, **cols) -> Column:
     """Template text with ``{name}`` replaced by column values (L1); all
     pieces are concatenated JVM-side."""
@@ -71,15 +91,15 @@ def prompt_key(model: str, prompt: Column) -> Column:
     return content_key(model, prompt)
 
 
-def _answers(completer, prompts: list[str]) -> list:
+def _answers(completer, prompts: list[str], systems: list[str] | None = None) -> list:
     """One answer per prompt; when a batch fails its prompts are asked one
     by one, and those that fail again have none."""
     try:
-        return completer(prompts)
+        return completer(prompts) if systems is None else completer(prompts, systems)
     except Exception:
         if len(prompts) == 1:
             return [None]
-        return [_answers(completer, [p])[0] for p in prompts]
+        return [_answers(completer, [p], None if systems is None else [systems[i]])[0] for i, p in enumerate(prompts)]
 
 
 def _call(completer, model):
@@ -87,7 +107,7 @@ def _call(completer, model):
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            out = _answers(completer, list(pdf["prompt"]))
+            out = _answers(completer, list(pdf["prompt"]), list(pdf["system"]) if "system" in pdf else None)
             texts, pt, ct = [], [], []
             for prompt, o in zip(pdf["prompt"], out):
                 if isinstance(o, tuple):
@@ -106,9 +126,12 @@ def _call(completer, model):
 
 
 def annotate(df: DataFrame, prompt: Column, completer, cache_path: str, model: str = "offline",
-             out: str = "answer", max_callers: int | None = None) -> DataFrame:
+             out: str = "answer", max_callers: int | None = None, system: Column | None = None) -> DataFrame:
     """Rows of ``df`` with the model's ``out`` answer to ``prompt``.
 
+    With ``system`` (see ``SYSTEM``) the completer gets two lists, prompts and
+    system prompts, and an answer belongs to both of them together.
+
     Work done: one call per distinct prompt not yet in the cache, a store
     (``operators.store``) at ``cache_path`` on shared storage; answers are
     appended before they are read back.  A garbage answer (L4) or a failed
@@ -118,16 +141,20 @@ def annotate(df: DataFrame, prompt: Column, completer, cache_path: str, model: s
     spark = df.sparkSession
     # the input is written once: the calls and the join back read the same
     # prompts, and the (possibly costly) upstream is not computed twice
-    keyed = cut_lineage(df.withColumn("_prompt", prompt)
-                        .withColumn("_key", prompt_key(model, F.col("_prompt"))))
-    wanted = keyed.select(F.col("_key").alias("key"), F.col("_prompt").alias("prompt")).dropDuplicates(["key"])
+    asked = df.withColumn("_prompt", prompt)
+    content, more = F.col("_prompt"), []
+    if system is not None:
+        asked = asked.withColumn("_system", F.coalesce(system, F.lit("")))
+        content, more = F.concat("_system", F.lit("\u0001"), "_prompt"), [F.col("_system").alias("system")]
+    keyed = cut_lineage(asked.withColumn("_key", prompt_key(model, content)))
+    wanted = keyed.select(F.col("_key").alias("key"), F.col("_prompt").alias("prompt"), *more).dropDuplicates(["key"])
     todo = missing(wanted, cache_path, F.col("answer").isNotNull())
     # max_callers bounds the concurrent calls to a rate-limited service;
     # by default the calls spread over the cluster's cores
     callers = max_callers or max(spark.sparkContext.defaultParallelism * 2, 1)
     append(todo.repartition(callers, "key").mapInPandas(_call(completer, model), CALLED), cache_path)
     answers = entries_of(wanted, cache_path, "answer").select(F.col("key").alias("_answered"), F.col("answer").alias(out))
-    return keyed.join(answers, F.col("_key") == F.col("_answered"), "left").drop("_answered", "_key", "_prompt")
+    return keyed.join(answers, F.col("_key") == F.col("_answered"), "left").drop("_answered", "_key", "_prompt", "_system")
 
 
 def rejects(spark: SparkSession, cache_path: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .. import REPO
 from ..functions.text import is_code_file
 from ..session import cut_lineage
-from .annotate import MAX_DESCRIPTION, SHORTEN_ROUNDS, TEMPLATES, annotate, render
+from .annotate import MAX_DESCRIPTION, SHORTEN_ROUNDS, SYSTEM, TEMPLATES, annotate, render
 from .load import update_by_key
 
 KEYS = [*REPO, "commit_hash", "filename"]
@@ -61,18 +61,20 @@ def _advance(asked: DataFrame, max_len: int, max_attempts: int, rounds: int) ->
 
 
 def run_work(work: DataFrame, completer, cache_path: str, model: str = "offline", max_len: int = MAX_DESCRIPTION,
-             max_attempts: int = MAX_ATTEMPTS, rounds: int = SHORTEN_ROUNDS) -> DataFrame:
-    """The work table with every row described or rejected."""
+             max_attempts: int = MAX_ATTEMPTS, rounds: int = SHORTEN_ROUNDS, with_system: bool = False) -> DataFrame:
+    """The work table with every row described or rejected.  ``with_system``
+    gives the completer the system prompt of each row's task, too (L1)."""
     done, open_ = work.filter("state not in ('todo', 'long')"), work.filter("state in ('todo', 'long')")
     clause = F.when(F.col("source") == "diff", "Unified Diff:").otherwise("File Content:")
     describe = render(TEMPLATES["summarize_diff"], filename="filename", clause=clause, data="data")
     shorten = render(TEMPLATES["shorter_summarize_diff"], filename="filename", long_summary="text")
     prompt = F.when(F.col("state") == "todo", describe).otherwise(shorten)
+    system = F.when(F.col("state") == "todo", SYSTEM["summarize_diff"]).otherwise(SYSTEM["shorter_summarize_diff"]) if with_system else None
     # Each round an open row spends an attempt or a try, or it is done.
     for _ in range(max_attempts + rounds):
         if open_.isEmpty():
             break
-        asked = annotate(open_, prompt, completer, cache_path, model, out="_answer")
+        asked = annotate(open_, prompt, completer, cache_path, model, out="_answer", system=system)
         after = cut_lineage(_advance(asked, max_len, max_attempts, rounds))
         done = done.unionByName(after.filter("state not in ('todo', 'long')"))
         open_ = after.filter("state in ('todo', 'long')")

@@ -120,3 +120,20 @@ def test_keyword_tagger_feeds_parser(spark):
     t = L.KeywordTagger(["API", "Docs"])
     assert t(["the api and API docs"]) == ["API,2,Docs,1"]
     assert t(["nothing"]) == ["Other,1"]
+
+
+def test_system_prompts_go_with_the_prompt(spark, tmp):
+    assert set(L.TEMPLATES) | set(L.STEMS) == set(L.SYSTEM) and len(L.SYSTEM) == 12
+    df = spark.createDataFrame([(1, "rate_code"), (2, "describe_code"), (3, "rate_code"), (4, None)], "id int, stem string")
+    system = F.when(F.col("stem") == "rate_code", L.SYSTEM["rate_code"]).when(F.col("stem") == "describe_code", L.SYSTEM["describe_code"])
+
+    def model(prompts, systems):
+        if len(prompts) > 1:
+            raise OSError("one by one")
+        return [f"{p}|{s[:9]}" for p, s in zip(prompts, systems)]
+    cache = os.path.join(tmp, "c")
+    got = {r.id: r.answer for r in L.annotate(df, F.lit("x"), model, cache, system=system).collect()}
+    assert got == {1: "x|You judge", 2: "x|You docum", 3: "x|You judge", 4: "x|"}
+    assert L.cache_size(spark, cache) == 3
+    # without a system prompt it is another question
+    assert {r.answer for r in L.annotate(df, F.lit("x"), lambda p: ["plain"] * len(p), cache).collect()} == {"plain"}
