@@ -61,6 +61,28 @@ def q_file_complexity(spark, sf):
     return M.file_complexity(_scored(spark, sf))
 
 
+# The sources that ``fixtures.part_source_files`` generates and what the parser
+# finds in them: functions of two shapes, with the metrics of each.
+SQL_PARSED = f"""parsed as (
+  select 'tpch' as repo_owner, concat('mfgr', substr(p_brand, 7, 1)) as repo_name,
+    concat('src/', replace(lower(p_brand), '#', '_'), '/mod_', p_partkey // {X.FUNCTIONS_PER_FILE}, '.py') as file_path, 'function' as type,
+    concat('f_', regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_', p_partkey) as name, p_name as docstring,
+    concat('def ', 'f_', regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_', p_partkey, '(x):', chr(10), '    \"\"\"', p_name, '\"\"\"', chr(10),
+      '    total = ', p_size, chr(10), '    if x > ', p_size, ':', chr(10), '        total = total + scale(x)', chr(10),
+      case when p_partkey % 2 = 0 then concat('    for i in range(x):', chr(10), '        if i % ', p_partkey % 7 + 2, ' == 0:', chr(10),
+        '            total += step(i)', chr(10)) else '' end, '    return total') as code,
+    case when p_partkey % 2 = 0 then 9 else 6 end as lines_of_code, case when p_partkey % 2 = 0 then 4 else 2 end as cyclomatic_complexity,
+    case when p_partkey % 2 = 0 then 3 else 2 end as nesting_depth, case when p_partkey % 2 = 0 then 18 else 10 end as number_of_variables,
+    case when p_partkey % 2 = 0 then 3 else 1 end as number_of_function_calls
+  from part)"""
+
+
+def scored_sql(readability: str) -> str:
+    """``_SCORED`` over the parsed functions, with their readability."""
+    functions = f"functions as (select *, {readability} as llm_code_readability from parsed)"
+    return "with " + SQL_PARSED + ",\n" + functions + _SCORED[len(FN):]
+
+
 def _parsed(spark, sf):
     # the parsed functions table is written once (like the repo map) and
     # read by both the maxima and the per-row scoring branches
@@ -80,7 +102,12 @@ def q_source_functions(spark, sf):
                       "number_of_variables", "number_of_function_calls", "calls", "location")
 
 
-@query("source_file_complexity")
+@query("source_file_complexity", scored_sql("cast(length(docstring) % 10 as double) / 10") + """,
+pos as (select *, case when composite_complexity > 0 then cast(composite_complexity as decimal(18,9)) end as p from scored)
+select repo_owner, repo_name, file_path,
+  cast(case when count(p) > 0 then cast(sum(p) as double) / cast(count(p) as double) else 0.0 end as decimal(18,4)) as avg_complexity,
+  cast(count(*) as int) as n_functions
+from pos group by 1, 2, 3""")
 def q_source_file_complexity(spark, sf):
     """M1 -> M11 -> M13: parsed functions scored against repository maxima
     (readability from the docstring length as a stand-in model answer) and

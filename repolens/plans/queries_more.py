@@ -21,6 +21,8 @@ from ..sources import commit_log as S1
 from ..sources import fixtures as X
 from ..sources import logs as LG
 from ..sources import source_files as SF
+from .queries_code import scored_sql
+from .queries_retrieval import extract_sql
 from .registry import query
 
 LONG = X.sql_with(X.SQL_CHANGES_LONG)
@@ -143,7 +145,13 @@ def q_classify_changes(spark, sf):
     return G.commit_tags(shares, tags, key)
 
 
-@query("rate_functions")
+_RATE = "concat('Rate readability 0-1.', chr(10), 'Filename: ', file_path, chr(10), 'Function: ', name, chr(10), code)"
+
+
+@query("rate_functions", scored_sql(f"cast(concat('0.', length({_RATE}) % 10) as double)") + f"""
+select repo_owner, repo_name, file_path, name,
+  {extract_sql("concat('Filename: ', file_path, chr(10), 'Function: ', name, chr(10), code)", 12)} as description,
+  llm_code_readability, composite_complexity from scored""")
 def q_rate_functions(spark, sf):
     """L7/M12 -> M11: parsed functions described and rated through the
     cache (offline completers), the rating parsed as readability."""

@@ -30,7 +30,7 @@ NEAREST_K = 5
 _WORD = r"[^\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
-def _extract_sql(prompt: str, n: int) -> str:
+def extract_sql(prompt: str, n: int) -> str:
     """The offline completer in SQL: ``n`` words of the prompt, evenly spread."""
     return (f"(select array_to_string(list_transform(range(0, least({n}, len(w))), lambda i: w[(i * len(w)) // least({n}, len(w)) + 1]), ' ') "
             f"from (select regexp_extract_all({prompt}, '{_WORD}') as w))")
@@ -109,7 +109,7 @@ def q_chunk_coverage(spark, sf):
         (F.sum(F.length("text")) - F.sum(F.coalesce("nb", F.lit(0)))).cast("bigint").alias("blanks")))
 
 
-@query("describe_documents", f"""select doc_id, {_extract_sql("concat('Filename: ', doc_id, chr(10), 'File Content:', chr(10), coalesce(text, ''))", 30)} as description
+@query("describe_documents", f"""select doc_id, {extract_sql("concat('Filename: ', doc_id, chr(10), 'File Content:', chr(10), coalesce(text, ''))", 30)} as description
 from documents""")
 def q_describe_documents(spark, sf):
     """One described row per document through the cached
@@ -122,7 +122,17 @@ def q_describe_documents(spark, sf):
     return out.select("doc_id", "description")
 
 
-@query("shorten_descriptions")
+def _shorten_sql(words: int) -> str:
+    """Five rounds of shortening what is still too long."""
+    rounds = ["r0 as (select cast(doc_id as varchar) as filename, text as t from documents)"]
+    for i in range(1, L.SHORTEN_ROUNDS + 1):
+        prompt = "concat('Filename: ', filename, chr(10), 'Shorten this summary:', chr(10), t)"
+        rounds.append(f"r{i} as (select filename, case when length(trim(t)) > {L.MAX_DESCRIPTION} then {extract_sql(prompt, words)} else t end as t from r{i - 1})")
+    return "with " + ",\n".join(rounds) + (f"\nselect filename, case when length(trim(t)) <= {L.MAX_DESCRIPTION} then t end as description "
+                                           f"from r{L.SHORTEN_ROUNDS}")
+
+
+@query("shorten_descriptions", _shorten_sql(100))
 def q_shorten_descriptions(spark, sf):
     """L3: long descriptions are shortened in at most 5 rounds."""
     d = X.read_table(spark, sf, "documents").select(
@@ -166,7 +176,7 @@ def q_function_source_docs(spark, sf):
     coalesce(string_agg(d.description, chr(10) || '--' || chr(10) order by d.filename), '') as text
   from pulls p left join changes_long d on p.repo_owner = d.repo_owner and p.repo_name = d.repo_name
     and p.merge_commit_sha = d.commit_hash and d.description is not null where p.description is null group by 1, 2, 3)
-select repo_owner, repo_name, number, {_extract_sql("concat('Summarize these change descriptions:', chr(10), text)", 25)} as summary from t""")
+select repo_owner, repo_name, number, {extract_sql("concat('Summarize these change descriptions:', chr(10), text)", 25)} as summary from t""")
 def q_pr_summaries(spark, sf):
     """PR text (A17) summarised through annotate."""
     t = P.pr_text(X.pull_requests(spark, sf), X.changes_long(spark, sf))
