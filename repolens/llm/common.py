@@ -105,6 +105,9 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
+LEAST_FILES, LINKS_OF_FILE = 8, 1 << 20
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of a link table: (node, root) for every node of a link, root the smallest node reachable.
 
@@ -114,23 +117,25 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = (links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v")
              .distinct())
     edges = written(edges, "links")
-    last = None
+    n, last = edges.count(), None
     while True:
+        # As many files a round as the links need, not as many as there are shuffle partitions.
+        files = max(LEAST_FILES, -(-n // LINKS_OF_FILE))
         # Large star: every node hands its larger neighbours to its smallest one.
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("n")).select("u", F.least("u", "n").alias("m"))
         large = (both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .where("u <> v").distinct())
-        large = written(large, "large")
+        large = written(large.coalesce(files), "large")
         # Small star: every node hands itself and its smaller neighbours to its smallest one.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        edges = written(small, "small")
+        edges = written(small.coalesce(files), "small")
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if now == last:
             break
-        last = now
+        n, last = now[0], now
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return roots.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
