@@ -227,15 +227,16 @@ def summarise_datasets(datasets: dict, spans: DataFrame, existing: DataFrame | N
     of ``max_tokens``, whose answers are combined level by level (R6) into
     one paragraph, with the repository's date span (A15).
     Output has the ``summaries`` schema."""
-    from .load import data_fingerprint, save_summary_if_new
+    from .load import lines_fingerprint, save_summary_if_new
     from .retrieve import tree_summarise
-    cand = lines = None
+    lines = None
     for name, ds in datasets.items():
-        key = data_fingerprint(ds).withColumn("name", F.lit(name))
         rows = ds.select(*REPO, F.lit(name).alias("name"),
                          F.to_json(F.struct(*[c for c in ds.columns if c not in REPO])).alias("line"))
-        cand = key if cand is None else cand.unionByName(key)
         lines = rows if lines is None else lines.unionByName(rows)
+    # computed once: the keys, the levels' packing and the calls read the lines
+    lines = cut_lineage(lines)
+    cand = lines_fingerprint(lines, [*REPO, "name"], "line")
     if existing is not None:
         cand = save_summary_if_new(existing, cand)
     service, model = ai_model.split("|", 1)

@@ -114,16 +114,18 @@ def summary_for_display(summaries: DataFrame, name: str | None = None) -> DataFr
 
 
 def data_fingerprint(df: DataFrame, by: list[str] = list(REPO)) -> DataFrame:
-    """Order-insensitive content key of a data set per repository.
-
-    The key is two exact sums of 64-bit hashes of every row's JSON plus the
-    row count: sums, unlike XOR, tell repeated rows apart, and partial
-    aggregation never builds the data set's whole text in one place.
-    """
+    """Order-insensitive content key of a data set per repository (U6): that
+    of its rows as JSON (``lines_fingerprint``)."""
     others = [c for c in df.columns if c not in by]
-    row = F.to_json(F.struct(*others))
-    wide = [F.sum(F.xxhash64(row, F.lit(i)).cast("decimal(38,0)")).cast("string").alias(f"_h{i}") for i in (1, 2)]
-    return (df.groupBy(*by).agg(*wide, F.count(F.lit(1)).alias("rows"))
+    return lines_fingerprint(df.select(*by, F.to_json(F.struct(*others)).alias("_line")), by, "_line")
+
+
+def lines_fingerprint(lines: DataFrame, by: list[str], line: str) -> DataFrame:
+    """Two exact sums of 64-bit hashes of every line plus the line count:
+    sums, unlike XOR, tell repeated lines apart, and partial aggregation never
+    builds the data set's whole text in one place."""
+    wide = [F.sum(F.xxhash64(F.col(line), F.lit(i)).cast("decimal(38,0)")).cast("string").alias(f"_h{i}") for i in (1, 2)]
+    return (lines.groupBy(*by).agg(*wide, F.count(F.lit(1)).alias("rows"))
             .select(*by, F.concat_ws("-", F.md5(F.concat_ws(",", "_h1", "_h2")), "rows").alias("hash"), "rows"))
 
 
