@@ -175,16 +175,19 @@ def shorten(df: DataFrame, text: str, completer, cache_path: str, filename: str
     """Answers longer than ``max_len`` (after trim) are re-summarised, each
     round on the previous output, up to ``rounds`` times; NULL when never
     short enough (L3).  Each round touches only the rows still too long."""
-    cur = df.withColumn("_t", F.col(text))
+    too_long = F.length(F.trim("_t")) > max_len
+    rows = df.withColumn("_t", F.col(text))
+    done, open_ = rows.filter(~too_long | F.col("_t").isNull()), rows.filter(too_long)
+    p = render(TEMPLATES["shorter_summarize_diff"], filename=filename, long_summary="_t")
     for _ in range(rounds):
-        too_long = F.length(F.trim("_t")) > max_len
-        if cur.filter(too_long).isEmpty():
+        if open_.isEmpty():
             break
-        p = render(TEMPLATES["shorter_summarize_diff"], filename=filename, long_summary="_t")
-        redo = annotate(cur.filter(too_long), p, completer, cache_path, model, out="_new")
-        cur = cut_lineage(cur.filter(~too_long | F.col("_t").isNull())
-                          .unionByName(redo.withColumn("_t", F.col("_new")).drop("_new")))
-    return (cur.withColumn(text, F.when(F.length(F.trim("_t")) <= max_len, F.col("_t")))
+        # only what is still too long is written again
+        redo = annotate(open_, p, completer, cache_path, model, out="_new")
+        after = cut_lineage(redo.withColumn("_t", F.col("_new")).drop("_new"))
+        done = done.unionByName(after.filter(~too_long | F.col("_t").isNull()))
+        open_ = after.filter(too_long)
+    return (done.unionByName(open_).withColumn(text, F.when(F.length(F.trim("_t")) <= max_len, F.col("_t")))
             .drop("_t"))
 
 

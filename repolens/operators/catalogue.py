@@ -67,7 +67,7 @@ CATALOGUE = {
 }
 
 
-def catalogue(name: str, *tables: DataFrame, **params) -> DataFrame:
+def catalogue(name: str, /, *tables: DataFrame, **params) -> DataFrame:
     """Run catalogue query ``name`` on its table(s) with parameters."""
     return CATALOGUE[name](*tables, **params)
 

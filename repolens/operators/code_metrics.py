@@ -274,24 +274,26 @@ def composite_complexity(functions: DataFrame, readability_col: str = "llm_code_
             .drop(*[m for _, m in _METRICS]))
 
 
-def file_complexity(scored: DataFrame, path: str = "file_path") -> DataFrame:
-    """Mean composite over a file's functions with composite > 0; 0 when
-    there are none (A13, O5 order by the caller).  The mean is an exact
-    decimal sum over a count."""
+def _mean_complexity() -> tuple:
+    """Mean composite over the functions with composite > 0, 0 when there are
+    none: an exact decimal sum over a count."""
     pos = F.when(F.col("composite_complexity") > 0, F.col("composite_complexity").cast("decimal(18,9)"))
-    return (scored.groupBy(*REPO, path)
-            .agg(F.sum(pos).alias("_s"), F.count(pos).alias("_n"))
-            .select(*REPO, F.col(path).alias("file_path"),
-                    F.when(F.col("_n") > 0, F.col("_s").cast("double") / F.col("_n").cast("double"))
-                     .otherwise(F.lit(0.0)).cast("decimal(18,4)").alias("avg_complexity")))
+    mean = F.when(F.col("_n") > 0, F.col("_s").cast("double") / F.col("_n").cast("double")).otherwise(F.lit(0.0))
+    return [F.sum(pos).alias("_s"), F.count(pos).alias("_n")], mean.cast("decimal(18,4)").alias("avg_complexity")
+
+
+def file_complexity(scored: DataFrame, path: str = "file_path") -> DataFrame:
+    """Mean composite per file (A13, O5 order by the caller)."""
+    parts, mean = _mean_complexity()
+    return scored.groupBy(*REPO, path).agg(*parts).select(*REPO, F.col(path).alias("file_path"), mean)
 
 
 def file_metrics(scored: DataFrame, path: str = "file_path") -> DataFrame:
-    """Per-file document: mean complexity plus the nested function list.
-    A file's list is bounded by its definitions."""
+    """Per-file document: mean complexity plus the nested function list (M13),
+    in one aggregate.  A file's list is bounded by its definitions."""
     fn = F.struct(F.col("name").alias("function_name"), "composite_complexity",
                   "lines_of_code", "cyclomatic_complexity", "nesting_depth",
                   "number_of_variables", "number_of_function_calls")
-    lists = (scored.groupBy(*REPO, F.col(path).alias("file_path"))
-             .agg(F.array_sort(F.collect_list(fn)).alias("functions")))
-    return file_complexity(scored, path).join(lists, [*REPO, "file_path"])
+    parts, mean = _mean_complexity()
+    return (scored.groupBy(*REPO, path).agg(*parts, F.array_sort(F.collect_list(fn)).alias("functions"))
+            .select(*REPO, F.col(path).alias("file_path"), mean, "functions"))

@@ -294,3 +294,24 @@ def q_ask_questions(spark, sf):
     b = R.route(X.read_table(spark, sf, "benchmark"), "text", L.Router(R.TOOLS), _tmp(spark, "cache"))
     qs = R.embed(b.select("item_id", "text", "index_name"), "text", R.HashingEmbedder(64), "query", store_path=store)
     return R.search_routed(qs, SF.read_index(spark, path), 3, q_id="item_id").select(F.col("query_id").alias("item_id"), "index_name", "rank", "vec_id")
+
+
+def _function_docs_sql() -> str:
+    from .queries_code import SQL_PARSED
+    return "with " + SQL_PARSED + """
+select repo_owner, repo_name, 'vector' as index_name, docstring as text, file_path as filename, name as function_name, cast(null as boolean) as placed from parsed
+union all select repo_owner, repo_name, 'code_vector', code, file_path, name, true from parsed"""
+
+
+@query("function_docs", _function_docs_sql())
+def q_function_docs(spark, sf):
+    # Description and source documents of the parsed functions, with
+    # the fields of their metadata
+    path = _tmp(spark, "functions")
+    M.extract_functions(X.part_source_files(spark, sf)).write.parquet(path)
+    fns = spark.read.parquet(path).withColumn("description", F.col("docstring"))
+    docs = (R.description_docs(fns).withColumn("index_name", F.lit("vector"))
+            .unionByName(R.source_docs(fns).withColumn("index_name", F.lit("code_vector"))))
+    field = lambda name: F.try_element_at("metadata", F.lit(name))
+    return docs.select(*REPO, "index_name", "text", field("filename").alias("filename"), field("function_name").alias("function_name"),
+                       field("location").isNotNull().alias("placed")).withColumn("placed", F.when(F.col("placed"), F.lit(True)))

@@ -72,21 +72,38 @@ from r, n""")
 def q_summaries_if_new(spark, sf):
     # Data sets are summarised twice, and between the runs only one
     # repository gets new rows: the others' content keys are stored already
+    second = F.sum(F.when(F.col("created_at") >= F.lit("2024-01-02").cast("timestamp_ntz"), 1).otherwise(0)).cast("int")
+    return (_stored_summaries(spark, sf).groupBy(*REPO, "name")
+            .agg(F.count(F.lit(1)).cast("int").alias("stored"), second.alias("second_run")))
+
+
+def _stored_summaries(spark, sf):
+    """The summaries table after two runs over two data sets of five repositories."""
     ch = X.changes_long(spark, sf)
     new = (F.col("repo_name") == "asia") & (F.col("committed_at") >= F.lit(CUT).cast("timestamp_ntz"))
     path = _tmp(spark, "summaries")
     spark.createDataFrame([], SUMMARIES).write.parquet(path)
     for run, rows in ((1, ch.filter(~new)), (2, ch)):
+        spans = A.date_span(rows).select(*REPO, F.col("first_date").alias("start_date"), F.col("last_date").alias("end_date"))
         sets = {"author-commits-summary": A.author_tenure(rows), "file-commit-count-summary": A.file_commit_counts(rows)}
         stored = spark.read.schema(SUMMARIES).parquet(path)
         for name, ds in sets.items():
             found = U.save_summary_if_new(stored, U.data_fingerprint(ds).withColumn("name", F.lit(name)))
-            made = {"summary": F.concat(F.lit("rows: "), F.col("rows").cast("string")), "created_at": F.lit(f"2024-01-0{run}").cast("timestamp_ntz")}
+            found = found.join(spans, list(REPO))
+            made = {"ai_service": F.lit("offline"), "ai_model": F.lit("counter"), "summary": F.concat(F.lit("rows: "), F.col("rows").cast("string")), "created_at": F.lit(f"2024-01-0{run}").cast("timestamp_ntz")}
             out = [made.get(f.name, F.col(f.name) if f.name in found.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in SUMMARIES.fields]
             found.select(*out).write.mode("append").parquet(path)
-    second = F.sum(F.when(F.col("created_at") >= F.lit("2024-01-02").cast("timestamp_ntz"), 1).otherwise(0)).cast("int")
-    return (spark.read.schema(SUMMARIES).parquet(path).groupBy(*REPO, "name")
-            .agg(F.count(F.lit(1)).cast("int").alias("stored"), second.alias("second_run")))
+    return spark.read.schema(SUMMARIES).parquet(path)
+
+
+@query("latest_summary_rows", LONG + """, d as (select repo_owner, repo_name, strftime(min(committed_at), '%Y/%m/%d') as start, strftime(max(committed_at), '%Y/%m/%d') as "end",
+  count(distinct author) as authors, count(distinct filename) as files from changes_long group by 1, 2)
+select repo_owner, repo_name, 'author-commits-summary' as name, concat('rows: ', authors) as summary, 'offline' as ai_service, 'counter' as ai_model, start, "end" from d
+union all select repo_owner, repo_name, 'file-commit-count-summary', concat('rows: ', files), 'offline', 'counter', start, "end" from d""")
+def q_latest_summary_rows(spark, sf):
+    # Of the summaries stored by two runs the latest of each
+    # repository and data set, with its dates for display
+    return U.summary_for_display(_stored_summaries(spark, sf))
 
 
 def _profile_sql() -> str:

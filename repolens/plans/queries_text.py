@@ -146,6 +146,42 @@ def q_untagged_code_changes(spark, sf):
     return G.untagged(renamed, ct, ["commit_hash", "filename"]).select(*REPO, "commit_hash", "filename")
 
 
+_CATALOGUE = {
+    "tag_rows": "from ctags where tag_id = 1", "files_changed_since": "from changes_long where committed_at > timestamp '2001-06-01'", "churn_above": "from changes_long where churn_count > 60",
+    "tag_names": "from tags_dim", "tag_id": "from tags_dim where name = 'click'", "open_pulls": "from pulls where state = 'open'",
+    "merged_since": "from pulls where merged and merged_at >= timestamp '2001-05-01'", "pulls_by_user": "from pulls where user_login = 'Customer#000000007'",
+    "pulls_titled": "from pulls where title like '%URGENT%'",
+}
+
+
+@query("catalogue_counts", X.sql_with(X.SQL_CHANGES_LONG, X.SQL_PULL_REQUESTS, X.SQL_COMMIT_TAGS) + """, author as (select min(author) as a from changes_long)
+""" + "\nunion all ".join(f"select repo_owner, repo_name, '{name}' as query, count(*) as n {sql} group by 1, 2" for name, sql in _CATALOGUE.items())
+       + """
+union all select repo_owner, repo_name, 'changes_by_author', count(*) from changes_long, author where changes_long.author = author.a group by 1, 2
+union all select repo_owner, repo_name, 'top_tag_changes', least(count(*), 10) from ctags where tag_id = 2 group by 1, 2
+union all select repo_owner, repo_name, 'merge_hours', cast(1 as bigint) from pulls where merged group by 1, 2""")
+def q_catalogue_counts(spark, sf):
+    # K1-K12 through the catalogue itself, the rows that each gives per
+    # repository
+    from ..operators.catalogue import catalogue
+    ch, prs = X.changes_long(spark, sf), X.pull_requests(spark, sf)
+    ct, tags = X.event_commit_tags(spark, sf), X.event_tags(spark, sf)
+    author = ch.agg(F.min("author")).first()[0]
+    found = {
+        "tag_rows": catalogue("tag_rows", ct, tag_id=1), "top_tag_changes": catalogue("top_tag_changes", ct, tag_id=2, key=["id"]),
+        "changes_by_author": catalogue("changes_by_author", ch, author=author),
+        "files_changed_since": catalogue("files_changed_since", ch, as_of="2001-07-01"), "churn_above": catalogue("churn_above", ch, x=60),
+        "tag_names": catalogue("tag_names", tags), "tag_id": catalogue("tag_id", tags, name="click"), "open_pulls": catalogue("open_pulls", prs),
+        "merged_since": catalogue("merged_since", prs, as_of="2001-08-01", months=3), "pulls_by_user": catalogue("pulls_by_user", prs, user="Customer#000000007"),
+        "pulls_titled": catalogue("pulls_titled", prs, word="URGENT"), "merge_hours": catalogue("merge_hours", prs),
+    }
+    out = None
+    for name, rows in found.items():
+        part = rows.groupBy(*REPO).agg(F.count(F.lit(1)).alias("n")).select(*REPO, F.lit(name).alias("query"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("cost_log_appended", f"""with c as (select role, cast(ceil(length(text) / 4.0) as bigint) as tokens from conversations)
 select cast(sum(case when role = 'assistant' then tokens * 0.0000006 else tokens * 0.00000015 end) as decimal(30,10)) as cost_to_date,
   cast(sum(case when role = 'assistant' then 0 else tokens end) as bigint) as input, cast(sum(case when role = 'assistant' then tokens else 0 end) as bigint) as output

@@ -214,3 +214,15 @@ def test_composite_in_unit_interval_and_file_means(spark):
     fc = {r.file_path: float(r.avg_complexity) for r in M.file_complexity(M.composite_complexity(f)).collect()}
     assert fc["c.py"] == 0.0 and fc["b.py"] == 0.0
     assert abs(fc["a.py"] - round((sc["f"] + sc["g"]) / 2, 4)) < 1e-9
+
+
+def test_file_metrics_in_one_aggregate(spark):
+    rows = [("o", "r", f, n, "function", c, 5, 1, 1, 2, 3) for f, n, c in [("a.py", "g", 0.5), ("a.py", "f", 0.25), ("a.py", "z", 0.0), ("b.py", "h", None)]]
+    scored = spark.createDataFrame(rows, "repo_owner string, repo_name string, file_path string, name string, type string, composite_complexity double, "
+                                         "lines_of_code int, cyclomatic_complexity int, nesting_depth int, number_of_variables int, number_of_function_calls int")
+    out = M.file_metrics(scored)
+    got = {r.file_path: (float(r.avg_complexity), [f.function_name for f in r.functions]) for r in out.collect()}
+    assert got == {"a.py": (0.375, ["f", "g", "z"]), "b.py": (0.0, ["h"])}
+    assert {r.file_path: float(r.avg_complexity) for r in M.file_complexity(scored).collect()} == {"a.py": 0.375, "b.py": 0.0}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
