@@ -33,10 +33,14 @@ def recent_pulls(prs: DataFrame, changes: DataFrame, since_mdy: str | None = Non
 
     Filter on closed_at, show merged_at's day; order by that day descending
     (NULL last), then number.  Change rows are counted per commit before the
-    join, so the join sees one row per commit instead of one per file.
+    join, so the join sees one row per commit instead of one per file; with
+    ``since`` only the commits of the PRs that are left are counted.
     """
-    files = changes.groupBy(*REPO, "commit_hash").agg(F.count("filename").alias("_files"))
     p = since(prs, since_mdy, "closed_at")
+    if since_mdy:
+        commits = p.select(*REPO, F.col("merge_commit_sha").alias("commit_hash"))
+        changes = changes.join(commits, [*REPO, "commit_hash"], "left_semi")
+    files = changes.groupBy(*REPO, "commit_hash").agg(F.count("filename").alias("_files"))
     j = p.join(files, _on_commit(p, files)).drop(files.repo_owner).drop(files.repo_name)
     g = (j.groupBy(*REPO, "number", "title", "html_url", "user_login", "description", "merged_at")
          .agg(F.sum("_files").alias("file_count"))
