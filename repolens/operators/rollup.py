@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .. import REPO
 from ..functions.time import days_ago
 from ..session import child_names
-from .tags import with_tag_names
+from .tags import dec_sum, with_tag_names
 
 TIME = "committed_at"
 
@@ -65,7 +65,7 @@ SUMMARIES = {
     "file_commit_counts": Summary(lambda: [F.col(c) for c in (*REPO, "filename")], {"commit_count": (_count, F.sum)}, lambda state: state),
     "commits_by_date": Summary(lambda: [*(F.col(c) for c in (*REPO, "commit_hash")), F.to_date(TIME).alias("day")], {"files": (_count, F.sum)}, _by_date),
     "tag_totals": Summary(lambda: [F.col(c) for c in (*REPO, "tag_id")],
-                          {"total": (lambda: F.sum(F.col("value").cast("decimal(18,9)")), F.sum)}, _tag_totals),
+                          {"total": (lambda: dec_sum("value"), F.sum)}, _tag_totals),
 }
 
 

@@ -108,9 +108,11 @@ def tagged_changes(ctags: DataFrame, tags: DataFrame, changes: DataFrame,
         changes.select(*REPO, *key, *cols), [*REPO, *key])
 
 
-def _dec_sum(c: str) -> Column:
-    # sum of shares as exact decimals: independent of summation order
-    return F.sum(F.col(c).cast("decimal(18,9)"))
+def dec_sum(c: str) -> Column:
+    """Sum of shares as exact decimals: independent of summation order.  A
+    share of a zero total (NaN or infinite) adds nothing (D11)."""
+    share = F.when(F.abs(c) < F.lit(float("inf")), F.col(c)).when(F.col(c).isNotNull(), F.lit(0.0))
+    return F.sum(share.cast("decimal(18,9)"))
 
 
 def _r2(c: Column) -> Column:
@@ -127,7 +129,7 @@ def tag_totals(ctags: DataFrame, tags: DataFrame, changes: DataFrame | None = No
         rows = since(tagged_changes(ctags, tags, changes, key), since_mdy)
     else:
         rows = with_tag_names(ctags, tags)
-    tot = rows.groupBy(*REPO, "name").agg(_r2(_dec_sum("value")).alias("total_value"))
+    tot = rows.groupBy(*REPO, "name").agg(_r2(dec_sum("value")).alias("total_value"))
     if include_all:
         return tot
     w = Window.partitionBy(*REPO).orderBy(F.desc("total_value"), F.asc("name"))
@@ -150,7 +152,7 @@ def tags_by_week(ctags: DataFrame, tags: DataFrame, changes: DataFrame, key: lis
     """
     rows = since(tagged_changes(ctags, tags, changes, key), since_mdy)
     weekly = (rows.groupBy(*REPO, week_start("committed_at").alias("week_starting"), "name")
-              .agg(_r2(_dec_sum("value")).alias("total")))
+              .agg(_r2(dec_sum("value")).alias("total")))
     w = Window.partitionBy(*REPO)
     mine = F.struct("week_starting", "name")
     weekly = (weekly.withColumn("_lo", F.min("week_starting").over(w)).withColumn("_hi", F.max("week_starting").over(w))
@@ -176,7 +178,7 @@ def tag_share_by_week(ctags: DataFrame, tags: DataFrame, changes: DataFrame,
     rounded to 2 (A10).  A zero week total gives 0 % (D11)."""
     rows = tagged_changes(ctags, tags, changes, key) \
         .withColumn("week_starting", week_start("committed_at"))
-    weekly = rows.groupBy(*REPO, "week_starting", "name").agg(_dec_sum("value").alias("_s"))
+    weekly = rows.groupBy(*REPO, "week_starting", "name").agg(dec_sum("value").alias("_s"))
     # the week's total: a window over that week's tags (bounded by the tag list)
     weekly = weekly.withColumn("_w", F.sum("_s").over(Window.partitionBy(*REPO, "week_starting")))
     pct = F.when(F.col("_w") == 0, F.lit(0.0)).otherwise(

@@ -263,17 +263,20 @@ def event_commit_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     the sum of its commit's weights (exact decimal sum), with the tag id.
 
     The per-commit sum is an aggregate joined back (not a window), so a
-    commit holding a third of all rows is summed map-side in pieces.
+    commit holding a third of all rows is summed map-side in pieces.  Over a
+    sum of zero the share is what the SQL view has, NaN or infinite.
     """
     ch = changes_short(spark, sf_dir)
     tot = (ch.groupBy("repo_owner", "repo_name", "commit_hash")
            .agg(F.sum(F.col("weight").cast("decimal(18,6)")).alias("_s")))
     tags = event_tags(spark, sf_dir)
+    w, s = F.col("weight"), F.col("_s").cast("double")
+    share = F.when(s == 0, w * F.lit(float("inf"))).otherwise(w / s)
     return (ch.join(tot, ["repo_owner", "repo_name", "commit_hash"])
             .join(tags.withColumnRenamed("name", "tag"),
                   ["repo_owner", "repo_name", "tag"])
             .select("repo_owner", "repo_name", "id", "tag_id",
-                    (F.col("weight") / F.col("_s").cast("double")).alias("value")))
+                    share.alias("value")))
 
 
 def event_tag_responses(spark: SparkSession, sf_dir: str) -> DataFrame:

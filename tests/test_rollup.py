@@ -64,3 +64,26 @@ def test_tag_totals_add_up(spark):
     ct = spark.createDataFrame([("o", "r", i, i % 2 + 1, 0.1 * i) for i in range(30)], "repo_owner string, repo_name string, id long, tag_id int, value double")
     state = R.merge("tag_totals", *[R.partial("tag_totals", ct.filter(f"id % 4 = {i}")) for i in range(4)])
     assert rows(R.final("tag_totals", state, tags)) == rows(G.tag_totals(ct, tags))
+
+
+def test_shares_of_a_zero_total(spark, tmp):
+    # a commit whose weights add up to zero: its rows stay, with the view's
+    # quotient, and add nothing to any sum
+    import datetime as dt
+
+    import duckdb
+
+    import __spark_entry__ as E
+    at = lambda day: dt.datetime(2024, 1, day, 9)
+    ev = [(1, at(1), 1, "click", 0.0, '{"k": 1}'), (2, at(1), 2, "click", 2.0, '{"k": 1}'), (3, at(1), 2, "view", 6.0, '{"k": 1}'),
+          (4, at(9), 3, "view", 0.0, '{"k": 1}'), (5, at(2), 4, "view", 3.0, '{"k": 1}'), (6, at(2), 4, "click", -3.0, '{"k": 1}')]
+    spark.createDataFrame(ev, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp}/events.parquet")
+    q = E.queries()
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{tmp}/events.parquet/*.parquet')")
+    want = con.execute(E.oracle_sql()["tag_rows"]).fetchall()
+    assert sorted(map(str, (tuple(r) for r in q["tag_rows"](spark, tmp).collect()))) == sorted(str(r) for r in want) and len(want) == 3
+    totals = {r["name"]: float(r["total_value"]) for r in q["tag_totals"](spark, tmp).collect()}
+    assert totals == {"click": 0.25, "view": 0.75} == {r["name"]: float(r["total_value"]) for r in q["rolled_tag_totals"](spark, tmp).collect()}
+    week = [(str(r.week_starting), r.tag, float(r.raw), float(r.percentage)) for r in q["tag_share_by_week"](spark, tmp).collect()]
+    assert sorted(week) == [("2024-01-01", "click", 0.25, 25.0), ("2024-01-01", "view", 0.75, 75.0), ("2024-01-08", "view", 0.0, 0.0)]
