@@ -52,8 +52,13 @@ def parse_tags(responses: DataFrame, tags: DataFrame, key: list[str],
     not an integer skips its pair; names outside the repository's tag list
     are dropped; a repeated name keeps its last weight.
     Output: key..., tag, weight (int).
+
+    The whole answers are dealt by their key, so that a task's pairs follow
+    the shuffle's partitions and not the files; the dimension is broadcast,
+    as a join by name would put all pairs of a tag into one task.
     """
-    cells = responses.select(*REPO, *key, F.split(F.trim(F.col(text)), ",").alias("_c"))
+    cells = (responses.select(*REPO, *key, F.col(text).alias("_text")).repartition(*REPO, *key)
+             .select(*REPO, *key, F.split(F.trim("_text"), ",").alias("_c")))
     pairs = cells.select(*REPO, *key, "_c",
                          F.posexplode("_c").alias("_pos", "_name")) \
         .filter(F.col("_pos") % 2 == 0)
@@ -61,7 +66,7 @@ def parse_tags(responses: DataFrame, tags: DataFrame, key: list[str],
         *REPO, *key, "_pos", F.trim("_name").alias("tag"),
         F.trim(F.get("_c", F.col("_pos") + 1)).try_cast("int").alias("weight"))
     pairs = pairs.filter(F.col("weight").isNotNull())
-    known = pairs.join(tags.select(*REPO, F.col("name").alias("tag")),
+    known = pairs.join(F.broadcast(tags.select(*REPO, F.col("name").alias("tag"))),
                        [*REPO, "tag"], "left_semi")
     return (known.groupBy(*REPO, *key, "tag")
             .agg(F.max_by("weight", "_pos").alias("weight")))
