@@ -167,6 +167,35 @@ def test_normalised_weights_sum_to_one(spark):
     assert all(abs(r.s - 1.0) < 1e-12 for r in s)
 
 
+def test_pairs_are_not_dealt_by_their_tag(spark):
+    # all pairs of a tag would meet in one task, sorted
+    resp = spark.range(40).select(F.lit("o").alias("repo_owner"), F.lit("r").alias("repo_name"), "id", F.lit("A,1,B,2,A,3,C,x").alias("response"))
+    tags = spark.createDataFrame([("o", "r", i, n) for i, n in enumerate("AB", 1)], TAGS)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parsed = G.parse_tags(resp, tags, ["id"])
+        plan = parsed._jdf.queryExecution().executedPlan().toString()
+        got = {(r.id, r.tag, r.weight) for r in parsed.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "SortMergeJoin" not in plan and got == {(i, t, n) for i in range(40) for t, n in (("A", 3), ("B", 2))}
+
+
+def test_a_task_gets_little_shuffled_data(spark):
+    from repolens.session import TASK_SHUFFLE, ensure_query_conf
+    key = TASK_SHUFFLE[0]
+    spark.conf.unset(key)
+    ensure_query_conf(spark)
+    assert spark.conf.get(key) == "16m"
+    spark.conf.set(key, "5m")
+    try:
+        ensure_query_conf(spark)                        # what the cluster says holds
+        assert spark.conf.get(key) == "5m"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_tags_dim_insert_or_ignore(spark):
     repos = spark.createDataFrame([("o", "r")], "repo_owner string, repo_name string")
     base = G.tags_dim(" API, Docs ,API", repos)
