@@ -30,6 +30,8 @@ from .store import append, content_key, entries_of, missing, read_store
 MAX_DESCRIPTION = 800
 SHORTEN_ROUNDS = 5
 GARBAGE_PREFIX = "@@@"
+# Prompts that a Python worker holds at a time (whole files can be long).
+CALL_ROWS = 256
 
 CALLED = ("key string, model string, prompt string, answer string, "
           "prompt_tokens bigint, completion_tokens bigint")
@@ -152,7 +154,13 @@ def annotate(df: DataFrame, prompt: Column, completer, cache_path: str, model: s
     # max_callers bounds the concurrent calls to a rate-limited service;
     # by default the calls spread over the cluster's cores
     callers = max_callers or max(spark.sparkContext.defaultParallelism * 2, 1)
-    append(todo.repartition(callers, "key").mapInPandas(_call(completer, model), CALLED), cache_path)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(rows)
+    spark.conf.set(rows, min(CALL_ROWS, int(held)) if int(held) > 0 else CALL_ROWS)
+    try:
+        append(todo.repartition(callers, "key").mapInPandas(_call(completer, model), CALLED), cache_path)
+    finally:
+        spark.conf.set(rows, held)
     answers = entries_of(wanted, cache_path, "answer").select(F.col("key").alias("_answered"), F.col("answer").alias(out))
     return keyed.join(answers, F.col("_key") == F.col("_answered"), "left").drop("_answered", "_key", "_prompt", "_system")
 

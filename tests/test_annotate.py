@@ -137,3 +137,13 @@ def test_system_prompts_go_with_the_prompt(spark, tmp):
     assert L.cache_size(spark, cache) == 3
     # without a system prompt it is another question
     assert {r.answer for r in L.annotate(df, F.lit("x"), lambda p: ["plain"] * len(p), cache).collect()} == {"plain"}
+
+
+def test_a_worker_holds_few_prompts(spark, tmp):
+    # a batch of Spark's own size holds 10,000 whole files
+    df = spark.range(1000).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    out = L.annotate(df, F.col("text"), lambda ps: [str(len(ps))] * len(ps), tmp + "/c", max_callers=1, out="n")
+    sizes = [int(r.n) for r in out.collect()]
+    assert len(sizes) == 1000 and max(sizes) <= L.CALL_ROWS
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == held
