@@ -3,7 +3,7 @@ latest record per key, save-if-new (U1-U8, J5, O3, O4)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import REPO
@@ -14,18 +14,36 @@ def first_per_key(batch: DataFrame, keys: list[str], order: list[str | Column])
     ``order`` tuple).  An aggregate with ``min_by`` -- it combines map-side,
     so a key repeated across a third of the batch is reduced in every task
     before the shuffle."""
-    cols = [c for c in batch.columns]
-    ordk = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-    return (batch.groupBy(*keys).agg(F.min_by(F.struct(*cols), ordk).alias("_r"))
-            .select("_r.*"))
+    return _one_per_key(F.min_by, batch, keys, order)
 
 
 def last_per_key(batch: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """The last row of each key in ``order`` (O4): ``max_by`` aggregate."""
-    cols = [c for c in batch.columns]
+    return _one_per_key(F.max_by, batch, keys, order)
+
+
+def _one_per_key(pick, batch: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
+    # the keys come from the grouping, not out of the picked row: so they are
+    # shuffled once, and a join by them finds the rows partitioned already
+    others = [c for c in batch.columns if c not in keys]
     ordk = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-    return (batch.groupBy(*keys).agg(F.max_by(F.struct(*cols), ordk).alias("_r"))
-            .select("_r.*"))
+    picked = batch.groupBy(*keys).agg(pick(F.struct(*others) if others else F.lit(True), ordk).alias("_r"))
+    return picked.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in batch.columns])
+
+
+def insert_new_near(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str | Column],
+                    near: list[str]) -> DataFrame:
+    """``insert_new`` for a large batch: batch and target meet in one shuffle
+    by ``near``, some of the keys.  Rows that are equal there and lie together
+    travel together, in a fraction of the bytes.  No combining before the
+    shuffle: a value of ``near`` that holds much of the batch is left to
+    ``insert_new``."""
+    # a key with a null equals no other in a join
+    held = target.select(*keys).dropna(subset=keys).withColumn("_held", F.lit(True))
+    both = batch.withColumn("_held", F.lit(False)).unionByName(held, allowMissingColumns=True).repartition(*near)
+    # the target's row of a key comes first
+    first = Window.partitionBy(*keys).orderBy(F.desc("_held"), *order)
+    return both.withColumn("_n", F.row_number().over(first)).filter("_n = 1 and not _held").select(*batch.columns)
 
 
 def insert_new(target: DataFrame, batch: DataFrame, keys: list[str],

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import REPO
 from ..schemas import REJECTS
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import commit_log as S1
 from ..sources import description_log as S4
 from ..sources import fixtures as X
@@ -85,12 +85,11 @@ def q_stream_ingest(spark, sf):
     # Logs land in two waves (orders before 1998, then all of them
     # again); each wave is one availableNow run; the second inserts only
     # what is new.
-    ch = X.changes_long(spark, sf)
+    log = cut_lineage(S1.render_commit_log(X.changes_long(spark, sf, with_order=True), by=("_order",), keep=("committed_at",)))
     src, target, ckpt = _tmp(spark, "inbox"), _tmp(spark, "changes"), _tmp(spark, "stream-ckpt")
-    early = ch.filter(F.col("committed_at") < F.lit("1998-01-01").cast("timestamp_ntz"))
-    S1.write_commit_log(early, src)
+    S1.write_rendered(log.filter(F.col("committed_at") < F.lit("1998-01-01").cast("timestamp_ntz")), src)
     ingest_stream(spark, src, target, ckpt)
-    S1.write_commit_log(ch, src, mode="append")
+    S1.write_rendered(log, src, mode="append")
     ingest_stream(spark, src, target, ckpt)
     return (read_target(spark, target)
             .select(*REPO, "commit_hash", "committed_at", "author", "filename", "churn_count"))
@@ -104,7 +103,7 @@ def q_stream_rejects(spark, sf):
     # Logs with records of too few header fields (hash a...), bad
     # times (b...) and file lines of too few fields (c...); the rejects are
     # stored by the intake
-    log = S1.render_commit_log(X.changes_long(spark, sf))
+    log = S1.render_commit_log(X.changes_long(spark, sf, with_order=True), by=("_order",))
     first = F.substring("value", 3, 1)
     broken = (F.when(first == "a", F.regexp_replace("value", "--", "-"))
               .when(first == "b", F.regexp_replace("value", r"--(\d{4})-", "--$1/"))

@@ -120,16 +120,19 @@ def read_commit_log(spark: SparkSession, path: str, repo_owner: str | None = Non
                                 exclude_files, exclude_authors)
 
 
-def render_commit_log(changes: DataFrame, message: str = "message") -> DataFrame:
+def render_commit_log(changes: DataFrame, message: str = "message", by: tuple = (), keep: tuple = ()) -> DataFrame:
     """Inverse of S1: one text row per commit in the log grammar (used to
-    write logs; a commit's row holds its own file lines only)."""
+    write logs; a commit's row holds its own file lines only).  ``by``:
+    columns that the commit determines; where ``changes`` is partitioned by
+    them its lines are not shuffled again.  ``keep``: columns of the commit
+    that stay beside the text."""
     ts = F.date_format("committed_at", "yyyy-MM-dd'T'HH:mm:ss")
     # both numbers of a line are in use: a third of the churn is deletions
     deleted = F.floor(F.col("churn_count") / 3)
     line = F.concat_ws("\t", (F.col("churn_count") - deleted).cast("string"), deleted.cast("string"), "filename")
-    per = (changes.groupBy(*REPO, "commit_hash", "epoch", "committed_at", "author", "email")
+    per = (changes.groupBy(*REPO, *by, "commit_hash", "epoch", "committed_at", "author", "email")
            .agg(F.array_sort(F.collect_list(F.struct("filename", line.alias("l")))).alias("_ls")))
-    return per.select(*REPO, F.concat(
+    return per.select(*REPO, *keep, F.concat(
         F.lit(RECORD_SEP), F.concat_ws(FIELD_SEP, "commit_hash",
                                        F.coalesce(F.col("epoch").cast("string"), F.lit("0.0")),
                                        F.concat(ts, F.lit("+00:00")), "author",
@@ -141,8 +144,12 @@ def render_commit_log(changes: DataFrame, message: str = "message") -> DataFrame
 
 def write_commit_log(changes: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write logs, one folder per repository (``repo_owner=/repo_name=``)."""
-    (render_commit_log(changes).write.mode(mode).partitionBy(*REPO)
-     .option("lineSep", "\n").text(path))
+    write_rendered(render_commit_log(changes), path, mode)
+
+
+def write_rendered(log: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write the rows of ``render_commit_log``."""
+    log.select(*REPO, "value").write.mode(mode).partitionBy(*REPO).option("lineSep", "\n").text(path)
 
 
 def write_changes(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -38,8 +38,10 @@ def _filename(p) -> "F.Column":
                     F.replace(p.p_name, F.lit(" "), F.lit("_")), F.lit(".py"))
 
 
-def changes_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+def changes_long(spark: SparkSession, sf_dir: str, with_order: bool = False) -> DataFrame:
     """One row per (commit, file): commit = order, file = part path.
+    ``with_order``: the order's key stays as ``_order``, by which the rows are
+    partitioned after the joins.
 
     Order date and customer name are constant per order, so they are
     grouping keys rather than aggregates: a filter on ``committed_at`` or
@@ -68,6 +70,7 @@ def changes_long(spark: SparkSession, sf_dir: str) -> DataFrame:
         "filename", "churn_count",
         F.when(F.col("_size") % 5 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("edit "), F.col("_pname"))).alias("description"),
+        *([F.col("l_orderkey").alias("_order")] if with_order else []),
     )
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import REPO
-from ..operators.load import insert_new
+from ..operators.load import insert_new, insert_new_near
 from ..schemas import CHANGES
 from ..session import child_names, cut_lineage
 from ..sources.commit_log import RECORD_SEP, parse_commit_lines, split_rejects, text_reader, with_repo
@@ -33,6 +33,10 @@ ORDER = ["source_file", "record_pos", "line_no"]
 TARGET = T.StructType([*CHANGES.fields, T.StructField("epoch_id", T.StringType())])
 # Repositories of a batch up to this number prune the target by a list.
 MOST_LISTED = 1000
+# A batch of up to this many rows is broadcast to the target.  The rows of a
+# larger one are shuffled by commit, but for groups of commits of very many
+# rows: a repeated commit is reduced before the shuffle.
+SMALL_BATCH, COMMIT_GROUPS, MOST_IN_GROUP = 100_000, 8192, 500_000
 
 
 def read_target(spark: SparkSession, path: str, without_epoch: str | None = None, repos: list | None = None) -> DataFrame:
@@ -47,6 +51,24 @@ def read_target(spark: SparkSession, path: str, without_epoch: str | None = None
     return rows
 
 
+def _commit_group():
+    return F.pmod(F.xxhash64(*REPO, "commit_hash"), F.lit(COMMIT_GROUPS))
+
+
+def _new_rows(target: DataFrame, changes: DataFrame, sizes: dict) -> DataFrame:
+    """The rows of ``changes`` to insert; ``sizes``: rows by group of commits."""
+    total = sum(sizes.values())
+    if total <= SMALL_BATCH:
+        return insert_new(target, changes, KEYS, ORDER)
+    most = max(MOST_IN_GROUP, 8 * total // COMMIT_GROUPS)
+    heavy = [g for g, n in sizes.items() if n > most]
+    if not heavy:
+        return insert_new_near(target, changes, KEYS, ORDER, [*REPO, "commit_hash"])
+    is_heavy = _commit_group().isin(heavy)
+    near = insert_new_near(target.filter(~is_heavy), changes.filter(~is_heavy), KEYS, ORDER, [*REPO, "commit_hash"])
+    return near.unionByName(insert_new(target.filter(is_heavy), changes.filter(is_heavy), KEYS, ORDER))
+
+
 def _after_write(epoch: str) -> None:
     """Called when an epoch is written and not committed yet (tests end the run here)."""
 
@@ -76,19 +98,21 @@ def ingest_stream(spark: SparkSession, source_dir: str, target_path: str, checkp
         # the batch is parsed once, here
         lines = cut_lineage(parse_commit_lines(recs, exclude_files, exclude_authors))
         changes, rejects = split_rejects(lines)
-        repos = [tuple(r) for r in lines.select(*REPO).distinct().limit(MOST_LISTED + 1).collect()]
+        sizes = cut_lineage(lines.groupBy(*REPO, _commit_group().alias("group")).agg(F.count(F.when(F.col("kind").isNull(), 1)).alias("n")))
+        repos = [tuple(r) for r in sizes.select(*REPO).distinct().limit(MOST_LISTED + 1).collect()]
+        sizes = {r["group"]: r["n"] for r in sizes.groupBy("group").agg(F.sum("n").alias("n")).collect()}
         target = read_target(session, target_path, epoch, repos if len(repos) <= MOST_LISTED else None)
-        new = insert_new(target, changes, KEYS, ORDER)
+        new = _new_rows(target, changes, sizes)
         counts = {name: Observation(f"{name}-{epoch}") for name in ("inserted", "rejected")}
         (new.select(*[f.name for f in CHANGES.fields]).observe(counts["inserted"], F.count(F.lit(1)).alias("n"))
-         .write.mode("overwrite").partitionBy(*REPO).parquet(f"{target_path}/epoch_id={epoch}"))
+         .write.mode("overwrite").option("compression", "zstd").partitionBy(*REPO).parquet(f"{target_path}/epoch_id={epoch}"))
         (rejects.observe(counts["rejected"], F.count(F.lit(1)).alias("n"))
          .write.mode("overwrite").parquet(f"{rejects_path}/epoch_id={epoch}"))
         _after_write(epoch)
         stats["batches"] += 1
         for name, seen in counts.items():
             stats[name] += seen.get["n"]
-        stats["skipped"] += changes.count() - counts["inserted"].get["n"]
+        stats["skipped"] += sum(sizes.values()) - counts["inserted"].get["n"]
 
     q = (stream.writeStream.foreachBatch(batch)
          .option("checkpointLocation", checkpoint)

@@ -90,3 +90,52 @@ def test_a_broken_target_is_not_taken_for_an_empty_one(spark, tmp):
     open(os.path.join(tgt, "epoch_id=x", "repo_owner=o", "repo_name=r", "part-0.parquet"), "w").write("no parquet")
     with pytest.raises(Exception):
         ingest_stream(spark, src, tgt, os.path.join(tmp, "ck"), "o", "r")
+
+
+def test_large_and_heavy_batches_insert_what_small_ones_do(spark, tmp, monkeypatch):
+    # by commit in one shuffle; groups of commits of many rows apart; a key
+    # without a repository equals none
+    def folder(n, repo, text):
+        os.makedirs(os.path.join(tmp, "in", "repo_owner=o", f"repo_name={repo}"), exist_ok=True)
+        open(os.path.join(tmp, "in", "repo_owner=o", f"repo_name={repo}", f"{n}.txt"), "w").write(text)
+    seen = {}
+    for step in (1, 2):
+        for repo in ("r", "__HIVE_DEFAULT_PARTITION__"):
+            folder(step, repo, A if step == 1 else A + "\n" + B)
+        for way, small, most in (("small", 100, 100), ("near", 0, 10 ** 6), ("heavy", 0, 2)):
+            monkeypatch.setattr(ingest, "SMALL_BATCH", small)
+            monkeypatch.setattr(ingest, "MOST_IN_GROUP", most)
+            tgt = os.path.join(tmp, f"tgt-{way}")
+            stats = ingest_stream(spark, os.path.join(tmp, "in"), tgt, os.path.join(tmp, f"ck-{way}"))
+            found = ingest.read_target(spark, tgt).drop("epoch_id").collect()
+            seen[way, step] = (stats, sorted(map(str, found)))
+    for step in (1, 2):
+        assert len({str(seen[w, step]) for w in ("small", "near", "heavy")}) == 1
+    assert seen["near", 2][0] == {"inserted": 5, "skipped": 5, "rejected": 2, "batches": 1}
+
+
+def test_large_batch_meets_the_target_in_one_shuffle(spark):
+    from repolens.operators.load import insert_new, insert_new_near
+    batch = spark.range(50).selectExpr("'o' as repo_owner", "'r' as repo_name", "concat('c', id div 8) as commit_hash",
+                                       "concat('f', id % 3) as filename", "id as churn_count", "-id as at")
+    keys = ingest.KEYS
+    target = batch.filter("churn_count < 9").select(*keys)
+    near = insert_new_near(target, batch, keys, ["at"], keys[:3])
+    assert rows(near) == rows(insert_new(target, batch, keys, ["at"])) and near.count() > 0
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_first_of_a_key_is_not_shuffled_again_for_a_join(spark):
+    from repolens.operators.load import first_per_key
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(20).selectExpr("id % 5 as k", "id as v")
+        first = first_per_key(left, ["k"], ["v"])
+        joined = first.join(spark.range(9).selectExpr("id as k"), "k", "left_anti")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert plan.count("Exchange hashpartitioning") == 2 and first.columns == left.columns
+    assert rows(first) == [(k, k) for k in range(5)]
