@@ -29,8 +29,10 @@ MIN_FILE_FIELDS = 3
 
 
 def _strip(c):
-    # Python str.strip(): whitespace at both ends
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    # Python str.strip(): whitespace at both ends; the pattern, which is slow,
+    # only where its $ stands before one of the other line ends
+    other_end = c.endswith("\u0085") | c.endswith("\u2028") | c.endswith("\u2029")
+    return F.when(other_end, F.regexp_replace(c, r"^\s+|\s+$", "")).otherwise(F.btrim(c, F.lit(" \t\n\x0b\f\r")))
 
 
 def read_log_records(spark: SparkSession, path: str, repo_owner: str | None = None,
@@ -89,7 +91,9 @@ def parse_commit_lines(records: DataFrame, exclude_files: str = "",
         F.when(F.col("_ok"), unknown_author(F.get("_info", F.lit(3)))).alias("author"), field(4).alias("email"),
         F.when(F.col("_ok"), files).otherwise(F.array("_rec")).alias("_files"))
     head = head.filter(~F.col("_ok") | exclude("author", exclude_authors))
-    lines = (head.select(*[c for c in head.columns if c != "_files"], F.posexplode("_files").alias("line_no", "_line"))
+    # the outer form: for the other one Spark puts a filter on the array's size
+    # below, which splits every record many times over
+    lines = (head.select(*[c for c in head.columns if c != "_files"], F.posexplode_outer("_files").alias("line_no", "_line"))
              .filter(~F.col("_ok") | (F.col("_line") != "")).withColumn("_f", F.split("_line", "\t")))
     kind = F.when(~F.col("_ok"), "record").when(F.size("_f") < MIN_FILE_FIELDS, "line")
     lines = lines.withColumn("kind", kind).withColumn("filename", F.when(F.col("kind").isNull(), F.get("_f", F.lit(2))))

@@ -139,3 +139,15 @@ def test_first_of_a_key_is_not_shuffled_again_for_a_join(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert plan.count("Exchange hashpartitioning") == 2 and first.columns == left.columns
     assert rows(first) == [(k, k) for k in range(5)]
+
+
+def test_parse_splits_a_record_once(spark, tmp):
+    from repolens.sources.commit_log import parse_commit_lines, read_log_records
+    odd = "^^ \n\x0b" + A[2:] + "\f^^a4--4.0--2024-07-30T12:00:00+00:00--Di--d@x--m\n1\t1\tw.py  "
+    open(os.path.join(tmp, "a.txt"), "w", newline="").write(odd)
+    lines = parse_commit_lines(read_log_records(spark, tmp, "o", "r"))
+    found = {(r.commit_hash, r.filename, r.kind) for r in lines.collect()}
+    # the whitespace before a last line end of another kind goes, too
+    assert found == {("a1", "x.py", None), ("a1", "y.py", None), ("a2", "x.py", None), ("a4", "w.py ", None)}
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert all("split(" not in part.split("\n")[0] for part in plan.split("Filter")[1:])
