@@ -112,9 +112,10 @@ def backfill_descriptions(changes: DataFrame, log: DataFrame, enabled: bool = Tr
         log.select(*REPO, "filename", "commit_hash", "logged_at", "appended_at", "position", "text"),
         [*REPO, "filename", "commit_hash"], ["logged_at", -F.col("appended_at"), -F.col("position")])
     lt = latest.select(*REPO, "filename", "commit_hash", F.col("text").alias("_log"))
-    j = changes.join(lt, [*REPO, "filename", "commit_hash"], "left")
-    return j.select(*[F.coalesce("description", "_log").alias("description")
-                      if c == "description" else F.col(c) for c in changes.columns])
+    # only the rows without a description are shuffled to the log
+    j = changes.filter("description is null").join(lt, [*REPO, "filename", "commit_hash"], "left")
+    return changes.filter("description is not null").unionByName(
+        j.select(*[F.col("_log").alias(c) if c == "description" else F.col(c) for c in changes.columns]))
 
 
 def latest_summary(summaries: DataFrame, name: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import REPO
 from ..operators import load as U
 from ..operators import tags as G
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import description_log as S4
 from ..sources import fixtures as X
 from .registry import query
@@ -51,7 +51,8 @@ union all select false, repo_owner, repo_name, commit_hash, filename, descriptio
 def q_backfill_from_log(spark, sf):
     # S5 -> S4 -> U5/U8: three appends to the log; the later time wins, at
     # equal times the earlier append, whatever the file times are
-    ch = X.changes_long(spark, sf)
+    # computed once: each append and each backfill reads it
+    ch = cut_lineage(X.changes_long(spark, sf).select(*KEY, "committed_at", "description"))
     path = _tmp(spark, "desclog")
     undone = ch.filter("description is null")
     for days, text in ((1, F.concat(F.lit("old "), "filename")), (2, F.concat(F.lit("new "), "filename", F.lit("\nsecond line"))), (2, F.lit("late"))):

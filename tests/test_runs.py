@@ -98,3 +98,35 @@ def test_describe_chain(spark, tmp):
                      "README.md": None, "late.py": "flaky", "unknown.py": None}
     assert {r.prompt.split("\n")[0] for r in L.rejects(spark, os.path.join(tmp, "store")).collect()} == {"Filename: bad.py"}
     assert W.run_work(W.describe_work(ch.filter("false"), src), model, os.path.join(tmp, "store")).count() == 0
+
+
+def test_changes_are_computed_once(spark, tmp, monkeypatch):
+    from repolens.plans import queries_load
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return x
+    ch = spark.range(12).selectExpr(
+        "'o' as repo_owner", "'r' as repo_name", "concat('c', id) as commit_hash", "cast('2024-01-01' as timestamp_ntz) as committed_at",
+        "concat('f', id % 4, '.py') as filename", "id as churn_count", "if(id % 4 = 3, 'held', null) as description")
+    ch = ch.withColumn("filename", F.udf(seen, "string")("filename"))
+    for queries, query in ((queries_load, "q_backfill_from_log"),):
+        made.value = 0
+        monkeypatch.setattr(queries.X, "changes_long", lambda *_: ch)
+        found = getattr(queries, query)(spark, tmp).collect()
+        assert 9 <= made.value <= 12, query
+        if query == "q_backfill_from_log":
+            assert sorted(r.description for r in found if r.enabled) == sorted(["held"] * 3 + [f"new f{i}.py\nsecond line" for i in range(3)] * 3)
+
+
+def test_described_changes_are_not_shuffled_to_the_log(spark):
+    from repolens.operators.load import backfill_descriptions
+    ch = spark.createDataFrame([("o", None, "a", "f", "held"), ("o", "r", "a", "f", None), ("o", "r", "b", "f", None), ("o", None, "b", "f", None)],
+                               "repo_owner string, repo_name string, commit_hash string, filename string, description string")
+    log = spark.sql("select 'o' as repo_owner, 'r' as repo_name, 'f' as filename, 'a' as commit_hash, timestamp_ntz '2024-01-01 00:00:00' as logged_at, 1L as position, 'new' as text")
+    out = backfill_descriptions(ch, log)
+    assert sorted(map(str, out.collect())) == sorted(map(str, ch.na.fill({"description": "-"}).replace("-", None, ["description"])
+                                                         .withColumn("description", F.when((F.col("repo_name") == "r") & (F.col("commit_hash") == "a"), "new").otherwise(F.col("description"))).collect()))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter isnull(description" in plan and "Union" in plan
