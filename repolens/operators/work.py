@@ -2,9 +2,11 @@
 a code file goes from ``todo`` to ``described`` or ``rejected``, and the
 descriptions are written back by key.
 
-A round asks for all open rows at once (one call per distinct prompt, through
-the store) and takes each row to its next state; finished rows leave the
-table and are not touched again.
+Rows of the same file name, data and state are one task.  A round asks for all
+open tasks at once (one call per distinct prompt, through the store) and takes
+each to its next state; finished tasks leave the table and are not touched
+again.  At the end the rows, which keep only their keys meanwhile, are joined
+to their tasks.
 
 ====== ===========================================================
 state   next
@@ -56,7 +58,7 @@ def _advance(asked: DataFrame, max_len: int, max_attempts: int, rounds: int) ->
              .when(fresh, F.when(answer.isNotNull(), "long").when(attempts >= max_attempts, "rejected").otherwise("todo"))
              .when(tries >= rounds, "rejected").otherwise("long"))
     reason = F.when(state == "rejected", F.when(fresh, "no usable answer").otherwise("never short enough"))
-    return asked.select(*KEYS, "source", "data", F.coalesce(answer, "text").alias("text"), state.alias("state"),
+    return asked.select("_task", "filename", "source", "data", F.coalesce(answer, "text").alias("text"), state.alias("state"),
                         attempts.alias("attempts"), tries.alias("tries"), reason.alias("reason"))
 
 
@@ -64,7 +66,12 @@ def run_work(work: DataFrame, completer, cache_path: str, model: str = "offline"
              max_attempts: int = MAX_ATTEMPTS, rounds: int = SHORTEN_ROUNDS, with_system: bool = False) -> DataFrame:
     """The work table with every row described or rejected.  ``with_system``
     gives the completer the system prompt of each row's task, too (L1)."""
-    done, open_ = work.filter("state not in ('todo', 'long')"), work.filter("state in ('todo', 'long')")
+    is_open = F.col("state").isin("todo", "long")
+    told = [c for c in work.columns if c not in KEYS]
+    # to_json leaves nulls out, so that they differ from empty texts
+    rows = cut_lineage(work.withColumn("_task", F.when(is_open, F.unhex(F.sha2(F.to_json(F.struct("filename", *told)), 256)))))
+    tasks = rows.filter("_task is not null").select("_task", "filename", *told)
+    open_, done = cut_lineage(tasks.groupBy("_task").agg(*[F.first(c).alias(c) for c in tasks.columns[1:]])), None
     clause = F.when(F.col("source") == "diff", "Unified Diff:").otherwise("File Content:")
     describe = render(TEMPLATES["summarize_diff"], filename="filename", clause=clause, data="data")
     shorten = render(TEMPLATES["shorter_summarize_diff"], filename="filename", long_summary="text")
@@ -76,9 +83,12 @@ def run_work(work: DataFrame, completer, cache_path: str, model: str = "offline"
             break
         asked = annotate(open_, prompt, completer, cache_path, model, out="_answer", system=system)
         after = cut_lineage(_advance(asked, max_len, max_attempts, rounds))
-        done = done.unionByName(after.filter("state not in ('todo', 'long')"))
-        open_ = after.filter("state in ('todo', 'long')")
-    return done.unionByName(open_)
+        ended = after.filter(~is_open)
+        done = ended if done is None else done.unionByName(ended)
+        open_ = after.filter(is_open)
+    ends = (open_ if done is None else done.unionByName(open_)).drop("filename")
+    return (rows.filter("_task is null").select(*work.columns)
+            .unionByName(rows.filter("_task is not null").select("_task", *KEYS).join(ends, "_task").select(*work.columns)))
 
 
 def write_back(changes: DataFrame, work: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from .. import REPO
 from ..operators import runs as R
 from ..operators import work as W
 from ..schemas import CHANGES
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import fixtures as X
 from ..sources import logs as LG
 from .registry import query
@@ -111,10 +111,12 @@ from h""")
 def q_describe_changes(spark, sf):
     # The undescribed changes of code files with their diffs or
     # contents, through all states, written back to the changes
-    ch = X.changes_long(spark, sf)
+    # computed once: the work, its sources and the write-back read it, and
+    # none of them asks for a change that has a description
+    ch = cut_lineage(X.changes_long(spark, sf).filter("description is null").select(*W.KEYS, "churn_count", "description"))
     n = F.col("churn_count")
     sources = ch.select(*W.KEYS, F.when((n % 11 != 0) & (n % 3 != 0), F.concat(F.lit("+"), F.replace("filename", F.lit(" "), F.lit("_")))).alias("diff"),
                         F.when((n % 11 != 0) & (n % 3 == 0), F.replace("filename", F.lit(" "), F.lit("."))).alias("content"))
-    work = W.run_work(W.describe_work(ch, sources), LineModel(), _tmp(spark, "store"), max_len=MAX_LEN)
-    described = W.write_back(ch.filter("description is null"), work).select(*W.KEYS, "description")
+    work = cut_lineage(W.run_work(W.describe_work(ch, sources), LineModel(), _tmp(spark, "store"), max_len=MAX_LEN).drop("data"))
+    described = W.write_back(ch, work).select(*W.KEYS, "description")
     return work.select(*W.KEYS, "source", "state", "reason").join(described, W.KEYS)

@@ -100,8 +100,27 @@ def test_describe_chain(spark, tmp):
     assert W.run_work(W.describe_work(ch.filter("false"), src), model, os.path.join(tmp, "store")).count() == 0
 
 
+def test_rows_of_equal_content_are_one_task(spark, tmp, monkeypatch):
+    # 30 commits of 3 contents; the model is asked about 3, and again about one
+    rows = spark.range(30).selectExpr("'o' as repo_owner", "if(id < 15, 'r', null) as repo_name", "concat('c', id) as commit_hash",
+                                      "concat('f', id % 3, '.py') as filename", "cast(null as string) as description")
+    src = rows.select(*W.KEYS, F.when(F.col("filename") != "f2.py", "d").alias("diff"), F.lit(None).cast("string").alias("content")).filter("repo_name is not null")
+    asked, plain = [], W.annotate
+
+    def spy(df, *args, **more):
+        asked.append(df.count())
+        return plain(df, *args, **more)
+    monkeypatch.setattr(W, "annotate", spy)
+    work = W.run_work(W.describe_work(rows, src), lambda prompts: ["word " * (9 if "f0" in p and "Shorten" not in p else 1) for p in prompts], os.path.join(tmp, "store"), max_len=20)
+    assert asked == [2, 1] and work.columns == [*W.KEYS, "source", "data", "text", "state", "attempts", "tries", "reason"]
+    got = {(r.filename, r.repo_name, r.state, r.text, r.attempts, r.tries): r["n"] for r in
+           work.groupBy("filename", "repo_name", "state", "text", "attempts", "tries").agg(F.count("*").alias("n")).collect()}
+    assert got == {("f0.py", "r", "described", "word", 0, 1): 5, ("f1.py", "r", "described", "word", 0, 0): 5,
+                   ("f2.py", "r", "rejected", None, 0, 0): 5, **{(f"f{i}.py", None, "rejected", None, 0, 0): 5 for i in range(3)}}
+
+
 def test_changes_are_computed_once(spark, tmp, monkeypatch):
-    from repolens.plans import queries_load
+    from repolens.plans import queries_load, queries_runs
     made = spark.sparkContext.accumulator(0)
 
     def seen(x):
@@ -111,7 +130,7 @@ def test_changes_are_computed_once(spark, tmp, monkeypatch):
         "'o' as repo_owner", "'r' as repo_name", "concat('c', id) as commit_hash", "cast('2024-01-01' as timestamp_ntz) as committed_at",
         "concat('f', id % 4, '.py') as filename", "id as churn_count", "if(id % 4 = 3, 'held', null) as description")
     ch = ch.withColumn("filename", F.udf(seen, "string")("filename"))
-    for queries, query in ((queries_load, "q_backfill_from_log"),):
+    for queries, query in ((queries_load, "q_backfill_from_log"), (queries_runs, "q_describe_changes")):
         made.value = 0
         monkeypatch.setattr(queries.X, "changes_long", lambda *_: ch)
         found = getattr(queries, query)(spark, tmp).collect()
