@@ -121,9 +121,9 @@ def test_large_batch_meets_the_target_in_one_shuffle(spark):
     keys = ingest.KEYS
     target = batch.filter("churn_count < 9").select(*keys)
     near = insert_new_near(target, batch, keys, ["at"], keys[:3])
-    assert rows(near) == rows(insert_new(target, batch, keys, ["at"])) and near.count() > 0
-    plan = near._jdf.queryExecution().executedPlan().toString()
+    plan = near._jdf.queryExecution().executedPlan().toString()      # before the run: afterwards it holds the final plan, too
     assert plan.count("Exchange hashpartitioning") == 1
+    assert rows(near) == rows(insert_new(target, batch, keys, ["at"])) and near.count() > 0
 
 
 def test_first_of_a_key_is_not_shuffled_again_for_a_join(spark):
