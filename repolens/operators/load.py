@@ -62,19 +62,36 @@ def insert_new(target: DataFrame, batch: DataFrame, keys: list[str],
 
 
 def insert_counted(target: DataFrame, batch: DataFrame, keys: list[str],
-                   order: list[str | Column]) -> tuple[DataFrame, DataFrame]:
+                   order: list[str | Column], by_range: bool = False) -> tuple[DataFrame, DataFrame]:
     """``insert_new`` with its report (U1): (rows to append, counts per
     repository: ``read``, ``inserted``, ``skipped``).  The batch is computed
-    once, for the rows and for the report."""
+    once, for the rows and for the report: batch and target's keys meet in
+    one shuffle, and what is kept of a skipped row is its repository.
+
+    ``by_range``, for a large batch of few rows a key: the shuffle goes by
+    ranges of the keys, so that rows with the same first keys travel together,
+    in a fraction of the bytes.  It doesn't combine the rows of a key before
+    the shuffle."""
     from ..session import cut_lineage
+    others = [c for c in batch.columns if c not in keys]
     ordk = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-    first = cut_lineage(batch.groupBy(*keys).agg(F.min_by(F.struct(*batch.columns), ordk).alias("_r"),
-                                                 F.count(F.lit(1)).alias("_n")))
-    hits = target.select(*keys).join(first.select(*keys), keys, "left_semi").withColumn("_hit", F.lit(True))
-    flagged = cut_lineage(first.join(hits, keys, "left"))
-    new = F.col("_hit").isNull()
-    counts = flagged.groupBy(*REPO).agg(F.sum("_n").alias("read"), F.count(F.when(new, 1)).alias("inserted"))
-    return (flagged.filter(new).select("_r.*"),
+    read = batch.select(*keys, (F.struct(*others) if others else F.lit(True)).alias("_r"), ordk.alias("_o"))
+    # a key with a null equals no other in a join
+    held = target.select(*keys).dropna(subset=keys)
+    both = read.unionByName(held, allowMissingColumns=True)
+    if by_range:
+        both = both.repartitionByRange(*keys)
+    # the target's rows have no place in the order, so none of them is picked
+    met = both.groupBy(*keys).agg(F.min_by("_r", "_o").alias("_r"), F.count("_o").alias("_n"),
+                                  F.count(F.when(F.col("_o").isNull(), 1)).alias("_held")).filter("_n > 0")
+    new = F.col("_held") == 0
+    # a batch row counts once for each target row of its key
+    kept = cut_lineage(met.select(
+        *[F.col(c) if c in REPO else F.when(new, F.col(c)).alias(c) for c in keys], F.when(new, F.col("_r")).alias("_r"),
+        (F.col("_n") * F.greatest("_held", F.lit(1))).alias("_n"), new.alias("_new")))
+    counts = kept.groupBy(*REPO).agg(F.sum("_n").alias("read"), F.count(F.when(F.col("_new"), 1)).alias("inserted"))
+    out = [(F.col(f.name) if f.name in keys else F.col(f"_r.{f.name}")).cast(f.dataType).alias(f.name) for f in batch.schema.fields]
+    return (kept.filter("_new").select(*out),
             counts.withColumn("skipped", F.col("read") - F.col("inserted")))
 
 

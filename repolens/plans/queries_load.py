@@ -31,9 +31,11 @@ from changes_long group by 1, 2""")
 def q_insert_report(spark, sf):
     # A batch with repeated keys, and with keys that are stored already
     ch = X.changes_long(spark, sf)
-    batch = ch.unionByName(ch.filter(F.col("churn_count") % 3 == 0).withColumn("author", F.lit("again")))
+    # a repeated row lies beside the one it repeats
+    authors = F.when(F.col("churn_count") % 3 == 0, F.array("author", F.lit("again"))).otherwise(F.array("author"))
+    batch = ch.select(*[F.explode(authors).alias(c) if c == "author" else F.col(c) for c in ch.columns])
     target = ch.filter(F.col("committed_at") < F.lit("1998-01-01").cast("timestamp_ntz"))
-    return U.insert_counted(target, batch, KEY, ["author"])[1]
+    return U.insert_counted(target, batch, KEY, ["author"], by_range=True)[1]
 
 
 @query("update_not_found", LONG + """select repo_owner, repo_name, commit_hash, concat(filename, 'x') as filename from changes_long where churn_count % 4 = 1""")
