@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .. import REPO
 from ..session import cut_lineage
-from .store import append, content_key, entries_of, missing, read_store
+from .store import PLACE, KeptRows, append, content_key, for_calls, read_store
 
 # Answer length limit, shorten rounds, garbage marker.
 MAX_DESCRIPTION = 800
@@ -148,21 +148,28 @@ def annotate(df: DataFrame, prompt: Column, completer, cache_path: str, model: s
     if system is not None:
         asked = asked.withColumn("_system", F.coalesce(system, F.lit("")))
         content, more = F.concat("_system", F.lit("\u0001"), "_prompt"), [F.col("_system").alias("system")]
-    keyed = cut_lineage(asked.withColumn("_key", prompt_key(model, content)))
-    wanted = keyed.select(F.col("_key").alias("key"), F.col("_prompt").alias("prompt"), *more).dropDuplicates(["key"])
-    todo = missing(wanted, cache_path, F.col("answer").isNotNull())
-    # max_callers bounds the concurrent calls to a rate-limited service;
-    # by default the calls spread over the cluster's cores
-    callers = max_callers or max(spark.sparkContext.defaultParallelism * 2, 1)
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    held = spark.conf.get(rows)
-    spark.conf.set(rows, min(CALL_ROWS, int(held)) if int(held) > 0 else CALL_ROWS)
-    try:
-        append(todo.repartition(callers, "key").mapInPandas(_call(completer, model), CALLED), cache_path)
-    finally:
-        spark.conf.set(rows, held)
-    answers = entries_of(wanted, cache_path, "answer").select(F.col("key").alias("_answered"), F.col("answer").alias(out))
-    return keyed.join(answers, F.col("_key") == F.col("_answered"), "left").drop("_answered", "_key", "_prompt", "_system")
+    # a prompt that equals one of the row's texts is not written a second time
+    texts = [F.col(f"`{c}`") for c, kind in df.dtypes if kind == "string"]
+    same = F.coalesce(F.lit(None).cast("int"), *[F.when(c == F.col("_prompt"), F.lit(i)) for i, c in enumerate(texts)])
+    rows = KeptRows(asked.withColumn("_key", prompt_key(model, content)).withColumn("_same", same)
+                    .withColumn("_prompt", F.when(F.col("_same").isNull(), F.col("_prompt"))))
+    kept = F.coalesce("_prompt", *[F.when(F.col("_same") == i, c) for i, c in enumerate(texts)])
+    asks = rows.missing(cache_path, F.col("answer").isNotNull())
+    if not asks.isEmpty():
+        todo = rows.picked(asks, "_asked").select(F.col("_asked").alias("key"), kept.alias("prompt"), *more)
+        # max_callers bounds the concurrent calls to a rate-limited service;
+        # by default the calls spread over the cluster's cores
+        todo, dealt = for_calls(todo, cache_path, max_callers)
+        batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        held = spark.conf.get(batch)
+        spark.conf.set(batch, min(CALL_ROWS, int(held)) if int(held) > 0 else CALL_ROWS)
+        try:
+            append(todo.mapInPandas(_call(completer, model), CALLED), cache_path, dealt)
+        finally:
+            spark.conf.set(batch, held)
+    answers = rows.entries(cache_path, "answer").select(F.col("key").alias("_key"), F.col("answer").alias(out))
+    found = rows.table.select("_key", *PLACE).join(answers, "_key").drop("_key")
+    return rows.given(found, out).drop(*PLACE, "_key", "_prompt", "_system", "_same")
 
 
 def rejects(spark: SparkSession, cache_path: str) -> DataFrame:

@@ -14,7 +14,7 @@ from .. import REPO
 from ..plans.helpers import spread
 from ..session import cut_lineage
 from .annotate import annotate, render
-from .store import append, content_key, entries_of, missing
+from .store import PLACE, KeptRows, append, content_key, for_calls
 
 # Chunk size in tokens and the overlap carried between chunks.
 CHUNK_SIZE = 1024
@@ -154,15 +154,20 @@ def embed(df: DataFrame, text_col: str, embedder, out: str = "embedding", store_
     With ``store_path`` the vectors are kept in a store by the hash of model
     and text (``operators.store``): a text that is there already is not
     embedded again, and a text that many rows share is embedded once."""
-    from pyspark.sql import types as T
     if store_path is not None:
-        keyed = cut_lineage(df.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-                            .withColumn("_key", content_key(model, F.col("_text"))))
-        wanted = keyed.select(F.col("_key").alias("key"), F.col("_text").alias("prompt")).dropDuplicates(["key"])
-        todo = missing(wanted, store_path, F.col("vector").isNotNull())
-        append(embed(todo, "prompt", embedder, "vector").withColumn("model", F.lit(model)), store_path)
-        vectors = entries_of(wanted, store_path, "vector").select(F.col("key").alias("_stored"), F.col("vector").alias(out))
-        return keyed.join(vectors, F.col("_key") == F.col("_stored"), "left").drop("_stored", "_key", "_text")
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        rows = KeptRows(df.withColumn("_key", content_key(model, text)))
+        asks = rows.missing(store_path, F.col("vector").isNotNull())
+        if not asks.isEmpty():
+            todo, dealt = for_calls(rows.picked(asks, "_asked").select(F.col("_asked").alias("key"), text.alias("prompt")), store_path)
+            append(_embedded(todo, "prompt", embedder, "vector").withColumn("model", F.lit(model)), store_path, dealt)
+        vectors = rows.entries(store_path, "vector").select(F.col("key").alias("_stored"), F.col("vector").alias(out))
+        return rows.table.join(vectors, F.col("_key") == F.col("_stored"), "left").drop("_stored", "_key", *PLACE)
+    return _embedded(spread(df), text_col, embedder, out)
+
+
+def _embedded(df: DataFrame, text_col: str, embedder, out: str) -> DataFrame:
+    from pyspark.sql import types as T
 
     def run(batches):
         for pdf in batches:
@@ -171,7 +176,7 @@ def embed(df: DataFrame, text_col: str, embedder, out: str = "embedding", store_
             yield pdf
 
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.ArrayType(T.DoubleType()))])
-    return spread(df).mapInPandas(run, schema)
+    return df.mapInPandas(run, schema)
 
 
 # Vectors and queries of a block: what one task multiplies at once.

@@ -1,12 +1,14 @@
 """The content-addressed store (L9, R4): nothing is asked twice, and the store is joined by bucket."""
 
 import os
+import random
 
 from pyspark.sql import functions as F
 
 from repolens.operators import annotate as L
 from repolens.operators import retrieve as R
 from repolens.operators import store as S
+from repolens.session import checkpoint_dir
 
 
 def texts(spark, ids):
@@ -75,3 +77,45 @@ def test_a_store_keeps_its_buckets(spark, tmp):
     spark.sql(f"drop table {name}")                         # as a new session sees it
     assert S.read_store(spark, path).count() == 50
     assert sum(f.endswith(".parquet") for _, _, fs in os.walk(path) for f in fs) == 3
+
+
+def test_odd_rows_are_answered_each_on_its_own(spark, tmp):
+    # equal texts in many rows, no text, a prompt that is a column here and is none there, columns of odd names and no type
+    rows = spark.createDataFrame([(1, "a b", "k1", "x"), (1, "a b", "k1", "x"), (2, "", None, "y"), (3, "c", "k3", "c"), (4, "a b", "k4", None)],
+                                 "id int, text string, key string, other string").withColumn("none", F.lit(None))
+    prompt = F.when(F.col("id") == 4, F.lit("a b c")).when(F.col("id") == 3, F.col("other")).otherwise(F.col("text"))
+    for callers in (None, 2):
+        path = os.path.join(tmp, f"store{callers}")
+        got = L.annotate(rows, prompt, lambda ps: [f"<{p}>" for p in ps], path, max_callers=callers)
+        assert got.columns == [*rows.columns, "answer"] and got.schema["none"].dataType.typeName() == "void"
+        assert sorted((r.id, r.key, r.answer) for r in got.fillna("-", "key").collect()) == [
+            (1, "k1", "<a b>"), (1, "k1", "<a b>"), (2, "-", "<>"), (3, "k3", "<c>"), (4, "k4", "<a b c>")]
+        assert sorted(r.prompt for r in S.read_store(spark, path).collect()) == ["", "a b", "a b c", "c"]
+        full = R.embed(got, "text", R.HashingEmbedder(4), store_path=path)
+        assert full.columns == [*got.columns, "embedding"] and full.filter("embedding is null").count() == 0
+        assert S.read_store(spark, path).filter("vector is not null").count() == 3
+
+
+def test_texts_stay_where_they_are_written(spark, tmp):
+    path, rng, folder = os.path.join(tmp, "store"), random.Random(1), checkpoint_dir(spark).removeprefix("file:")
+    long = spark.createDataFrame([(i, "%x" % rng.getrandbits(20_000)) for i in range(200)], "id int, text string")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(folder) for f in fs)
+    before = size()
+    got = L.annotate(long, F.col("text"), lambda ps: [p[:9] for p in ps], path)
+    # 1 MB of texts, half of it once packed: written once, not again as prompts
+    assert size() - before < 800_000
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        lines = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    at = next(i for i, x in enumerate(lines) if "FileScan parquet" in x and "text:string" in x)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*"))
+    above, d = [], depth(lines[at])
+    for x in reversed(lines[:at]):
+        if depth(x) < d:
+            above.append(x)
+            d = depth(x)
+    assert "Bucketed: true" in lines[at] and not any("Exchange" in x for x in above), lines
+    assert got.filter("answer = substring(text, 1, 9)").count() == 200
