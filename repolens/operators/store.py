@@ -12,6 +12,7 @@ session and cluster that opens it agrees.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import uuid
 
@@ -108,6 +109,24 @@ def entries_of(wanted: DataFrame, path: str, value: str) -> DataFrame:
     return cut_lineage(stored.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.min(value).alias(value)))
 
 
+# Tables of kept rows made inside each ``drop_kept_rows`` that is open: (name, path).
+_open: list[list[tuple[str, str]]] = []
+
+
+@contextlib.contextmanager
+def drop_kept_rows(spark: SparkSession):
+    """On leaving, the tables of kept rows that were made inside are deleted: for results that are computed by then, so
+    that the scratch space of one run after another doesn't pile up.  Stores are kept."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for name, path in _open.pop():
+            spark.sql(f"drop table if exists {name}")
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class KeptRows:
     """Rows with a ``_key``, written once, and numbered (``_row``): a table bucketed by chunks of the numbers.  Entries come
     to the rows by chunk, and the rows, with their texts, stay where they lie."""
@@ -117,8 +136,11 @@ class KeptRows:
         name, number = f"rows_{uuid.uuid4().hex}", F.monotonically_increasing_id()
         self.buckets = max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
         void = [f.name for f in rows.schema.fields if f.dataType.typeName() == "void"]   # Parquet has no such type
+        path = scratch_path(spark, name)
+        for made in _open[-1:]:
+            made.append((name, path))
         (rows.drop(*void).select("*", F.shiftright(number, CHUNK_BITS).alias("_chunk"), number.alias("_row"))
-         .write.format("parquet").option("compression", "zstd").option("path", scratch_path(spark, name))
+         .write.format("parquet").option("compression", "zstd").option("path", path)
          .bucketBy(self.buckets, "_chunk").saveAsTable(name))
         self.table = spark.table(name)
         if void:

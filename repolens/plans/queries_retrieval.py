@@ -14,7 +14,7 @@ from ..operators import retrieve as R
 from ..operators import activity as A
 from ..operators import churn as C
 from ..operators import code_metrics as M
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import fixtures as X
 from .params import LONG_AS_OF
 from .registry import query
@@ -242,14 +242,16 @@ def q_stored_answers(spark, sf):
     # the documents that have an answer and a vector afterwards
     d = X.read_table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     path = _tmp(spark, "store")
-    from ..operators.store import read_store
+    from ..operators.store import drop_kept_rows, read_store
     out, before = None, (0, 0)
     for run, docs in ((1, d.filter("doc_id % 2 = 0")), (2, d), (3, d)):
-        answered = L.annotate(docs, F.col("text"), L.ExtractiveCompleter(10), path, out="answer")
-        full = R.embed(answered, "text", R.HashingEmbedder(16), store_path=path).filter("answer is not null and embedding is not null")
-        now = read_store(spark, path).agg(F.count("answer"), F.count("vector")).first()
-        row = full.agg(F.lit(run).alias("run"), F.lit(now[0] - before[0]).cast("bigint").alias("answers"),
-                       F.lit(now[1] - before[1]).cast("bigint").alias("vectors"), F.count(F.lit(1)).alias("documents"))
+        with drop_kept_rows(spark):
+            answered = L.annotate(docs, F.col("text"), L.ExtractiveCompleter(10), path, out="answer")
+            full = R.embed(answered, "text", R.HashingEmbedder(16), store_path=path).filter("answer is not null and embedding is not null")
+            now = read_store(spark, path).agg(F.count("answer"), F.count("vector")).first()
+            # computed before the run's rows are deleted
+            row = cut_lineage(full.agg(F.lit(run).alias("run"), F.lit(now[0] - before[0]).cast("bigint").alias("answers"),
+                                       F.lit(now[1] - before[1]).cast("bigint").alias("vectors"), F.count(F.lit(1)).alias("documents")))
         out, before = row if out is None else out.unionByName(row), tuple(now)
     return out
 

@@ -119,3 +119,16 @@ def test_texts_stay_where_they_are_written(spark, tmp):
             d = depth(x)
     assert "Bucketed: true" in lines[at] and not any("Exchange" in x for x in above), lines
     assert got.filter("answer = substring(text, 1, 9)").count() == 200
+
+
+def test_kept_rows_of_a_finished_run_are_deleted(spark, tmp):
+    path, folder = os.path.join(tmp, "store"), checkpoint_dir(spark).removeprefix("file:")
+    kept = lambda: {x for x in os.listdir(folder) if x.startswith("rows_")}
+    before = kept()
+    outer = L.annotate(texts(spark, range(3)), F.col("text"), L.ExtractiveCompleter(5), path)
+    assert len(kept() - before) == 1
+    with S.drop_kept_rows(spark):
+        inner = L.annotate(texts(spark, range(9)), F.col("text"), L.ExtractiveCompleter(5), path)
+        assert inner.filter("answer = text").count() == 9 and len(kept() - before) == 2
+    assert len(kept() - before) == 1 and outer.filter("answer = text").count() == 3
+    assert S.read_store(spark, path).filter("answer is not null").count() == 7
