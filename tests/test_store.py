@@ -11,6 +11,12 @@ from repolens.operators import store as S
 from repolens.session import checkpoint_dir
 
 
+def kept(spark):
+    """Folders of this session's tables of kept rows."""
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    return {os.path.join(folder, t.name) for t in spark.catalog.listTables() if t.name.startswith("rows_")}
+
+
 def texts(spark, ids):
     return spark.createDataFrame([(i, f"text {i % 7}") for i in ids], "id int, text string")
 
@@ -97,13 +103,13 @@ def test_odd_rows_are_answered_each_on_its_own(spark, tmp):
 
 
 def test_texts_stay_where_they_are_written(spark, tmp):
-    path, rng, folder = os.path.join(tmp, "store"), random.Random(1), checkpoint_dir(spark).removeprefix("file:")
+    path, rng = os.path.join(tmp, "store"), random.Random(1)
     long = spark.createDataFrame([(i, "%x" % rng.getrandbits(20_000)) for i in range(200)], "id int, text string")
-    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(folder) for f in fs)
-    before = size()
+    before = kept(spark)
     got = L.annotate(long, F.col("text"), lambda ps: [p[:9] for p in ps], path)
     # 1 MB of texts, half of it once packed: written once, not again as prompts
-    assert size() - before < 800_000
+    rows, = kept(spark) - before
+    assert 400_000 < sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(rows) for f in fs) < 800_000
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -122,13 +128,14 @@ def test_texts_stay_where_they_are_written(spark, tmp):
 
 
 def test_kept_rows_of_a_finished_run_are_deleted(spark, tmp):
-    path, folder = os.path.join(tmp, "store"), checkpoint_dir(spark).removeprefix("file:")
-    kept = lambda: {x for x in os.listdir(folder) if x.startswith("rows_")}
-    before = kept()
+    path, before = os.path.join(tmp, "store"), kept(spark)
     outer = L.annotate(texts(spark, range(3)), F.col("text"), L.ExtractiveCompleter(5), path)
-    assert len(kept() - before) == 1
+    own, = kept(spark) - before
     with S.drop_kept_rows(spark):
         inner = L.annotate(texts(spark, range(9)), F.col("text"), L.ExtractiveCompleter(5), path)
-        assert inner.filter("answer = text").count() == 9 and len(kept() - before) == 2
-    assert len(kept() - before) == 1 and outer.filter("answer = text").count() == 3
+        assert inner.filter("answer = text").count() == 9
+        made, = kept(spark) - before - {own}
+        assert os.path.isdir(made)
+    assert kept(spark) - before == {own} and not os.path.exists(made)
+    assert outer.filter("answer = text").count() == 3
     assert S.read_store(spark, path).filter("answer is not null").count() == 7
